@@ -3,8 +3,9 @@
 Both sides reduce to one fingerprint per key.  Fingerprints are summed over
 key ranges, the ranges are halved again and again down to leaves of about
 ``LEAF_KEYS`` keys, and only ranges whose sums differ are followed downwards.
-Keys are compared one by one only inside leaves that differ, and the fields
-themselves are read again only for keys whose fingerprints differ.
+Keys are compared one by one, field by field, only inside leaves that differ.
+Fields are held as 64-bit digests, so no raw value is ever shuffled; that two
+different values of a key have one digest is a chance of 2^-64.
 """
 
 from __future__ import annotations
@@ -64,45 +65,31 @@ def table_diff(left: DataFrame, right: DataFrame, key: str, fields: list[str], l
     they are (clean them before), nulls equal to nulls.
 
     Defined cases: rows without a key belong to no record and are left out;
-    several rows of a key count as the newest; two empty tables give no rows;
+    several rows of a key count as the newest, and as one of them if the order
+    columns tie; two empty tables give no rows;
     ranges need not be evenly filled, that only costs time.
     """
-    spark = left.sparkSession
-    base = new_folder(spark, "diff")
-    named = [F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields)]
-    names = [f"f{i}" for i in range(len(fields))]
-
-    def side(df: DataFrame, order: list[str]) -> DataFrame:
-        return df.select(F.col(key).cast("long").alias("key"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], *named)
+    base = new_folder(left.sparkSession, "diff")
+    names = [f"h{i}" for i in range(len(fields))]
 
     def prints(df: DataFrame, order: list[str], tag: str) -> DataFrame:
+        """The newest row of each key as a digest per field, 0 for null; the raw values are not shuffled."""
         ords = [f"o{i}" for i in range(len(order))]
-        # nulls are told apart from empty strings, as xxhash64 passes over nulls
-        fp = F.xxhash64("key", *[x for c in names for x in (F.col(c), F.col(c).isNull())])
-        slim = side(df, order).select("key", *ords, fp.alias("fp"))
-        rows = newest(slim, "key", [*ords, "fp"], [*ords, "fp"])
-        return materialize(rows, f"{base}/{tag}")
+        digests = [F.when(F.col(f).isNull(), F.lit(0)).otherwise(F.xxhash64(F.col(f).cast("string"))).alias(h) for f, h in zip(fields, names)]
+        slim = df.select(F.col(key).cast("long").alias("key"), *[F.col(c).alias(o) for c, o in zip(order, ords)], *digests)
+        return materialize(newest(slim, "key", [*ords, *names], names), f"{base}/{tag}")
 
     a, b = prints(left, left_order, "a"), prints(right, right_order, "b")
     keys = a.select("key").unionByName(b.select("key")).agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).first()
     low, high, n = keys["low"] or 0, keys["high"] or 0, keys["n"]
     span = (high - low).bit_length()
     shift = max(0, span - max(1, (n // (2 * LEAF_KEYS)).bit_length()))
-    bad = materialize(checksum_tree(a, b, low, shift, span - shift), f"{base}/ranges")
-    inside = lambda df: df.withColumn("rng", F.shiftright(F.col("key") - F.lit(low), shift)).join(bad, "rng", "left_semi").drop("rng")
-    la, lb = inside(a).select("key", F.col("fp").alias("fa")), inside(b).select("key", F.col("fp").alias("fb"))
-    met = materialize(la.join(lb, "key", "full_outer").where(~F.col("fa").eqNullSafe(F.col("fb"))), f"{base}/keys")
-    alone = met.where("fa is null or fb is null").select("key", F.when(F.col("fb").isNull(), only_left).otherwise(only_right).alias("finding"))
-    both = met.where("fa is not null and fb is not null").select("key", "fa", "fb")
-
-    def fetch(df: DataFrame, order: list[str], tag: str) -> DataFrame:
-        """The fields of the newest row, read again for these keys only."""
-        rows = side(df, order).join(both.select("key"), "key", "left_semi")
-        ords = [f"o{i}" for i in range(len(order))]
-        return newest(rows, "key", [*ords, *names], names).select("key", *[F.col(c).alias(f"{tag}{c}") for c in names])
-
-    # equal order columns: the fingerprints chose by hash, so both choices are settled by the greatest fields
-    pair = fetch(left, left_order, "l").join(fetch(right, right_order, "r"), "key")
-    found = F.array(*[F.when(~F.col(f"l{c}").eqNullSafe(F.col(f"r{c}")), F.lit(f)) for c, f in zip(names, fields)])
-    fields_differ = pair.select("key", F.explode(F.array_compact(found)).alias("finding"))
-    return alone.unionByName(fields_differ)
+    printed = lambda df: df.select("key", F.xxhash64("key", *names).alias("fp"))
+    bad = checksum_tree(printed(a), printed(b), low, shift, span - shift)
+    # both sides go once through the shuffle by range; keys then meet within their range
+    sides = [df.select(F.shiftright(F.col("key") - F.lit(low), shift).alias("rng"), "key", F.struct(*names).alias("row"), F.lit(i).alias("side")) for i, df in enumerate((a, b))]
+    row = lambda i: F.max(F.when(F.col("side") == i, F.col("row")))
+    met = sides[0].unionByName(sides[1]).join(bad, "rng", "left_semi").groupBy("rng", "key").agg(row(0).alias("l"), row(1).alias("r"))
+    differing = [F.when(F.col(f"l.{h}") != F.col(f"r.{h}"), F.lit(f)) for f, h in zip(fields, names)]
+    finding = F.when(F.col("r").isNull(), F.array(F.lit(only_left))).when(F.col("l").isNull(), F.array(F.lit(only_right))).otherwise(F.array_compact(F.array(*differing)))
+    return met.select("key", F.explode(finding).alias("finding"))
