@@ -19,7 +19,7 @@ from semgraph.schema import ENTRYPOINT_ATTRIBUTES, MESSAGE_BASES, MESSAGES
 def runtime_reachable(g: Graph) -> DataFrame:
     """``id, reason``: symbols that a runtime calls without a link: tagged ones, types of tagged members, message methods of receivers."""
     names = F.array(*map(F.lit, ENTRYPOINT_ATTRIBUTES))
-    tag = F.filter(attributes(g.symbols), lambda a: F.array_contains(names, a))[0]
+    tag = F.get(F.filter(attributes(g.symbols), lambda a: F.array_contains(names, a)), F.lit(0))
     tagged = g.symbols.select("id", tag.alias("tag")).where("tag is not null")
     own = tagged.select("id", F.concat(F.lit("Reachable via ["), "tag", F.lit("] runtime entrypoint")).alias("reason"), F.lit(1).alias("rank"))
     base = F.col("properties")["baseType"]

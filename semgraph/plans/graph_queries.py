@@ -291,18 +291,24 @@ def direct_contracts(spark: SparkSession, d: str) -> DataFrame:
 _SCC = ", st as (select distinct s a, t b from l where s <> t and not (k = 'references' and coalesce(init, '') = 'methodGroup')), rc(a, b) as (select a, b from st union select r.a, x.b from rc r join st x on r.b = x.a), scc as materialized (select a node, greatest(max(b), a) component from rc r where exists (select 1 from rc q where q.a = r.b and q.b = r.a) group by a having count(distinct b) > 1)"
 
 
-@query(None)
+@query("select node id, component from scc", _SCC)
 def cycles(spark: SparkSession, d: str) -> DataFrame:
     return A.cycles(graph(spark, d)).select(F.col("node").alias("id"), "component")
 
 
-@query(None)
+_CLASSES = f"""{_SCC}{_UP.format(kind="type", hops=32, name="tu")}, sz as (select component, count(*) n from scc group by 1),
+  enc as (select distinct scc.component, scc.node, coalesce(f.t, tu.m) ty from scc join s x on x.id = scc.node left join (select c.s, c.t from c join s y on y.id = c.t and y.kind = 'type') f on x.kind = 'file' and f.s = x.id left join tu on x.kind <> 'file' and tu.id = x.id),
+  sh as (select distinct component from (select component, ty, count(distinct node) k from enc where ty is not null group by 1, 2) join sz using (component) where k = n),
+  cls as (select component, n n_members, case when component in (select component from scc join s x on x.id = scc.node where x.bucket = 'Generated') then 'GeneratedOrStaticAnalysisArtifact' when component in (select component from sh) then 'PartialClassCluster' else 'LikelyRealLoop' end class from sz)"""
+
+
+@query("select * from cls", _CLASSES)
 def cycle_taxonomy(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
     return A.cycle_taxonomy(g, A.cycles(g))
 
 
-@query(None)
+@query("select class, count(*) n_cycles, sum(n_members)::bigint n_symbols, max(n_members) largest from cls group by 1", _CLASSES)
 def cycle_stats(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
     return A.cycle_stats(A.cycle_taxonomy(g, A.cycles(g)))
@@ -376,7 +382,10 @@ def dead_code_breakdown(spark: SparkSession, d: str) -> DataFrame:
     return R.dead_code(graph(spark, d)).groupBy("kind", "bucket").agg(F.count("*").alias("n"))
 
 
-@query(None)
+@query(
+    "select id, kind, file_path, line, case when sc then 'Scaffolding' else bucket end bucket, 'non-public ' || kind || case when sc then ' scaffolding with no incoming semantic references' when n > 0 then ' with only same-class consumers (' || n || ')' else ' with no incoming semantic references' end reason, n direct_dependants from (select *, (select count(*) from l where l.t = dead.id) n from dead)",
+    _DEAD.replace("id not in (select t from l)", "id not in (select l.t from l join s a on a.id = l.s join s b on b.id = l.t where a.parent_id is null or b.parent_id is null or a.parent_id <> b.parent_id)"),
+)
 def dead_code_same_class(spark: SparkSession, d: str) -> DataFrame:
     """Dead code where links from within one parent keep nothing alive."""
     return R.dead_code(graph(spark, d), same_class=True)
