@@ -39,7 +39,8 @@ def parse_invariants(df: DataFrame, source: str, text: str) -> DataFrame:
 
     Windows run over the lines of one text.  A null text has no blocks.
     """
-    lines = df.select(F.col(source).alias("source"), F.monotonically_increasing_id().alias("doc"), F.posexplode(F.split(text, "\r?\n")).alias("at", "line_text"))
+    docs = df.select(F.col(source).alias("source"), F.monotonically_increasing_id().alias("doc"), F.col(text).alias("text"))
+    lines = docs.select("source", "doc", F.posexplode(F.split("text", "\r?\n")).alias("at", "line_text"))
     bullet, bare = F.regexp_extract("line_text", BULLET, 1), F.regexp_extract("line_text", BARE, 1)
     lines = lines.select("*", F.coalesce(F.nullif(bullet, F.lit("")), bare).alias("id"), (bullet == "").alias("bare"), F.col("line_text").rlike(r"^#{1,6}\s").alias("head"))
     w = Window.partitionBy("doc").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)

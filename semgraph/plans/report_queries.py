@@ -115,7 +115,7 @@ _INV = r"""with lines as (select doc_id source, generate_subscripts(ls, 1) pos,
   marked as (select *, regexp_extract(x, '^\s*-\s+\*\*(INV-[A-Z][A-Z0-9]*(?:-[A-Z][A-Z0-9]*)*-\d+)', 1) id, regexp_matches(x, '^#{1,6}\s') head from lines),
   cut as (select *, sum((id <> '' or head)::int) over (partition by source order by pos) block from marked),
   blocks as (select source, block, arg_min(id, pos) id, min(pos) line, trim(string_agg(x, chr(10) order by pos)) body from cut group by source, block),
-  inv as (select source, id, regexp_extract(id, '^INV-(.+)-\d+$', 1) category, line, regexp_replace(trim(regexp_replace(regexp_extract(body, '(?s)\*\*INV-[A-Z][A-Z0-9]*(?:-[A-Z][A-Z0-9]*)*-\d+\.\s+(.+?)\*\*', 1), '\s+', ' ', 'g')), '[. ]+$', '') t from blocks where id <> '')"""
+  inv as (select source, id, regexp_extract(id, '^INV-(.+)-\d+$', 1) category, line, regexp_replace(trim(regexp_replace(regexp_extract(body, '(?s)\*\*INV-[A-Z][A-Z0-9]*(?:-[A-Z][A-Z0-9]*)*-\d+\.\s+(.+?)\*\*', 1), '\s+', ' ', 'g')), '[. ]+$', '') t0, regexp_replace(regexp_replace(string_split(body, chr(10))[1], '^[-\s*]+', ''), '[*\s]+$', '') t1, case when t0 = '' then t1 else t0 end t from blocks where id <> '')"""
 
 
 def _invariants(spark: SparkSession, d: str) -> DataFrame:
