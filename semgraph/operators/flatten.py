@@ -186,9 +186,10 @@ def flat_tables(rows: DataFrame) -> DataFrame:
     row holds the fields of one object, so no group grows with the table.
     ``flat_table`` makes columns of them.
     """
-    fields = F.map_from_entries(F.array_sort(F.collect_set(F.struct("field", "value"))))
-    grouped = rows.groupBy("record_id", "record_type", "owner_pos", F.col("parent_table").alias("table_name"), "ordinals")
-    flat = grouped.agg(F.max_by("value", "field_path").alias("_one"), fields.alias("fields")).drop("_one")
+    key = ["record_id", "record_type", "owner_pos", "parent_table", "ordinals"]
+    # a field that stands twice in an object has its greatest value
+    once = rows.groupBy(*key, "field").agg(F.max("value").alias("value"))
+    flat = once.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields")).withColumnRenamed("parent_table", "table_name")
     inside = F.col("table_name") != ""
     return flat.select(
         "record_id", "record_type", "owner_pos", "table_name", "ordinals",

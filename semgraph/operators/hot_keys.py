@@ -9,18 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from semgraph.operators.keyscan import chunks, in_key_order, starts
+from semgraph.operators.keyscan import CHUNK_ROWS, chunks, in_key_order, starts
 
 _STATE = "pid int, seq int, key string, n_rows bigint, n_values bigint, first_value string, last_value string"
 _SCHEMA = pa.schema([("pid", pa.int32()), ("seq", pa.int32()), ("key", pa.string()), ("n_rows", pa.int64()), ("n_values", pa.int64()), ("first_value", pa.string()), ("last_value", pa.string())])
 
 
-def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _states(batches: Iterator[pa.RecordBatch], chunk_rows: int) -> Iterator[pa.RecordBatch]:
     """One state per key and chunk of an ordered partition."""
     from pyspark import TaskContext
 
     pid = TaskContext.get().partitionId()
-    for seq, t in enumerate(chunks(batches)):
+    for seq, t in enumerate(chunks(batches, chunk_rows)):
         n = t.num_rows
         key_at = starts(t["key"])
         value_at = (key_at | starts(t["value"])) & t["value"].combine_chunks().is_valid().to_numpy(zero_copy_only=False)
@@ -37,21 +37,21 @@ def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def chunk_states(df: DataFrame, key: str, value: str) -> DataFrame:
+def chunk_states(df: DataFrame, key: str, value: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """The chunks of every key in order, with exact offsets.
 
     Columns: ``key, chunk_no, first_row`` (offset of the chunk within its key:
     the prefix sum of the counts before it), ``n_rows, n_values`` (distinct
     non-null values, less one if the first was already counted by the chunk
     before), ``first_value, last_value``.  No chunk has more than
-    ``CHUNK_ROWS`` rows, whatever the key; a window over the states of a key
+    ``chunk_rows`` rows, whatever the key; a window over the states of a key
     sees one row per chunk.
     """
     rows = df.select(
         F.col(key).cast("string").alias("key"), F.col(value).cast("string").alias("value"),
         (F.monotonically_increasing_id() % 1009).cast("short").alias("tie"),
     ).where("key is not null")
-    states = in_key_order(rows, "key", [F.xxhash64("value"), F.col("value")], "tie").select("key", "value").mapInArrow(_states, _STATE)
+    states = in_key_order(rows, "key", [F.xxhash64("value"), F.col("value")], "tie").select("key", "value").mapInArrow(lambda b: _states(b, chunk_rows), _STATE)
     w = Window.partitionBy("key").orderBy("pid", "seq")
     again = F.coalesce((F.lag("last_value").over(w) == F.col("first_value")).cast("long"), F.lit(0))
     return states.select(
@@ -61,11 +61,11 @@ def chunk_states(df: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
-def per_key_counts(df: DataFrame, key: str, value: str) -> DataFrame:
+def per_key_counts(df: DataFrame, key: str, value: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``key, n_rows, n_values``: rows and distinct non-null values of each non-null key.
 
     Defined cases: rows of a null key are no key's; null values are rows but no
     value; empty input gives no rows; equal rows count each; columns of the
     input with clashing names do not matter, as only two are read.
     """
-    return chunk_states(df, key, value).groupBy("key").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_values").alias("n_values"))
+    return chunk_states(df, key, value, chunk_rows).groupBy("key").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_values").alias("n_values"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semgraph.operators.keyscan import chunks, in_key_order, starts
+from semgraph.operators.keyscan import CHUNK_ROWS, chunks, in_key_order, starts
 from semgraph.session import materialize, new_folder
 
 #: what a delta is; the order within a key and time
@@ -31,7 +31,7 @@ _SCHEMA = pa.schema([
 ])
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], chunk_rows: int) -> Iterator[pa.RecordBatch]:
     """Running existence counts over the ordered deltas of one partition.
 
     Gives a row per reference without a record and one for the state at the
@@ -44,7 +44,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     # of the key that goes on from the chunk before; at first the one that may go on from another partition
     known = seen = False
     count, pending = 0, True
-    for t in chunks(batches):
+    for t in chunks(batches, chunk_rows):
         n = t.num_rows
         keys = t["key"].combine_chunks()
         kind, alive = t["kind"].to_numpy(), t["alive"].to_numpy().astype(np.int64)
@@ -101,7 +101,7 @@ def _carries(ends: list) -> dict[int, int]:
     return out
 
 
-def orphan_references(records: DataFrame, references: DataFrame) -> DataFrame:
+def orphan_references(records: DataFrame, references: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """References whose record did not exist when they were loaded.
 
     ``records(key, loaded_at, row_no, is_deleted)``, ``references(ref byte, key, loaded_at, row_no)``
@@ -122,7 +122,7 @@ def orphan_references(records: DataFrame, references: DataFrame) -> DataFrame:
         .unionByName(references.where("key is not null").select("key", "loaded_at", F.lit(REFERENCE).cast("byte").alias("kind"), "row_no", F.lit(0).cast("byte").alias("alive"), "ref", month("loaded_at").alias("month")))
     )
     scanned = in_key_order(deltas, "key", [F.col("loaded_at"), F.col("kind"), F.col("row_no")], "ref").select("key", "kind", "row_no", "alive", "ref", "month")
-    found = materialize(scanned.mapInArrow(_scan, _OUT), new_folder(spark, "orphans"))
+    found = materialize(scanned.mapInArrow(lambda b: _scan(b, chunk_rows), _OUT), new_folder(spark, "orphans"))
     carry = _carries(found.where("what = -1").select("pid", "first_key", "last_key", "known", "seen", "alive").collect())
     carried = spark.createDataFrame(list(carry.items()) or [(-1, MISSING)], "cp int, carry int")
     names = F.create_map(*[F.lit(x) for x in (MISSING, "missing", LATE, "late", DELETED, "deleted")])
