@@ -12,7 +12,7 @@ TARGETS = "mix_name string, source string, target_share double, max_repeats int,
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.dictionaries(st.sampled_from("abcdef"), st.tuples(st.floats(0, 10), st.floats(0, 1000)), max_size=6), st.floats(0, 5000))
+@given(st.dictionaries(st.sampled_from("abcdef"), st.tuples(st.just(0.0) | st.floats(0.01, 10), st.just(0.0) | st.floats(0.01, 1000)), max_size=6), st.floats(0, 5000))
 def test_water_fill(rows, total):
     weights, caps = {s: w for s, (w, _) in rows.items()}, {s: c for s, (_, c) in rows.items()}
     got = water_fill(weights, caps, total)
