@@ -91,18 +91,19 @@ def mix_sources(docs: DataFrame, targets: DataFrame, seed: int = 0, total_tokens
     plan_rows = mix_plan(rows, sizes, total_tokens)
     plan = spark.createDataFrame([tuple(r[c.split()[0]] for c in _PLAN.split(", ")) for r in plan_rows], _PLAN)
     live = plan.where("whole > 0 or cut > 0").select("mix_name", "source", "whole", "cut")
-    dealt = docs.join(F.broadcast(live), "source")  # at most the rows of targets
     draw = F.xxhash64(F.lit(seed), "mix_name", "doc_id", "n_tokens")
-    dealt = dealt.withColumn("draw", draw).withColumn("range", F.pmod("draw", F.lit(RANGES)))
-    ranges = dealt.where("cut > 0").groupBy("mix_name", "source", "range").agg(F.sum("n_tokens").alias("t"))
+    # both broadcasts have at most the rows of targets
+    dealt = docs.join(F.broadcast(live), "source").withColumn("draw", draw).withColumn("range", F.pmod("draw", F.lit(RANGES)))
+    ranges = dealt.where("cut > 0").groupBy("mix_name", "source", "cut", "range").agg(F.sum("n_tokens").alias("t"))
     w = Window.partitionBy("mix_name", "source").orderBy("range")
-    ranges = ranges.select("mix_name", "source", "range", (F.sum("t").over(w) - F.col("t")).alias("before"), "t")
-    dealt = dealt.join(ranges, ["mix_name", "source", "range"], "left")
-    inside = F.col("before") + F.col("t") <= F.col("cut")
-    edge = (F.col("before") < F.col("cut")) & ~inside
-    plain = dealt.where(~F.coalesce(edge, F.lit(False))).withColumn("more", F.coalesce(inside, F.lit(False)).cast("int"))
+    ranges = ranges.withColumn("before", F.sum("t").over(w) - F.col("t"))
+    edges = ranges.where("before <= cut and before + t > cut").select("mix_name", "source", F.col("range").alias("edge"), "before")
+    dealt = dealt.join(F.broadcast(edges), ["mix_name", "source"], "left")
+    at_edge = F.coalesce(F.col("range") == F.col("edge"), F.lit(False)) & (F.col("cut") > 0)
+    inside = (F.col("cut") > 0) & (F.col("edge").isNull() | (F.col("range") < F.col("edge")))
+    plain = dealt.where(~at_edge).withColumn("more", inside.cast("int"))
     w = Window.partitionBy("mix_name", "source").orderBy("draw", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    cut = dealt.where(edge).withColumn("more", (F.col("before") + F.sum("n_tokens").over(w) <= F.col("cut")).cast("int"))
+    cut = dealt.where(at_edge).withColumn("more", (F.col("before") + F.sum("n_tokens").over(w) <= F.col("cut")).cast("int"))
     mixed = plain.unionByName(cut).withColumn("repeats", F.col("whole") + F.col("more")).where("repeats > 0")
     return mixed.select("mix_name", "doc_id", "source", "n_tokens", "repeats"), plan
 
