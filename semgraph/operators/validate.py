@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semgraph.operators.build import edge_kind, edge_role
@@ -20,7 +20,12 @@ def validate(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     s = symbols.select("id", "name", "parent_id", "ord")
     e = edges.select("source_id", "target_id", edge_kind(F.col("kind")).alias("kind"), edge_role(F.col("properties")).alias("role"), "ord")
     label = F.concat_ws(" -> ", F.coalesce("source_id", F.lit("")), F.coalesce("target_id", F.lit("")))
-    again = lambda df, *key: df.withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy("ord"))).where("rn > 1")
+
+    def again(df: DataFrame, *key: str) -> DataFrame:
+        """Rows after the first of their key; the first is found by partial aggregation, so no task sorts a key."""
+        first = df.groupBy(*key).agg(F.min("ord").alias("_first"))
+        return df.join(first, list(key)).where("ord > _first")
+
     told = lambda code, df, subject: df.select(F.lit(code).alias("code"), subject.alias("subject"))
     ids = s.where(~blank("id")).select("id").distinct()
 
