@@ -16,8 +16,11 @@ from semgraph.schema import ENTRYPOINT_ATTRIBUTES, MESSAGE_BASES, MESSAGES
 # --- runtime reachability and dead code ----------------------------------------------------------------------------
 
 
-def runtime_reachable(g: Graph) -> DataFrame:
-    """``id, reason``: symbols that a runtime calls without a link: tagged ones, types of tagged members, message methods of receivers."""
+def runtime_reachable(g: Graph, asset_calls: DataFrame | None = None) -> DataFrame:
+    """``id, reason``: symbols that a runtime calls without a link: tagged ones, types of tagged members, message methods of receivers.
+
+    With ``asset_calls(script_path, method)`` also methods that serialized assets call, and their types.
+    """
     names = F.array(*map(F.lit, ENTRYPOINT_ATTRIBUTES))
     tag = F.get(F.filter(attributes(g.symbols), lambda a: F.array_contains(names, a)), F.lit(0))
     tagged = g.symbols.select("id", tag.alias("tag")).where("tag is not null")
@@ -38,6 +41,10 @@ def runtime_reachable(g: Graph) -> DataFrame:
     magic = messages.select("id", F.concat(F.lit("MonoBehaviour magic method '"), "name", F.lit("' on a Unity-message-receiver type")).alias("reason"), F.lit(2).alias("rank"))
     kids = g.contains.join(tagged, F.col("target_id") == F.col("id")).groupBy("source_id").agg(F.min_by("tag", "target_id").alias("tag"))
     hosts = types.select("id").join(kids, F.col("id") == F.col("source_id")).select("id", F.concat(F.lit("Type contains member tagged ["), "tag", F.lit("] (Unity reflection entrypoint)")).alias("reason"), F.lit(3).alias("rank"))
+    if asset_calls is not None:
+        called = g.symbols.where("kind = 'method'").join(asset_calls.select(F.col("script_path").alias("file_path"), F.col("method").alias("name")).distinct(), ["file_path", "name"], "left_semi")
+        both = called.select(F.explode(F.array("id", "parent_id")).alias("id")).where("id is not null").distinct()
+        hosts = hosts.unionByName(both.select("id", F.lit("Called by a serialized asset").alias("reason"), F.lit(4).alias("rank")))
     return own.unionByName(magic).unionByName(hosts).groupBy("id").agg(F.min_by("reason", "rank").alias("reason"))
 
 

@@ -16,6 +16,8 @@ from semgraph.plans.graph_source import PREFIX, graph, raw_edges
 from semgraph.session import new_folder
 from semgraph.sources import graph_json as J
 from semgraph.streaming import incremental as T
+from semgraph.tools import module_order as order_of_modules
+from semgraph.tools import static_rows
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -120,6 +122,23 @@ def member_count(spark: SparkSession, d: str) -> DataFrame:
     return A.member_count(m.select(F.col("source_id").alias("type_id"), F.col("kind").alias("member_kind"), "is_static", (F.coalesce(F.col("properties")["synthesized"], F.lit("")) == "true").alias("is_implicit"), F.lit(False).alias("is_accessor")))
 
 
+@query("select parent_id type_id, 'constants' table_id, rn - 1 row_no, n n_rows, name || '=' || v cells from (select parent_id, name, p['constantValue'] v, row_number() over (partition by parent_id order by id) rn, count(*) over (partition by parent_id) n from s where kind = 'field' and parent_id is not null and p['constantValue'] is not null) where rn <= 32")
+def static_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The constants of each type as a table of name and value."""
+    rows = A.static_tables(static_rows(graph(spark, d)))
+    cells = F.array_join(F.transform("cells", lambda c: F.regexp_replace(c, "^[a-z]+:", "")), "=")
+    return rows.select("type_id", "table_id", "row_no", "n_rows", cells.alias("cells"))
+
+
+_MOD_DEPS = ", md as (select distinct e.s, e.t from e join s a on a.id = e.s and a.kind = 'module' join s b on b.id = e.t and b.kind = 'module' where e.k = 'dependsOn')"
+
+
+@query(None, _MOD_DEPS)
+def module_order(spark: SparkSession, d: str) -> DataFrame:
+    """Modules by the longest chain of dependencies below them."""
+    return order_of_modules(graph(spark, d))
+
+
 #: fixed values: sizes of primitives in bytes
 SIZES = {"bool": 1, "int": 4, "long": 8, "double": 8, "byte[]": 8, "string": 8, "object": 8}
 

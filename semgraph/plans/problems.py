@@ -128,6 +128,19 @@ SQL = {
   kind as (select id, max(far) >= 1000 endless, max(step) depth, min(anc) filter (where far > 600) ring, arg_max(anc, step) top from pairs group by id),
   below as (select anc id, count(distinct id) - 1 n from pairs group by anc)
   select k.id, case when endless then ring else top end root_id, (case when endless then -1 else depth end)::int tree_depth, b.n n_below from kind k join below b on k.id = b.id""",
+    "p1_paths": f"""with recursive {_LIVING}, up(id, a, path, step) as (select id, id, id, 0 from tree union all select u.id, t.parent, t.parent || ' > ' || u.path, u.step + 1 from up u join tree t on u.a = t.id where t.parent is not null and u.step < 300),
+  ends as (select u.id, u.path from up u join tree t on t.id = u.a where t.parent is null),
+  ring as (select id from up group by id having count(*) filter (where a = id) > 1)
+  select t.id, e.path, t.id in (select id from ring) on_cycle from tree t left join ends e on e.id = t.id""",
+    "p4_found": """with recursive docs as (select graph_id, p::json j from (select graph_id, regexp_replace(payload, '^[\\x{FEFF}\\s]+', '') p from graph_documents) where json_valid(p) and json_type(p::json) = 'OBJECT'),
+  owned as (select graph_id, 'property' record_type, generate_subscripts(a, 1) - 1 owner_pos, unnest(a) x from (select graph_id, cast(json_extract(j, '$.symbols') as json[]) a from docs where json_type(j, '$.symbols') = 'ARRAY')
+    union all select graph_id, 'evidence', generate_subscripts(a, 1) - 1, unnest(a) from (select graph_id, cast(json_extract(j, '$.edges') as json[]) a from docs where json_type(j, '$.edges') = 'ARRAY')),
+  parts as materialized (select row_number() over () n, * from (select graph_id, 'adapter' record_type, 0::bigint owner_pos, json_extract(j, '$.adapter') v from docs
+    union all select graph_id, record_type, owner_pos, json_extract(x, case record_type when 'property' then '$.properties' else '$.evidence' end) from owned where json_type(x) = 'OBJECT') where v is not null),
+  nodes as materialized (select p.n, t.id, t.parent, t.key, t.type from parts p, lateral (select * from json_tree(p.v)) t),
+  walk(n, id, type, path) as (select n, id, type, '' from nodes where parent is null
+    union all select w.n, c.id, c.type, case when w.type = 'ARRAY' then w.path || '[' || c.key || ']' when w.path = '' then c.key else w.path || '.' || c.key end from walk w join nodes c on c.n = w.n and c.parent = w.id)
+  select graph_id, record_type, owner_pos::int owner_pos, path field_path from walk join parts using (n) where type not in ('OBJECT', 'ARRAY', 'NULL')""",
     "p2_found": f"with {_P2} select * from found where ref_state is not null",
     "p2_report": f"with {_P2} select ref_table, ref_field, load_month, ref_state, count(*) n_references from found where ref_state is not null group by all",
     "p2_current": f"""with {_REFS}, alive as (select k from recs group by k having not arg_max(is_deleted, (loaded_at, row_no)))
