@@ -30,7 +30,7 @@ SHAPES = (
 )
 _OPTIONS = {c: s for s in SHAPES for c in s}
 #: letters that tokens are made of: Latin, Greek, Cyrillic, Armenian and kana, with their marks
-_TOKEN = re.compile("[A-Za-zªºµ-ʯ̀-ͯͰ-֏ぁ-゚ァ-ヺ]+")
+_TOKEN = re.compile("[A-Za-zªºµ-ʯ\u0300-\u036fͰ-֏ぁ-\u309aァ-ヺ]+")
 #: a bigram table has at most the square of this many letters, whatever the texts
 LETTERS = 26 * 2 + 0x058F - 0x00AA + 1 + 0x30FA - 0x3041 + 3
 UNSEEN, FOREIGN = -14.0, -20.0
@@ -68,11 +68,11 @@ def _joined(c: str) -> bool:
 def _plain(c: str) -> str:
     """What one character is in the consistent form, taken apart."""
     o, kind = ord(c), unicodedata.category(c)
-    if c in "\n\x85  ":
+    if c in "\n\x85\u2028\u2029":
         return "\n"
     if c == "\r":
         return "\r"
-    if kind == "Zs" or c in "\t\x0b\x0c⠀":
+    if kind == "Zs" or c in "\t\x0b\x0c\u2800":
         return " "
     if kind in ("Cc", "Cf", "Cs") or o == 0x034F or 0x115F <= o <= 0x1160 or o in (0x17B4, 0x17B5, 0x3164, 0xFFA0) or 0x180B <= o <= 0x180F or 0xFE00 <= o <= 0xFE0F or 0xE0000 <= o <= 0xE0FFF:
         return ""
