@@ -49,9 +49,9 @@ def triples(text: str, parts=PARTS) -> list[tuple]:
     named = _parts(parts)
     tops = {top: inner for top, inner, _ in parts}
     at, end = 0, len(text)
-    while at < end and text[at] in "﻿ \t\n\r":
+    while at < end and text[at] in "\ufeff \t\n\r":
         at += 1
-    while end > at and text[end - 1] in "﻿ \t\n\r":
+    while end > at and text[end - 1] in "\ufeff \t\n\r":
         end -= 1
     match, out = _TOKEN.match, []
     # a frame: [is_array, position or key, part name or None, path, table, column prefix, ordinals, role]
