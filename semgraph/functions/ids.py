@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 def clean_id(c: Column | str) -> Column:
     """Ids without surrounding spaces and tabs and with ``\\`` read as ``/``; an empty one is null."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.nullif(F.translate(F.trim(c, F.lit(" \t")), "\\", "/"), F.lit(""))
+    # trimming a set of characters is slow, so only ids that need it are trimmed
+    ragged = c.startswith(" ") | c.endswith(" ") | c.contains("\t")
+    trimmed = F.when(ragged, F.trim(c, F.lit(" \t"))).otherwise(c)
+    return F.nullif(F.replace(trimmed, F.lit("\\"), F.lit("/")), F.lit(""))
 
 
 def table(spark, sf_dir: str, name: str):

@@ -4,6 +4,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from semgraph.functions.ids import clean_id
 from semgraph.operators import keyscan
 from semgraph.operators.diff import table_diff
 from semgraph.operators.hot_keys import chunk_states, per_key_counts
@@ -101,3 +102,9 @@ def test_diff_of_nothing(spark):
     assert _diff(spark, [], []) == []
     assert _diff(spark, [(4, "a", "b", 1, 1, None)], []) == [(4, "only_left")]
     assert _diff(spark, [(4, "a", None, 1, 1, None)] * 3, [(4, "a", None, 1, 1, None)]) == []
+
+
+def test_clean_ids(spark):
+    cases = [(None, None), ("", None), (" \t ", None), ("a", "a"), (" a\\b\t", "a/b"), ("\ta b ", "a b"), ("A", "A"), ("\n", "\n"), ("\\", "/")]
+    df = spark.createDataFrame(cases, "c string, want string")
+    assert df.where(~clean_id("c").eqNullSafe(F.col("want"))).count() == 0
