@@ -33,11 +33,18 @@ def water_fill(weights: dict[str, float], caps: dict[str, float], total: float)
     return out
 
 
-def mix_plan(targets: list[dict], sizes: dict[str, int], total_tokens: int | None = None) -> list[dict]:
+def largest_exact_total(weights: dict[str, float], caps: dict[str, float]) -> float:
+    """The greatest total at which no source that has anything is above its cap, so that all shares are met."""
+    live = [s for s, w in weights.items() if w > 0 and caps.get(s, 0) > 0]
+    return min((caps[s] * sum(weights[x] for x in live) / weights[s] for s in live), default=0.0)
+
+
+def mix_plan(targets: list[dict], sizes: dict[str, int], total_tokens: int | str | None = None) -> list[dict]:
     """One row per mix and source: its size in the mix and the epochs that make it.
 
-    The total of a mix is ``total_tokens`` or, by default, one epoch of its
-    sources of positive share; a source gives at most ``max_repeats`` epochs.
+    The total of a mix is ``total_tokens``, the greatest at which every share
+    is met if that is ``"exact"`` or, by default, one epoch of its sources of
+    positive share; a source gives at most ``max_repeats`` epochs.
     Several rows of a mix and source are one, of the sum of their shares and
     the greatest repeats.  A share that is null, negative or no number is 0,
     a null repeat 1.
@@ -55,7 +62,7 @@ def mix_plan(targets: list[dict], sizes: dict[str, int], total_tokens: int | Non
     for mix, rows in mixes.items():
         weights = {s: w for s, (w, _) in rows.items()}
         caps = {s: float(sizes.get(s, 0) * r) for s, (_, r) in rows.items()}
-        total = total_tokens if total_tokens is not None else sum(sizes.get(s, 0) for s, w in weights.items() if w > 0)
+        total = largest_exact_total(weights, caps) if total_tokens == "exact" else total_tokens if total_tokens is not None else sum(sizes.get(s, 0) for s, w in weights.items() if w > 0)
         got = water_fill(weights, caps, total)
         for s, (w, r) in rows.items():
             size = sizes.get(s, 0)
@@ -70,7 +77,7 @@ def mix_plan(targets: list[dict], sizes: dict[str, int], total_tokens: int | Non
 _PLAN = "mix_name string, source string, target_share double, max_repeats int, available_tokens long, planned_tokens double, epochs double, whole int, cut long"
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, seed: int = 0, total_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, targets: DataFrame, seed: int = 0, total_tokens: int | str | None = None) -> tuple[DataFrame, DataFrame]:
     """``docs(doc_id, source, n_tokens)``, ``targets(mix_name, source, target_share, max_repeats)`` -> the mix and its plan.
 
     The mix has a row per mix and document in it: ``mix_name, doc_id, source, n_tokens, repeats``.

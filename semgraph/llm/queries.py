@@ -31,10 +31,10 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(p6_pack(spark, d), _packs(spark, d))
 
 
-def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _mix(spark: SparkSession, d: str, total: int | str | None = None) -> tuple[DataFrame, DataFrame]:
     docs = token_counts(table(spark, d, "documents").select("text", "doc_id", _source()), "text", ["doc_id", "source"])
     targets = table(spark, d, "mix_targets").withColumn("source", _source())
-    return mix_sources(docs, targets)
+    return mix_sources(docs, targets, total_tokens=total)
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -45,6 +45,11 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_report(*_mix(spark, d))
 
 
+def p7_exact_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The report of the largest mixes that meet every share of a source with documents."""
+    return mix_report(*_mix(spark, d, "exact"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     forms = consistent_forms(table(spark, d, "documents"), "doc_id", "text", digests_only=True)
     return same_looking_pairs(materialize(forms, new_folder(spark, "forms")))
@@ -55,5 +60,5 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return consistent_forms(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p6_pack, p6_report, p7_mix, p7_shares, p8_found, p8_forms)}
+QUERIES = {f.__name__: f for f in (p6_pack, p6_report, p7_mix, p7_shares, p7_exact_shares, p8_found, p8_forms)}
 SQL: dict[str, str] = {}

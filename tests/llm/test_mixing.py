@@ -62,3 +62,10 @@ def test_nothing_to_mix(spark):
     mixed, plan = mix_sources(docs, t)
     assert mixed.count() == 0 and mix_report(mixed, plan).first().actual_share == 0
     assert mix_sources(spark.createDataFrame([(1, "a", 3, 0, 0)], DOCS), t.limit(0))[0].count() == 0
+
+
+def test_exact_total():
+    t = [{"mix_name": "m", "source": s, "target_share": w, "max_repeats": r} for s, w, r in (("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.1, 4), ("gone", 0.1, 9))]
+    plan = {r["source"]: r for r in mix_plan(t, {"a": 1000, "b": 1000, "c": 10}, "exact")}
+    assert plan["c"]["epochs"] == pytest.approx(4) and plan["a"]["planned_tokens"] == pytest.approx(200) and plan["b"]["planned_tokens"] == pytest.approx(120)
+    assert mix_plan(t, {}, "exact")[0]["planned_tokens"] == 0
