@@ -9,7 +9,7 @@ from semgraph.operators import analysis as A
 from semgraph.operators import build as B
 from semgraph.operators import reads as R
 from semgraph.operators.validate import validate
-from semgraph.plans.graph_source import PREFIX, graph, raw_edges, raw_symbols
+from semgraph.plans.graph_source import PREFIX, cycle_members, graph, raw_edges, raw_symbols
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -227,6 +227,16 @@ def blast_by_bucket(spark: SparkSession, d: str) -> DataFrame:
     return A.grouped(rows, ["root", "bucket"])
 
 
+@query(
+    "select root, coalesce(x.name, '(unknown)') module_name, count(*) n, count(*) filter (where dist = 1) n_direct, array_to_string(list(node order by dist, node)[1:5], '|') preview from got left join mo on mo.id = node left join s x on x.id = mo.m where dist > 0 and node <> root group by all",
+    _MODULE + _BLAST,
+)
+def blast_by_module(spark: SparkSession, d: str) -> DataFrame:
+    g = graph(spark, d)
+    rows = A.blast_radius(g, _hot(g)).join(A.module_name_of(g).withColumnRenamed("id", "node"), "node")
+    return A.grouped(rows, ["root", "module_name"])
+
+
 _ORDER = "list_position(['contains', 'dependsOn', 'implements', 'inherits', 'calls', 'references', 'overrides'], {})"
 
 
@@ -270,6 +280,20 @@ def test_impact(spark: SparkSession, d: str) -> DataFrame:
     return A.test_impact(g, g.symbols.where("kind = 'type' and visibility = 'protected'").select("id"))
 
 
+_FILES = "select id from s where kind = 'file' and ends_with(name, 'Factory.cs')"
+
+
+@query(
+    f"""select root, m test_class, min(dist) distance, case min(dist) when 1 then 'Direct' when 2 then 'OneHop' else 'Transitive' end confidence,
+  array_to_string(list_sort(list(distinct coalesce(x.qualified_name, x.name))), ';') tests from got join s x on x.id = node and {_TEST} join ty on ty.id = node group by root, m""",
+    _TYPE16 + _reach(_BACK, f"select f root, id node from filed where f in ({_FILES})", 12),
+)
+def test_impact_of_files(spark: SparkSession, d: str) -> DataFrame:
+    """Tests that reach anything in the files of factories."""
+    g = graph(spark, d)
+    return A.test_impact(g, g.symbols.where("kind = 'file' and name like '%Factory.cs'").select("id"))
+
+
 _CLOSURE = ", inh as (select distinct s a, t b from e where k = 'inherits'), clo(root, node) as (select a, b from inh union select c.root, i.b from clo c join inh i on c.node = i.a)"
 
 
@@ -293,7 +317,7 @@ _SCC = ", st as (select distinct s a, t b from l where s <> t and not (k = 'refe
 
 @query("select node id, component from scc", _SCC)
 def cycles(spark: SparkSession, d: str) -> DataFrame:
-    return A.cycles(graph(spark, d)).select(F.col("node").alias("id"), "component")
+    return cycle_members(spark, d).select(F.col("node").alias("id"), "component")
 
 
 _CLASSES = f"""{_SCC}{_UP.format(kind="type", hops=32, name="tu")}, sz as (select component, count(*) n from scc group by 1),
@@ -305,13 +329,13 @@ _CLASSES = f"""{_SCC}{_UP.format(kind="type", hops=32, name="tu")}, sz as (selec
 @query("select * from cls", _CLASSES)
 def cycle_taxonomy(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
-    return A.cycle_taxonomy(g, A.cycles(g))
+    return A.cycle_taxonomy(g, cycle_members(spark, d))
 
 
 @query("select class, count(*) n_cycles, sum(n_members)::bigint n_symbols, max(n_members) largest from cls group by 1", _CLASSES)
 def cycle_stats(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
-    return A.cycle_stats(A.cycle_taxonomy(g, A.cycles(g)))
+    return A.cycle_stats(A.cycle_taxonomy(g, cycle_members(spark, d)))
 
 
 @query(
@@ -362,6 +386,16 @@ def module_boundary(spark: SparkSession, d: str) -> DataFrame:
     return A.module_boundary(graph(spark, d), ("Test",))
 
 
+@query(
+    "select count(*) symbols, count(*) filter (where kind = 'file') files, count(*) filter (where kind = 'type') types, count(*) filter (where kind = 'module') modules, count(*) filter (where kind = 'method') methods, (select count(*) from e) edges, (select count(*) from (select distinct s, t, k, role from br)) violations, (select count(distinct component) from scc) cycles from s",
+    _SCC + _VIO,
+)
+def pipeline_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The figures of the whole analysis: all its parts are computed."""
+    g = graph(spark, d)
+    return A.graph_metrics(g, A.violations(g, rules(spark)), cycle_members(spark, d).select("component").distinct())
+
+
 # --- dead code, ports, authorities
 
 _DEAD = f""", att as (select id, list_filter(string_split(coalesce(attrs, ''), ';'), lambda a: a in ({", ".join(repr(a) for a in R.ENTRYPOINT_ATTRIBUTES)})) tags from s),

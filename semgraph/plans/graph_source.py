@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semgraph.functions.ids import clean_id, table
+from semgraph.operators.analysis import cycles
 from semgraph.operators.build import Graph, build
 from semgraph.operators.deliveries import newest
 from semgraph.session import materialize, new_folder
@@ -53,6 +54,17 @@ def graph(spark: SparkSession, d: str) -> Graph:
     return _built[key]
 
 
+_cycles: dict[tuple[str, str], DataFrame] = {}
+
+
+def cycle_members(spark: SparkSession, d: str) -> DataFrame:
+    """The components of the built graph, found once per application and data folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _cycles:
+        _cycles[key] = materialize(cycles(graph(spark, d)), new_folder(spark, "cycles"))
+    return _cycles[key]
+
+
 _CLEAN = "nullif(replace(trim({}, ' \t'), '\\', '/'), '')"
 _GEN = "['obj', 'bin', 'generated']"
 _VEN = "['packages', 'packagecache', 'samples', 'samples~', 'sample', 'thirdparty', 'third-party', 'third_party', 'vendor', 'vendored', 'external']"
