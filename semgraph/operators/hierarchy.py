@@ -22,20 +22,20 @@ MAX_ROUNDS = 400
 
 
 def living_parents(nodes: DataFrame) -> DataFrame:
-    """``nodes(id, parent)`` with ids unique: parents that are no node become null.
+    """``nodes(id, parent, key)`` with ids unique -> ``id, p``: keys of the node and its parent, null if that is no node.
 
     Parents of very many children are looked up apart (there are fewer than 200
     of them), so that no task of the join gets all their children.
     """
-    ids = nodes.select(F.col("id").alias("pid"))
+    ids = nodes.select(F.col("id").alias("pid"), F.col("key").alias("p"))
     hot = frequent_keys(nodes, "parent")
     if hot:
-        hot = [r[0] for r in ids.where(F.col("pid").isin(hot)).collect()]
-        bulk = F.col("parent").isin(hot) if hot else F.lit(False)
-        rest = nodes.withColumn("key", F.when(~bulk, F.col("parent")))
-        joined = rest.join(ids, rest["key"] == ids["pid"], "left")
-        return joined.select("id", F.when(bulk, F.col("parent")).otherwise(F.col("pid")).alias("parent"))
-    return nodes.join(ids, nodes["parent"] == ids["pid"], "left").select("id", F.col("pid").alias("parent"))
+        keys = [x for r in ids.where(F.col("pid").isin(hot)).collect() for x in (F.lit(r["pid"]), F.lit(r["p"]))]
+        found = F.create_map(*keys)[F.col("parent")] if keys else F.lit(None).cast(nodes.schema["key"].dataType)
+        rest = nodes.withColumn("_rest", F.when(~F.col("parent").isin(hot), F.col("parent"))).withColumn("_hot", F.when(F.col("parent").isin(hot), found))
+        joined = rest.join(ids, rest["_rest"] == ids["pid"], "left")
+        return joined.select(F.col("key").alias("id"), F.coalesce("_hot", "p").alias("p"))
+    return nodes.join(ids, nodes["parent"] == ids["pid"], "left").select(F.col("key").alias("id"), "p")
 
 
 def _round(state: DataFrame, salt: int, paths: bool) -> DataFrame:
@@ -81,11 +81,11 @@ def _round(state: DataFrame, salt: int, paths: bool) -> DataFrame:
     )
 
 
-def _put_back(rows: DataFrame, known: DataFrame | None, paths: bool) -> DataFrame:
-    """Results of the nodes that one round removed or finished, from those of later rounds."""
+def _finished(rows: DataFrame, paths: bool) -> DataFrame:
+    """Results of roots and of the nodes that cycles shrank to; ``root`` is a key."""
     cyc = F.col("p").isNotNull()
     empty = F.lit(None).cast("array<string>")
-    done = rows.where("status = 'done'").select(
+    return rows.where("status = 'done'").select(
         "id",
         F.when(cyc, F.least("id", "mn")).otherwise(F.col("id")).alias("root"),
         F.when(cyc, -1).otherwise(0).cast("long").alias("depth"),
@@ -93,10 +93,13 @@ def _put_back(rows: DataFrame, known: DataFrame | None, paths: bool) -> DataFram
         cyc.alias("cyc"),
         *([F.when(cyc, empty).otherwise(F.array("id")).alias("path")] if paths else []),
     )
-    if known is None:
-        return done
+
+
+def _put_back(rows: DataFrame, known: DataFrame, paths: bool) -> DataFrame:
+    """Results of the nodes that one round removed, from those of the nodes that stayed longer."""
+    key = rows.schema["id"].dataType
     raked = rows.where("status = 'raked'").select(
-        "id", "p", "d", F.col("w").alias("own"), F.lit(None).cast("string").alias("c"), *(["seg"] if paths else [])
+        "id", "p", "d", F.col("w").alias("own"), F.lit(None).cast(key).alias("c"), *(["seg"] if paths else [])
     )
     gone = rows.where("u is not null").select(
         F.col("u").alias("id"), "p", F.col("ud").alias("d"), (F.col("uw") + F.col("below_e")).alias("own"), F.col("id").alias("c"),
@@ -104,14 +107,15 @@ def _put_back(rows: DataFrame, known: DataFrame | None, paths: bool) -> DataFram
     )
     up = known.select(F.col("id").alias("pk"), "root", "depth", *(["path"] if paths else []))
     down = known.select(F.col("id").alias("ck"), F.col("size").alias("below"), F.col("cyc").alias("c_cyc"))
-    seek = lambda x: x.join(up, x["p"] == up["pk"], "left")
-    depth = F.when(F.col("depth") < 0, F.lit(-1).cast("long")).otherwise(F.col("depth") + F.col("d")).alias("depth")
-    path = [F.concat("path", "seg", F.array("id")).alias("path")] if paths else []
-    a = seek(raked).select("id", "root", depth, F.col("own").alias("size"), F.lit(False).alias("cyc"), *path)
-    b = seek(gone.join(down, gone["c"] == down["ck"], "left"))
-    path = [F.when(F.col("c_cyc"), empty).otherwise(F.concat("path", "seg", F.array("id"))).alias("path")] if paths else []
-    b = b.select("id", "root", depth, F.when(F.col("c_cyc"), F.col("below")).otherwise(F.col("below") + F.col("own")).alias("size"), F.col("c_cyc").alias("cyc"), *path)
-    return done.unionByName(a).unionByName(b)
+    # a raked node has no child; a spliced one lies on a cycle if its child does
+    both = raked.withColumn("below", F.lit(0).cast("long")).withColumn("c_cyc", F.lit(False)).unionByName(
+        gone.join(down, gone["c"] == down["ck"], "left").drop("ck")
+    )
+    both = both.join(up, both["p"] == up["pk"], "left")
+    depth = F.when(F.col("depth") < 0, F.lit(-1).cast("long")).otherwise(F.col("depth") + F.col("d"))
+    path = [F.when(~F.col("c_cyc"), F.concat("path", "seg", F.array("id"))).alias("path")] if paths else []
+    size = F.when(F.col("c_cyc"), F.col("below")).otherwise(F.col("below") + F.col("own"))
+    return both.select("id", "root", depth.alias("depth"), size.alias("size"), F.col("c_cyc").alias("cyc"), *path)
 
 
 def hierarchy(nodes: DataFrame, with_paths: bool = False) -> DataFrame:
@@ -130,11 +134,14 @@ def hierarchy(nodes: DataFrame, with_paths: bool = False) -> DataFrame:
     spark = nodes.sparkSession
     base = new_folder(spark, "contract")
     nodes = nodes.select(F.col("id").cast("string"), F.col("parent").cast("string")).where("id is not null")
-    nodes = materialize(nodes.groupBy("id").agg(F.max("parent").alias("parent")), f"{base}/nodes")
-    none = F.lit(None)
+    nodes = nodes.groupBy("id").agg(F.max("parent").alias("parent"))
+    # the rounds work on numbers in the order of the ids, so the least number of a cycle is its least id; paths need the ids
+    number = F.col("id") if with_paths else F.monotonically_increasing_id()
+    nodes = materialize((nodes if with_paths else nodes.orderBy("id")).withColumn("key", number), f"{base}/nodes")
+    key = nodes.schema["key"].dataType
     state = living_parents(nodes).select(
-        "id", F.col("parent").alias("p"), F.lit(1).cast("long").alias("w"), F.lit(0).cast("long").alias("e"), F.lit(1).cast("long").alias("d"),
-        none.cast("string").alias("mn"), *([F.array().cast("array<string>").alias("seg")] if with_paths else []),
+        "id", "p", F.lit(1).cast("long").alias("w"), F.lit(0).cast("long").alias("e"), F.lit(1).cast("long").alias("d"),
+        F.lit(None).cast(key).alias("mn"), *([F.array().cast("array<string>").alias("seg")] if with_paths else []),
         F.lit("live").alias("status"),
     )
     rounds: list[DataFrame] = []
@@ -147,17 +154,18 @@ def hierarchy(nodes: DataFrame, with_paths: bool = False) -> DataFrame:
             break
     else:
         raise RuntimeError("contraction did not end")
-    known, parts = None, []
+    names = nodes.select(F.col("key").alias("_key"), F.col("id").alias("_name"))
+    ends = _finished(spark.read.schema(state.schema).parquet(*[f"{base}/round{i}" for i in range(len(rounds))]), with_paths)
+    ends = ends.join(names, ends["root"] == names["_key"]).withColumn("root", F.col("_name")).drop("_key", "_name")
+    known = materialize(ends, f"{base}/known")
+    parts = [f"{base}/known"]
     for i, rows in reversed(list(enumerate(rounds))):
-        part = f"{base}/known{i}"
-        _put_back(rows, known, with_paths).write.parquet(part)
-        parts.append(part)
-        known = spark.read.parquet(*parts)
-    for i in range(len(rounds)):
+        _put_back(rows, known, with_paths).write.parquet(f"{base}/known{i}")
+        parts.append(f"{base}/known{i}")
+        known = spark.read.schema(known.schema).parquet(*parts)
         discard(spark, f"{base}/round{i}")
-    discard(spark, f"{base}/nodes")
-    return known.select(
-        "id", F.col("root").alias("root_id"), F.col("depth").cast("int").alias("tree_depth"),
+    return known.join(names, known["id"] == names["_key"]).select(
+        F.col("_name").alias("id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("tree_depth"),
         (F.col("size") - 1).alias("n_below"), F.col("cyc").alias("on_cycle"), *(["path"] if with_paths else []),
     )
 
