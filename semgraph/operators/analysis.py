@@ -59,12 +59,16 @@ def tiers(g: Graph) -> DataFrame:
     return rows.select("id", tier.alias("tier"), why.alias("reason"))
 
 
-def violations(g: Graph, rules: DataFrame) -> DataFrame:
-    """The first rule that each link breaks: ``source_id, target_id, kind, rule_id, message``.
+#: rules that are broadcast at once; larger packs are held against the names in blocks
+RULE_BLOCK = 10_000
 
-    ``rules`` is a rule pack, small by its nature (``rule_ord, id, source,
-    must_not_reference, may_only_reference``). Rules are held against the
-    distinct names that occur, not against the edges.
+
+def violations(g: Graph, rules: DataFrame, block: int = RULE_BLOCK) -> DataFrame:
+    """The first rule that each link breaks: ``source_id, target_id, kind, role, rule_id, message``.
+
+    ``rules(rule_ord, id, source, must_not_reference, may_only_reference)``,
+    ordinals from 0. Rules are matched with the distinct names that occur, in
+    blocks of bounded size, not with the edges.
     """
     names = g.symbols.select("id", F.coalesce(F.nullif("qualified_name", F.lit("")), "id").alias("name"))
     pairs = g.links.select("source_id", "target_id").distinct()
@@ -75,8 +79,14 @@ def violations(g: Graph, rules: DataFrame) -> DataFrame:
     only = F.col("may_only_reference").isNotNull() & ~matches_pattern(F.col("t"), F.col("may_only_reference")) & ~matches_pattern(F.col("t"), F.col("pattern"))
     words = F.when(must, F.concat(F.lit(" must_not_reference "), F.col("must_not_reference"))).otherwise(F.concat(F.lit(" may_only_reference "), F.col("may_only_reference")))
     message = F.concat("rule_id", F.lit(": "), "s", words)
-    sources = pairs.select("source_id", "s").distinct().join(F.broadcast(r), hit)
-    broken = pairs.drop("s").join(sources, "source_id").where(must | only).groupBy("source_id", "target_id").agg(F.min_by(F.struct("rule_id", message.alias("message")), "rule_ord").alias("v"))
+    named = pairs.select("source_id", "s").distinct()
+    last = r.agg(F.max("rule_ord")).first()[0]
+    found = None
+    for low in range(0, (last if last is not None else 0) + 1, block):
+        part = F.broadcast(r.where((F.col("rule_ord") >= low) & (F.col("rule_ord") < low + block)))
+        hits = pairs.drop("s").join(named.join(part, hit), "source_id").where(must | only).select("source_id", "target_id", "rule_ord", "rule_id", message.alias("message"))
+        found = hits if found is None else found.unionByName(hits)
+    broken = found.groupBy("source_id", "target_id").agg(F.min_by(F.struct("rule_id", "message"), "rule_ord").alias("v"))
     return g.links.select("source_id", "target_id", "kind", "role").join(broken, ["source_id", "target_id"]).select("source_id", "target_id", "kind", "role", "v.rule_id", "v.message")
 
 

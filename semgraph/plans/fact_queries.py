@@ -133,7 +133,10 @@ def static_tables(spark: SparkSession, d: str) -> DataFrame:
 _MOD_DEPS = ", md as (select distinct e.s, e.t from e join s a on a.id = e.s and a.kind = 'module' join s b on b.id = e.t and b.kind = 'module' where e.k = 'dependsOn')"
 
 
-@query(None, _MOD_DEPS)
+@query(
+    "select id, max(n)::int as level from cm join lv on lv.c = cm.c group by id",
+    _MOD_DEPS + ", rc(a, b) as (select s, t from md where s <> t union select r.a, m.t from rc r join md m on m.s = r.b), cm as materialized (select x.id, coalesce((select greatest(max(r.b), x.id) from rc r where r.a = x.id and exists (select 1 from rc q where q.a = r.b and q.b = x.id)), x.id) c from s x where x.kind = 'module'), ce as (select distinct a.c a, b.c b from md join cm a on a.id = md.s join cm b on b.id = md.t where a.c <> b.c), lv(c, n) as (select distinct c, 0 from cm union select ce.a, lv.n + 1 from lv join ce on ce.b = lv.c)",
+)
 def module_order(spark: SparkSession, d: str) -> DataFrame:
     """Modules by the longest chain of dependencies below them."""
     return order_of_modules(graph(spark, d))
@@ -143,7 +146,13 @@ def module_order(spark: SparkSession, d: str) -> DataFrame:
 SIZES = {"bool": 1, "int": 4, "long": 8, "double": 8, "byte[]": 8, "string": 8, "object": 8}
 
 
-@query(None)
+_SIZES = "case p['fieldType'] when 'bool' then 1 when 'int' then 4 when 'long' then 8 when 'double' then 8 when 'byte[]' then 8 when 'string' then 8 when 'object' then 8 end"
+
+
+@query(
+    "select type_id, (((arg_max(fin, o) + arg_max(mx, o) - 1) // arg_max(mx, o)) * arg_max(mx, o))::int size, arg_max(mx, o)::int alignment, arg_max(offs, o) offsets, case when bool_and(ex) then 'Exact' else 'Advisory' end exactness from lay join fd using (type_id, o) group by 1",
+    f", fd as materialized (select parent_id type_id, row_number() over (partition by parent_id order by o0) o, sz, p['fieldType'] not in ('string', 'object', 'byte[]') ex from (select parent_id, p, {_SIZES} sz, row_number() over (partition by parent_id order by coalesce(line, 0), id) o0 from s where kind = 'field' and parent_id is not null and p['fieldType'] is not null) where sz is not null), lay(type_id, o, fin, mx, offs) as (select type_id, o, sz, sz, '0' from fd where o = 1 union all select l.type_id, f.o, ((l.fin + f.sz - 1) // f.sz) * f.sz + f.sz, greatest(l.mx, f.sz), l.offs || ',' || ((l.fin + f.sz - 1) // f.sz) * f.sz from lay l join fd f on f.type_id = l.type_id and f.o = l.o + 1)",
+)
 def struct_layout(spark: SparkSession, d: str) -> DataFrame:
     """Types with fields as if they were structs; fields in order of line and id."""
     from pyspark.sql import Window

@@ -471,6 +471,19 @@ def authority_coverage(spark: SparkSession, d: str) -> DataFrame:
     return R.authority_coverage(g, g.symbols.where("kind = 'type' and visibility = 'public'").select("id"), pick("type:Tarnwick.Core.Guard"), pick("type:Tarnwick.Core.Result"), buckets=("Production",))
 
 
+_BELOW = "select {root} root, id node from s where {where} union select b.root, c.t from {name} b join c on c.s = b.node"
+
+
+@query(
+    "select x.id, case when x.id not in (select root from seeds) then 'NoSubjectSeeds' when b.b is null then 'MissingRequired' when b.b.alt = 0 then 'RequiredReached' else 'AllowedAlternativeReached' end status, b.b.dist distance from s x left join (select root, min({'alt': alt, 'dist': dist}) b from walk join parts on parts.node = walk.node group by 1) b on b.root = x.id where x.kind = 'type' and x.visibility = 'public'",
+    f""", wide(root, node) as ({_BELOW.format(root="id", where="kind = 'type' and visibility = 'public'", name="wide")}), seeds as materialized (select root, w.node from wide w join s x on x.id = w.node where x.kind = 'method' and x.bucket = 'Production'),
+  below(root, node) as ({_BELOW.format(root="id", where="id in ('type:Tarnwick.Core.Guard', 'type:Tarnwick.Core.Result')", name="below")}), parts as (select case root when 'type:Tarnwick.Core.Guard' then 0 else 1 end alt, node from below),
+  st as (select distinct s a, t b from l), walk(root, node, dist) as (select root, node, 0 from seeds union select w.root, st.b, w.dist + 1 from walk w join st on st.a = w.node where w.dist < 6)""",
+)
+def authority_status(spark: SparkSession, d: str) -> DataFrame:
+    return authority_coverage(spark, d).select("id", "status", "distance")
+
+
 # --- search and identifiers
 
 _CAMEL = "list_transform(string_split(regexp_replace(name, '([^\\p{Lu}])(\\p{Lu})', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: lower(x))"
@@ -504,7 +517,17 @@ def overloads(spark: SparkSession, d: str) -> DataFrame:
     return R.overloads(graph(spark, d))
 
 
-@query(None)
+_RESOLVE = """, asked as (select distinct x input from (select s x from rawe union all select t from rawe union all select name from s where kind = 'type') where x is not null),
+  q as (select *, regexp_replace(q, '^[a-z]+:', '') stem, regexp_extract(q, '^([a-z]+):', 1) kind, not regexp_matches(q, '[:.(]') bare, string_split(regexp_replace(regexp_replace(q, '^[a-z]+:', ''), '\\(.*$', ''), '.')[-1] last from (select input, trim(input, ' ') q from asked)),
+  sy as (select id, kind skind, name, regexp_replace(id, '\\(.*$', '') no_args, regexp_replace(id, '^[a-z]+:', '') sstem from s),
+  rung as (select input, 1 r, id from q join sy on q.q = sy.id union select input, 2, id from q join sy on q.kind = 'method' and not contains(q.q, '(') and skind = 'method' and q.q = no_args
+    union select input, 3, id from q join sy on q.kind in ('method', 'field', 'property', 'type') and skind <> 'method' and regexp_replace(q.stem, '\\(.*$', '') = sstem
+    union select input, 4, id from q join sy on q.bare and lower(q.q) = lower(name)
+    union select input, 5, id from q join sy on not q.bare and q.last <> '' and lower(q.last) = lower(name) and (q.kind = '' or skind = case q.kind when 'mod' then 'module' when 'ns' then 'namespace' else q.kind end)),
+  best as (select input, r, count(*) n, min(id) id from rung group by 1, 2 qualify row_number() over (partition by input order by r) = 1)"""
+
+
+@query("select a.input, case when b.r is null then 'NotFound' when b.n > 1 then 'Ambiguous' when b.r = 1 then 'Exact' else 'Lenient' end outcome, case when b.n = 1 then b.id end id, coalesce(b.n, 0) n_candidates from asked a left join best b using (input)", _RESOLVE)
 def resolve(spark: SparkSession, d: str) -> DataFrame:
     """Resolves every id of the edges as it stands, and every symbol's bare name."""
     g = graph(spark, d)

@@ -158,6 +158,7 @@ def test_first_rule_only(spark):
     g = make(spark, [("x", "X", "App.Domain.X", "type", None, None, None, "public", False, False, {}, 0), ("y", "Y", "App.Infra.Y", "type", None, None, None, "public", False, False, {}, 0)], [("x", "y")])
     r = spark.createDataFrame([(0, "R1", "*.Domain", "*.Infra", None), (1, "R2", "*", "*.Infra", None), (2, "R3", "*.Domain", None, "System")], "rule_ord int, id string, source string, must_not_reference string, may_only_reference string")
     assert rows(A.violations(g, r), "rule_id", "message") == [("R1", "R1: App.Domain.X must_not_reference *.Infra")]
+    assert rows(A.violations(g, r, block=1)) == rows(A.violations(g, r)) and A.violations(g, r.limit(0)).count() == 0
     assert rows(A.violations(g, r.where("rule_ord = 2")), "message") == [("R3: App.Domain.X may_only_reference System",)]
 
 

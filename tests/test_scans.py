@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from semgraph.functions.ids import clean_id
@@ -108,3 +109,22 @@ def test_clean_ids(spark):
     cases = [(None, None), ("", None), (" \t ", None), ("a", "a"), (" a\\b\t", "a/b"), ("\ta b ", "a b"), ("A", "A"), ("\n", "\n"), ("\\", "/")]
     df = spark.createDataFrame(cases, "c string, want string")
     assert df.where(~clean_id("c").eqNullSafe(F.col("want"))).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_diff_against_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    base = {k: (rnd.choice("abc"), rnd.choice(["x", None, ""])) for k in rnd.sample(range(-500, 10**6 if seed == 2 else 2000), 1500)}
+    sides = []
+    for _ in range(2):
+        rows = []
+        for k, (s, t) in base.items():
+            if rnd.random() < 0.01:
+                continue
+            s = rnd.choice("abc") if rnd.random() < 0.01 else s
+            rows += [(k, s, t, 5, 1, "n")] + [(k, "old", "old", rnd.randrange(5), rnd.randrange(9), "n")] * rnd.choice([0, 0, 3])
+        sides.append(rows)
+    new = [{r[0]: (r[1], r[2]) for r in sorted(rows, key=lambda r: (r[3], r[4]))} for rows in sides]
+    want = [(k, "only_left") for k in new[0].keys() - new[1].keys()] + [(k, "only_right") for k in new[1].keys() - new[0].keys()]
+    want += [(k, f) for k in new[0].keys() & new[1].keys() for i, f in enumerate("st") if new[0][k][i] != new[1][k][i]]
+    assert _diff(spark, *sides) == sorted(want)
