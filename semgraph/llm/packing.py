@@ -79,9 +79,11 @@ def fill_containers(items: DataFrame, packs: list[tuple[str, int]], seed: int =
 
     Defined cases: an item without tokens takes no room and lies in no
     container; equal items are items each; packs without a positive capacity
-    are left out; no items, no rows.
+    are left out, and of several rows of a pack the smallest capacity holds; a
+    null ``doc_id`` stays null; no items, no rows.
     """
-    packs = [(n, int(c)) for n, c in packs if n is not None and c is not None and c > 0]
+    packs = sorted((n, int(c)) for n, c in packs if n is not None and c is not None and c > 0)
+    packs = [p for i, p in enumerate(packs) if not i or packs[i - 1][0] != p[0]]
     if not packs:
         packs, items = [("", 1)], items.limit(0)
     each = F.array(*[F.struct(F.lit(n).alias("pack_name"), F.lit(c).alias("cap")) for n, c in packs])
@@ -99,15 +101,16 @@ def fill_containers(items: DataFrame, packs: list[tuple[str, int]], seed: int =
     rest = rest.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "item", "piece_no"), shards).cast("int"))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "doc_id", "item"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["n", "item"], ascending=[False, True], kind="stable")
         at = pack(pdf["n"].tolist(), int(pdf["cap"].iloc[0]))
         pdf["container_id"] = [f"{s}-{i}" for s, i in zip(pdf["shard"], at)]
         pdf["start_at"] = pdf.groupby("container_id")["n"].cumsum() - pdf["n"]
         return pdf.rename(columns={"n": "n_tokens"})[["pack_name", "container_id", "doc_id", "piece_no", "n_tokens", "start_at"]]
 
-    doc_type = items.schema["doc_id"].dataType.simpleString()
-    packed = rest.groupBy("pack_name", "shard").applyInPandas(fill, f"pack_name string, container_id string, doc_id {doc_type}, piece_no int, n_tokens bigint, start_at bigint")
-    return packed.unionByName(filled)
+    # as text, since pandas would make a number with nulls a float
+    rest = rest.withColumn("doc_id", F.col("doc_id").cast("string"))
+    packed = rest.groupBy("pack_name", "shard").applyInPandas(fill, "pack_name string, container_id string, doc_id string, piece_no int, n_tokens bigint, start_at bigint")
+    return packed.withColumn("doc_id", F.col("doc_id").cast(items.schema["doc_id"].dataType)).unionByName(filled)
 
 
 def fill_report(packed: DataFrame, packs: list[tuple[str, int]]) -> DataFrame:

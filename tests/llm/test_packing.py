@@ -67,6 +67,12 @@ def test_fill(spark):
     assert all(r.unused_share < 0.05 for r in report.values()) and set(report) == {"small", "large"}
 
 
+def test_null_and_large_ids_and_repeated_packs(spark):
+    big = 2**62 + 1
+    rows = fill_containers(spark.createDataFrame([(1, None, 3, 0, 0), (2, big, 4, 0, 0), (3, None, 20, 0, 0)], ITEMS), [("a", 9), ("a", 8)]).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in rows) == [(0, 3), (0, 4), (0, 8), (0, 8), (big, 4)]
+
+
 def test_nothing_to_fill(spark):
     df = spark.createDataFrame([], ITEMS)
     assert fill_containers(df, [("a", 4)]).count() == 0
