@@ -254,10 +254,10 @@ _MODTYPES = "select id root, id node from s where kind in ('type', 'module') and
 
 @query("select root, count(*) n, max(dist) deepest from got where dist > 0 and node <> root group by 1", _COUPLING + _reach(_BACK, _MODTYPES, 3))
 def blast_all_hot(spark: SparkSession, d: str) -> DataFrame:
-    """Blast radii of all types and modules with three dependants, three steps deep."""
+    """Blast radii of all types and modules with three dependants, as deep as the whole analysis goes."""
     g = graph(spark, d)
     roots = A.coupling(g, ("type", "module")).where("fan_in >= 3").select("id")
-    return A.blast_radius(g, roots, 3).groupBy("root").agg(F.count("*").alias("n"), F.max("dist").alias("deepest"))
+    return A.blast_radius(g, roots).groupBy("root").agg(F.count("*").alias("n"), F.max("dist").alias("deepest"))
 
 
 @query("select root, count(*) n, max(dist) deepest from got where node <> root group by 1", _reach("s a, t b from c", "select id root, id node from s where kind = 'module'", 500))
