@@ -50,23 +50,32 @@ def enum_coverage(members: DataFrame, refs: DataFrame) -> DataFrame:
     return rows.withColumn("verdict", verdict)
 
 
-def static_tables(cells: DataFrame, max_tables: int = 64, max_rows: int = 32) -> DataFrame:
-    """``cells(type_id, table_id, row_no, col_no, kind, text)`` -> rows of the first tables of each type, each an array of cells."""
-    t = cells.select("type_id", "table_id").distinct().withColumn("tn", F.row_number().over(Window.partitionBy("type_id").orderBy("table_id"))).where(F.col("tn") <= max_tables).drop("tn")
-    kept = cells.where(F.col("row_no") < max_rows).join(t, ["type_id", "table_id"], "left_semi")
+def static_tables(cells: DataFrame, max_tables: int | None = None, max_rows: int | None = None) -> DataFrame:
+    """``cells(type_id, table_id, row_no, col_no, kind, text)`` -> rows of the tables of each type (with bounds: of the first ones), each an array of cells."""
+    kept = cells if max_rows is None else cells.where(F.col("row_no") < max_rows)
+    if max_tables is not None:
+        t = cells.select("type_id", "table_id").distinct().withColumn("tn", F.row_number().over(Window.partitionBy("type_id").orderBy("table_id"))).where(F.col("tn") <= max_tables).drop("tn")
+        kept = kept.join(t, ["type_id", "table_id"], "left_semi")
     row = F.transform(F.array_sort(F.collect_list(F.struct("col_no", "kind", "text"))), lambda c: F.concat(c["kind"], F.lit(":"), F.coalesce(c["text"], F.lit(""))))
     total = cells.groupBy("type_id", "table_id").agg(F.countDistinct("row_no").alias("n_rows"))
     return kept.groupBy("type_id", "table_id", "row_no").agg(row.alias("cells")).join(total, ["type_id", "table_id"])
 
 
-def assignment_coverage(sites: DataFrame, slots: DataFrame, writes: DataFrame, max_sites: int = MAX_SITES) -> DataFrame:
+def assignment_coverage(sites: DataFrame, slots: DataFrame, writes: DataFrame, max_sites: int | None = None) -> DataFrame:
     """Per construction site and slot of its type: the last write that counts, or none.
 
+    With ``max_sites`` only the first sites of each type come out, and
+    ``n_sites`` tells beside them how many the type has.
+
     ``sites(site_id, type_id)``, ``slots(type_id, slot)``, ``writes(site_id,
     slot, pos, is_null, in_branch, after_escape)``. Writes in a branch or after
     the object has left the method do not count and make the verdict advisory.
     """
-    kept = sites.withColumn("rn", F.row_number().over(Window.partitionBy("type_id").orderBy("site_id"))).where(F.col("rn") <= max_sites).drop("rn")
+    kept, total = sites, []
+    if max_sites is not None:
+        n = sites.groupBy("type_id").agg(F.count("*").alias("n_sites"))
+        kept = sites.withColumn("rn", F.row_number().over(Window.partitionBy("type_id").orderBy("site_id"))).where(F.col("rn") <= max_sites).drop("rn").join(n, "type_id")
+        total = ["n_sites"]
     firm = ~F.coalesce("in_branch", F.lit(False)) & ~F.coalesce("after_escape", F.lit(False))
     w = writes.groupBy("site_id", "slot").agg(
         F.max_by("is_null", F.when(firm, F.col("pos"))).alias("last_null"), F.count_if(firm).alias("n_firm"), F.bool_or(F.coalesce("in_branch", F.lit(False))).alias("branched"), F.bool_or(F.coalesce("after_escape", F.lit(False))).alias("escaped")
@@ -74,7 +83,7 @@ def assignment_coverage(sites: DataFrame, slots: DataFrame, writes: DataFrame, m
     rows = kept.join(slots, "type_id").join(w, ["site_id", "slot"], "left")
     state = F.when(F.coalesce("n_firm", F.lit(0)) == 0, "Absent").when(F.col("last_null"), "AssignedNull").otherwise("Assigned")
     limits = F.array_compact(F.array(F.when(F.col("branched"), "BranchedMayAssign"), F.when(F.col("escaped"), "EscapedBeforeWrite")))
-    return rows.select("type_id", "site_id", "slot", state.alias("state"), F.array_join(limits, ",").alias("limitations"), F.when(F.size(limits) == 0, "Proven").otherwise("Advisory").alias("confidence"))
+    return rows.select("type_id", "site_id", "slot", state.alias("state"), F.array_join(limits, ",").alias("limitations"), F.when(F.size(limits) == 0, "Proven").otherwise("Advisory").alias("confidence"), *total)
 
 
 def callsite_arguments(facts: DataFrame, max_sites: int = MAX_SITES, clip: int = 160) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ from pathlib import Path
 
 import pytest
 
+from semgraph.operators import audits
 from semgraph.plans import graph_queries as Q
 from semgraph.plans.graph_source import graph
 
@@ -41,3 +42,14 @@ def test_blast_all_hot_goes_ten_steps(spark):
         want.add((root, len(far), max(far)))
     assert max(n for *_, n in want) > 3
     assert {tuple(r) for r in Q.blast_all_hot(spark, D).select("root", "n", "deepest").collect()} == want
+
+
+def test_all_construction_sites_and_tables_come_out(spark):
+    sites = spark.range(300).selectExpr("id site_id", "'T' type_id")
+    slots = spark.createDataFrame([("T", "a")], "type_id string, slot string")
+    none = spark.createDataFrame([], "site_id long, slot string, pos int, is_null boolean, in_branch boolean, after_escape boolean")
+    assert audits.assignment_coverage(sites, slots, none).count() == 300
+    some = audits.assignment_coverage(sites, slots, none, max_sites=256)
+    assert some.count() == 256 and {r.n_sites for r in some.select("n_sites").collect()} == {300}
+    cells = spark.range(70 * 40).selectExpr("'T' type_id", "'t' || id % 70 table_id", "cast(id div 70 as int) row_no", "0 col_no", "'int' kind", "'1' text")
+    assert audits.static_tables(cells).count() == 70 * 40 and audits.static_tables(cells, 64, 32).count() == 64 * 32
