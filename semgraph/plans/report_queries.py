@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semgraph.functions.ids import table
+from semgraph.operators import analysis as A
 from semgraph.operators import context as C
 from semgraph.operators import invariants as I
 from semgraph.operators import native_metrics as N
-from semgraph.plans.graph_queries import _COUPLING, _MODULE, _TEST, SQL as _SQL  # noqa: F401
-from semgraph.plans.graph_source import PREFIX, graph
+from semgraph.plans.graph_queries import _COUPLING, _MODULE, _TEST, SQL as _SQL, rules  # noqa: F401
+from semgraph.plans.graph_source import PREFIX, cycle_members, graph
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -63,7 +64,8 @@ def dependency_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select id || ' is pure (zero dependencies)' statement from tr where tier = 'Pure' and starts_with(id, 'mod:') union all select 'No architecture violations detected'", _TIERS)
 def inferred_invariants(spark: SparkSession, d: str) -> DataFrame:
-    return C.inferred_invariants(graph(spark, d), 0, 0)
+    g = graph(spark, d)
+    return C.inferred_invariants(g, cycle_members(spark, d).select("component").distinct().count(), A.violations(g, rules(spark)).count())
 
 
 # --- native figures
