@@ -13,7 +13,7 @@ from semgraph.plans.graph_source import PREFIX, cycle_members, graph, raw_edges,
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-#: targets that the reads of one symbol take by default: a hot type, a hot method, and one of a module
+#: the targets of the SQL of reads of one symbol: a hot type, a hot method, and one of a module
 HOT = ("type:Tarnwick.Core.Result", "method:Tarnwick.Core.Guard.NotNull(object)", "property:Tarnwick.Core.Settings.Default")
 _HOT = ", ".join(f"'{h}'" for h in HOT)
 
@@ -30,8 +30,9 @@ def query(sql: str | None = None, more: str = ""):
     return add
 
 
-def _hot(g: B.Graph) -> DataFrame:
-    return g.symbols.where(F.col("id").isin(*HOT)).select("id")
+def _roots(g: B.Graph) -> DataFrame:
+    """The roots of the whole analysis: types and modules of three dependants."""
+    return A.coupling(g, ("type", "module")).where("fan_in >= 3").select("id")
 
 
 # --- construction and validation
@@ -158,7 +159,7 @@ def graph_metrics(spark: SparkSession, d: str) -> DataFrame:
 @query(f"select distinct t root, s node from l where t in ({_HOT})")
 def dependants(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
-    return A.neighbours(g, _hot(g), True).select("root", "node").distinct()
+    return A.neighbours(g, g.symbols.select("id"), True).select("root", "node").distinct()
 
 
 @query("select distinct s root, t node from l where s in (select id from s where kind = 'type')")
@@ -184,7 +185,7 @@ _GROUPS = "select root, {g}, count(*) n, count(*) filter (where dist = 1) n_dire
 @query(_GROUPS.format(g="bucket"), f", rows as (select distinct t root, s node, 1 dist, x.bucket from l join s x on x.id = l.s where t in ({_HOT}))")
 def edges_by_bucket(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
-    rows = A.neighbours(g, _hot(g), True).select("root", "node", F.lit(1).alias("dist"), "bucket").distinct()
+    rows = A.neighbours(g, g.symbols.select("id"), True).select("root", "node", F.lit(1).alias("dist"), "bucket").distinct()
     return A.grouped(rows, ["root", "bucket"])
 
 
@@ -194,7 +195,7 @@ def edges_by_bucket(spark: SparkSession, d: str) -> DataFrame:
 )
 def edges_by_module(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
-    rows = A.neighbours(g, _hot(g), True).select("root", "node", F.lit(1).alias("dist")).distinct().join(A.module_name_of(g).withColumnRenamed("id", "node"), "node")
+    rows = A.neighbours(g, g.symbols.select("id"), True).select("root", "node", F.lit(1).alias("dist")).distinct().join(A.module_name_of(g).withColumnRenamed("id", "node"), "node")
     return A.grouped(rows, ["root", "module_name"])
 
 
@@ -217,13 +218,13 @@ _BLAST = _reach(_BACK, f"select id root, id node from s where id in ({_HOT})", 1
 @query("select * from got where dist > 0 and node <> root", _BLAST)
 def blast_radius(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
-    return A.blast_radius(g, _hot(g))
+    return A.blast_radius(g, _roots(g))
 
 
 @query("select root, bucket, count(*) n, count(*) filter (where dist = 1) n_direct, array_to_string(list(node order by dist, node)[1:5], '|') preview from got join s x on x.id = node where dist > 0 and node <> root group by all", _BLAST)
 def blast_by_bucket(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
-    rows = A.blast_radius(g, _hot(g)).join(g.symbols.select(F.col("id").alias("node"), "bucket"), "node")
+    rows = A.blast_radius(g, _roots(g)).join(g.symbols.select(F.col("id").alias("node"), "bucket"), "node")
     return A.grouped(rows, ["root", "bucket"])
 
 
@@ -233,7 +234,7 @@ def blast_by_bucket(spark: SparkSession, d: str) -> DataFrame:
 )
 def blast_by_module(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
-    rows = A.blast_radius(g, _hot(g)).join(A.module_name_of(g).withColumnRenamed("id", "node"), "node")
+    rows = A.blast_radius(g, _roots(g)).join(A.module_name_of(g).withColumnRenamed("id", "node"), "node")
     return A.grouped(rows, ["root", "module_name"])
 
 
@@ -246,7 +247,7 @@ _ORDER = "list_position(['contains', 'dependsOn', 'implements', 'inherits', 'cal
 )
 def blast_breaks(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
-    return A.breaks(g, _hot(g))
+    return A.breaks(g, g.symbols.select("id"))
 
 
 _MODTYPES = "select id root, id node from s where kind in ('type', 'module') and id in (select id from cp where fan_in >= 3)"
@@ -256,8 +257,7 @@ _MODTYPES = "select id root, id node from s where kind in ('type', 'module') and
 def blast_all_hot(spark: SparkSession, d: str) -> DataFrame:
     """Blast radii of all types and modules with three dependants, as deep as the whole analysis goes."""
     g = graph(spark, d)
-    roots = A.coupling(g, ("type", "module")).where("fan_in >= 3").select("id")
-    return A.blast_radius(g, roots).groupBy("root").agg(F.count("*").alias("n"), F.max("dist").alias("deepest"))
+    return A.blast_radius(g, _roots(g)).groupBy("root").agg(F.count("*").alias("n"), F.max("dist").alias("deepest"))
 
 
 @query("select root, count(*) n, max(dist) deepest from got where node <> root group by 1", _reach("s a, t b from c", "select id root, id node from s where kind = 'module'", 500))
