@@ -132,9 +132,20 @@ def module_name_of(g: Graph) -> DataFrame:
     return module_of(g).join(names, "module", "left").select("id", F.coalesce("name", F.lit("(unknown)")).alias("module_name"))
 
 
+def any_module_of(g: Graph, hops: int = 32) -> DataFrame:
+    """``id, module`` by ``hops`` parents and, for what has no module there, by contains edges at any distance; of equally near ones the smallest id."""
+    near = module_of(g, hops)
+    mods = g.symbols.where("kind = 'module'").select(F.col("id").alias("node"))
+    # a module that is met ends the way
+    up = g.contains.select(F.col("target_id").alias("src"), F.col("source_id").alias("dst")).join(mods.withColumnRenamed("node", "src"), "src", "left_anti")
+    rest = near.where("module is null").select(F.col("id").alias("root"), F.col("id").alias("node"))
+    met = reach(up, rest, None).join(mods, "node", "left_semi").groupBy(F.col("root").alias("id")).agg(F.min_by("node", F.struct("dist", "node")).alias("module"))
+    return near.where("module is not null").unionByName(met)
+
+
 def module_boundary(g: Graph, exclude_buckets: tuple[str, ...] = ()) -> DataFrame:
     """Links out of modules of direct closure to modules that they do not declare: ``source_module, target_module, n_edges, first_edge``."""
-    mods = module_of(g, 32).where("module is not null")
+    mods = any_module_of(g)
     direct = g.symbols.where("kind = 'module' and properties['referenceClosure'] = 'DirectOnly'").select(F.col("id").alias("source_module"))
     told = g.edges.where("kind = 'dependsOn'").select(F.col("source_id").alias("source_module"), F.col("target_id").alias("target_module")).distinct()
     e = g.links.where("kind <> 'dependsOn'")
