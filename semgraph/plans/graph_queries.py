@@ -277,7 +277,7 @@ _TARGETS = "select id from s where kind = 'type' and visibility = 'protected'"
 )
 def test_impact(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
-    return A.test_impact(g, g.symbols.where("kind = 'type' and visibility = 'protected'").select("id"))
+    return A.test_impact(g, g.symbols.where("kind = 'type'").select("id"))
 
 
 _FILES = "select id from s where kind = 'file' and ends_with(name, 'Factory.cs')"
@@ -289,9 +289,9 @@ _FILES = "select id from s where kind = 'file' and ends_with(name, 'Factory.cs')
     _TYPE16 + _reach(_BACK, f"select f root, id node from filed where f in ({_FILES})", 12),
 )
 def test_impact_of_files(spark: SparkSession, d: str) -> DataFrame:
-    """Tests that reach anything in the files of factories."""
+    """Tests that reach anything in each file."""
     g = graph(spark, d)
-    return A.test_impact(g, g.symbols.where("kind = 'file' and name like '%Factory.cs'").select("id"))
+    return A.test_impact(g, g.symbols.where("kind = 'file'").select("id"))
 
 
 _CLOSURE = ", inh as (select distinct s a, t b from e where k = 'inherits'), clo(root, node) as (select a, b from inh union select c.root, i.b from clo c join inh i on c.node = i.a)"
@@ -532,7 +532,7 @@ def resolve(spark: SparkSession, d: str) -> DataFrame:
     """Resolves every id of the edges as it stands, and every symbol's bare name."""
     g = graph(spark, d)
     asked = raw_edges(spark, d).select(F.explode(F.array("source_id", "target_id")).alias("input")).where("input is not null")
-    return R.resolve(g, asked.unionByName(g.symbols.where("kind = 'type'").select(F.col("name").alias("input"))))
+    return R.resolve(g, asked.unionByName(g.symbols.where("name is not null").select(F.col("name").alias("input"))))
 
 
 @query(
