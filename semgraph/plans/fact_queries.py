@@ -122,7 +122,7 @@ def member_count(spark: SparkSession, d: str) -> DataFrame:
     return A.member_count(m.select(F.col("source_id").alias("type_id"), F.col("kind").alias("member_kind"), "is_static", (F.coalesce(F.col("properties")["synthesized"], F.lit("")) == "true").alias("is_implicit"), F.lit(False).alias("is_accessor")))
 
 
-@query("select parent_id type_id, 'constants' table_id, rn - 1 row_no, n n_rows, name || '=' || v cells from (select parent_id, name, p['constantValue'] v, row_number() over (partition by parent_id order by id) rn, count(*) over (partition by parent_id) n from s where kind = 'field' and parent_id is not null and p['constantValue'] is not null) where rn <= 32")
+@query("select parent_id type_id, 'constants' table_id, rn - 1 row_no, n n_rows, name || '=' || v cells from (select parent_id, name, p['constantValue'] v, row_number() over (partition by parent_id order by id) rn, count(*) over (partition by parent_id) n from s where kind = 'field' and parent_id is not null and p['constantValue'] is not null)")
 def static_tables(spark: SparkSession, d: str) -> DataFrame:
     """The constants of each type as a table of name and value."""
     rows = A.static_tables(static_rows(graph(spark, d)))
@@ -189,8 +189,8 @@ def callsite_arguments(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "select t type_id, ord site_id, x.id slot, case when wr is null then 'Absent' when wr then 'AssignedNull' else 'Assigned' end state, '' limitations, 'Proven' confidence from (select * from st where rn <= 256) st join s x on x.parent_id = st.t and x.kind in ('field', 'property') left join lateral (select case when (ord + length(x.name)) % 4 = 0 then null else (ord + length(x.name)) % 4 = 1 end wr) on true",
-    ", st as (select ord, t, row_number() over (partition by t order by ord) rn from rawe where t in (select id from s where kind = 'type'))",
+    "select t type_id, ord site_id, x.id slot, case when wr is null then 'Absent' when wr then 'AssignedNull' else 'Assigned' end state, '' limitations, 'Proven' confidence from st join s x on x.parent_id = st.t and x.kind in ('field', 'property') left join lateral (select case when (ord + length(x.name)) % 4 = 0 then null else (ord + length(x.name)) % 4 = 1 end wr) on true",
+    ", st as (select ord, t from rawe where t in (select id from s where kind = 'type'))",
 )
 def assignment_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Edges to types as construction sites, fields as slots; a slot is written by a rule of the numbers."""

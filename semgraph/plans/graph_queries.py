@@ -13,9 +13,6 @@ from semgraph.plans.graph_source import PREFIX, cycle_members, graph, raw_edges,
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-#: the targets of the SQL of reads of one symbol: a hot type, a hot method, and one of a module
-HOT = ("type:Tarnwick.Core.Result", "method:Tarnwick.Core.Guard.NotNull(object)", "property:Tarnwick.Core.Settings.Default")
-_HOT = ", ".join(f"'{h}'" for h in HOT)
 
 
 def query(sql: str | None = None, more: str = ""):
@@ -156,7 +153,7 @@ def graph_metrics(spark: SparkSession, d: str) -> DataFrame:
 # --- single-hop reads
 
 
-@query(f"select distinct t root, s node from l where t in ({_HOT})")
+@query("select distinct t root, s node from l")
 def dependants(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
     return A.neighbours(g, g.symbols.select("id"), True).select("root", "node").distinct()
@@ -177,12 +174,14 @@ def dependency_edges(spark: SparkSession, d: str) -> DataFrame:
 _UP = """, up(id, a, n) as (select id, id, 1 from s union all select u.id, x.parent_id, n + 1 from up u join s x on u.a = x.id where x.kind <> '{kind}' and x.parent_id in (select id from s) and n < {hops}),
   {name} as materialized (select u.id, u.a m from up u join s x on u.a = x.id where x.kind = '{kind}')"""
 _MODULE = _UP.format(kind="module", hops=16, name="mo")
-_MODULE32 = _UP.format(kind="module", hops=32, name="mo")
+_MODULE32 = _UP.format(kind="module", hops=32, name="near") + """, lost(id, a, n) using key (id, a) as (select id, id, 0 from s where id not in (select id from near)
+    union select w.id, c.s, min(n + 1) from lost w join s x on x.id = w.a and x.kind <> 'module' join c on c.t = w.a where not exists (select 1 from recurring.lost r where r.id = w.id and r.a = c.s) group by 1, 2),
+  mo as materialized (select id, m from near union all select lost.id, arg_min(a, (n, a)) from lost join s x on x.id = lost.a and x.kind = 'module' group by 1)"""
 _TYPE16 = _UP.format(kind="type", hops=16, name="ty")
 _GROUPS = "select root, {g}, count(*) n, count(*) filter (where dist = 1) n_direct, array_to_string(list(node order by dist, node)[1:5], '|') preview from rows group by all"
 
 
-@query(_GROUPS.format(g="bucket"), f", rows as (select distinct t root, s node, 1 dist, x.bucket from l join s x on x.id = l.s where t in ({_HOT}))")
+@query(_GROUPS.format(g="bucket"), ", rows as (select distinct t root, s node, 1 dist, x.bucket from l join s x on x.id = l.s)")
 def edges_by_bucket(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
     rows = A.neighbours(g, g.symbols.select("id"), True).select("root", "node", F.lit(1).alias("dist"), "bucket").distinct()
@@ -191,7 +190,7 @@ def edges_by_bucket(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     _GROUPS.format(g="module_name"),
-    f"{_MODULE}, rows as (select distinct l.t root, l.s node, 1 dist, coalesce(x.name, '(unknown)') module_name from l left join mo on mo.id = l.s left join s x on x.id = mo.m where l.t in ({_HOT}))",
+    f"{_MODULE}, rows as (select distinct l.t root, l.s node, 1 dist, coalesce(x.name, '(unknown)') module_name from l left join mo on mo.id = l.s left join s x on x.id = mo.m)",
 )
 def edges_by_module(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
@@ -208,11 +207,12 @@ def file_impact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _reach(steps: str, seeds: str, depth: int) -> str:
-    return f", steps as (select distinct {steps}), walk(root, node, dist) as (select root, node, 0 from ({seeds}) q union select w.root, p.b, w.dist + 1 from walk w join steps p on w.node = p.a where w.dist < {depth}), got as (select root, node, min(dist) dist from walk group by root, node)"
+    return f", steps as (select distinct {steps}), walk(root, node, dist) using key (root, node) as (select root, node, 0 from ({seeds}) q union select w.root, p.b, min(w.dist + 1) from walk w join steps p on w.node = p.a where w.dist < {depth} and not exists (select 1 from recurring.walk r where r.root = w.root and r.node = p.b) group by 1, 2), got as (select root, node, min(dist) dist from walk group by root, node)"
 
 
 _BACK = "t a, s b from l"
-_BLAST = _reach(_BACK, f"select id root, id node from s where id in ({_HOT})", 10)
+_MODTYPES = "select id root, id node from s where kind in ('type', 'module') and id in (select id from cp where fan_in >= 3)"
+_BLAST = _COUPLING + _reach(_BACK, _MODTYPES, 10)
 
 
 @query("select * from got where dist > 0 and node <> root", _BLAST)
@@ -243,17 +243,14 @@ _ORDER = "list_position(['contains', 'dependsOn', 'implements', 'inherits', 'cal
 
 @query(
     f"""select t root, s node, severity, case when severity = 4 then 'SignatureChange' else 'BindingRemoval' end break_kind, reason from
-  (select t, s, max(case when k in ('implements', 'inherits', 'overrides') then 4 else 2 end) severity, array_to_string(list(k order by {_ORDER.format("k")}), ',') reason from (select distinct s, t, k from l) where t in ({_HOT}) group by t, s)"""
+  (select t, s, max(case when k in ('implements', 'inherits', 'overrides') then 4 else 2 end) severity, array_to_string(list(k order by {_ORDER.format("k")}), ',') reason from (select distinct s, t, k from l) group by t, s)"""
 )
 def blast_breaks(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
     return A.breaks(g, g.symbols.select("id"))
 
 
-_MODTYPES = "select id root, id node from s where kind in ('type', 'module') and id in (select id from cp where fan_in >= 3)"
-
-
-@query("select root, count(*) n, max(dist) deepest from got where dist > 0 and node <> root group by 1", _COUPLING + _reach(_BACK, _MODTYPES, 3))
+@query("select root, count(*) n, max(dist) deepest from got where dist > 0 and node <> root group by 1", _BLAST)
 def blast_all_hot(spark: SparkSession, d: str) -> DataFrame:
     """Blast radii of all types and modules with three dependants, as deep as the whole analysis goes."""
     g = graph(spark, d)
@@ -267,7 +264,7 @@ def descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TEST = "kind = 'method' and list_has_any(string_split(coalesce(attrs, ''), ';'), ['Test', 'TestCase', 'TestCaseSource', 'Theory', 'UnityTest', 'Fact', 'Xunit.Fact', 'Xunit.Theory'])"
-_TARGETS = "select id from s where kind = 'type' and visibility = 'protected'"
+_TARGETS = "select id from s where kind = 'type'"
 
 
 @query(
@@ -280,13 +277,10 @@ def test_impact(spark: SparkSession, d: str) -> DataFrame:
     return A.test_impact(g, g.symbols.where("kind = 'type'").select("id"))
 
 
-_FILES = "select id from s where kind = 'file' and ends_with(name, 'Factory.cs')"
-
-
 @query(
     f"""select root, m test_class, min(dist) distance, case min(dist) when 1 then 'Direct' when 2 then 'OneHop' else 'Transitive' end confidence,
   array_to_string(list_sort(list(distinct coalesce(x.qualified_name, x.name))), ';') tests from got join s x on x.id = node and {_TEST} join ty on ty.id = node group by root, m""",
-    _TYPE16 + _reach(_BACK, f"select f root, id node from filed where f in ({_FILES})", 12),
+    _TYPE16 + _reach(_BACK, "select f root, id node from filed", 12),
 )
 def test_impact_of_files(spark: SparkSession, d: str) -> DataFrame:
     """Tests that reach anything in each file."""
@@ -517,7 +511,7 @@ def overloads(spark: SparkSession, d: str) -> DataFrame:
     return R.overloads(graph(spark, d))
 
 
-_RESOLVE = """, asked as (select distinct x input from (select s x from rawe union all select t from rawe union all select name from s where kind = 'type') where x is not null),
+_RESOLVE = """, asked as (select distinct x input from (select s x from rawe union all select t from rawe union all select name from s) where x is not null),
   q as (select *, regexp_replace(q, '^[a-z]+:', '') stem, regexp_extract(q, '^([a-z]+):', 1) kind, not regexp_matches(q, '[:.(]') bare, string_split(regexp_replace(regexp_replace(q, '^[a-z]+:', ''), '\\(.*$', ''), '.')[-1] last from (select input, trim(input, ' ') q from asked)),
   sy as (select id, kind skind, name, regexp_replace(id, '\\(.*$', '') no_args, regexp_replace(id, '^[a-z]+:', '') sstem from s),
   rung as (select input, 1 r, id from q join sy on q.q = sy.id union select input, 2, id from q join sy on q.kind = 'method' and not contains(q.q, '(') and skind = 'method' and q.q = no_args

@@ -10,7 +10,7 @@ from semgraph.operators import analysis as A
 from semgraph.operators import context as C
 from semgraph.operators import invariants as I
 from semgraph.operators import native_metrics as N
-from semgraph.plans.graph_queries import _COUPLING, _MODULE, _TEST, SQL as _SQL, rules  # noqa: F401
+from semgraph.plans.graph_queries import _COUPLING, _MODULE, _SCC, _TEST, _VIO, rules
 from semgraph.plans.graph_source import PREFIX, cycle_members, graph
 
 QUERIES: dict = {}
@@ -62,7 +62,12 @@ def dependency_matrix(spark: SparkSession, d: str) -> DataFrame:
     return C.dependency_matrix(graph(spark, d))
 
 
-@query("select id || ' is pure (zero dependencies)' statement from tr where tier = 'Pure' and starts_with(id, 'mod:') union all select 'No architecture violations detected'", _TIERS)
+@query(
+    """select id || ' is pure (zero dependencies)' statement from tr where tier = 'Pure' and starts_with(id, 'mod:')
+  union all select case n when 0 then 'No architecture violations detected' else n || ' architecture violations found' end from (select count(*) n from (select distinct s, t, k, role from br))
+  union all select n || ' circular dependency cycles detected' from (select count(distinct component) n from scc) where n > 0""",
+    _TIERS + _SCC + _VIO,
+)
 def inferred_invariants(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
     return C.inferred_invariants(g, cycle_members(spark, d).select("component").distinct().count(), A.violations(g, rules(spark)).count())
