@@ -5,7 +5,8 @@ no limit.  Every string, number and boolean of the wanted parts becomes a
 triple of path, value and ordinals (the array positions on the way).  Paths
 are grouped by their last repeated ancestor, the array that they lie in, and
 each group becomes a table whose rows are keyed by the ordinals and linked to
-the row of the repeated ancestor above.
+the row of the repeated ancestor above.  Every element of an array is a row,
+whether a value lies in it or only deeper, so no link leads nowhere.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ _BLANK = re.compile(r"[ \t\n\r]*")
 #: what is told of a part: (member of the record, member of its elements or None, name of the part)
 PARTS = (("adapter", None, "adapter"), ("symbols", "properties", "property"), ("edges", "evidence", "evidence"))
 
-TRIPLE = "owner_pos int, record_type string, field_path string, parent_table string, ordinals array<int>, field string, value string, value_type string"
+TRIPLE = "owner_pos int, record_type string, field_path string, parent_table string, ordinals array<int>, field string, value string, value_type string, seq int"
+#: ``value_type`` of what is no value: a row of a table, and a record that is no JSON object
+ROW, UNUSABLE = "row", "unusable"
+_ESCAPES = str.maketrans({"\\": "\\\\", ".": "\\d", "[": "\\l", "]": "\\r"})
 
 
 class Unusable(ValueError):
@@ -37,14 +41,20 @@ def _string(token: str) -> str:
     return text.encode("utf-8", "replace").decode() if "\\u" in token else text
 
 
+def _name(key: str) -> str:
+    """A key as part of a table's or field's name, in which ``.``, ``[`` and ``]`` are signs of the path."""
+    return key.translate(_ESCAPES) or "\\e"
+
+
 def _parts(parts) -> dict:
     return {(top, inner): name for top, inner, name in parts}
 
 
-def triples(text: str, parts=PARTS) -> list[tuple]:
+def triples(text: str, parts=PARTS, rows: bool = False) -> list[tuple]:
     """The triples of one record: (owner_pos, record_type, field_path, table, ordinals, field, value, value_type).
 
-    Raises ``Unusable`` unless the text, without a byte order mark and blanks around it, is one complete JSON object.
+    With ``rows`` also one of type ``ROW`` for each part and each element of
+    an array in it that is an object or array.  Raises ``Unusable`` unless the text, without a byte order mark and blanks around it, is one complete JSON object.
     """
     named = _parts(parts)
     tops = {top: inner for top, inner, _ in parts}
@@ -116,9 +126,13 @@ def triples(text: str, parts=PARTS) -> list[tuple]:
                 if f[0]:
                     path, table, field, ordinals = f"{f[3]}[{f[1]}]", f"{f[4]}{f[5]}[]", "", (*f[6], f[1])
                 else:
-                    path, field = (f"{f[3]}.{f[1]}", f"{f[5]}.{f[1]}" if f[5] else f[1]) if f[3] else (f[1], f[1])
+                    path = f"{f[3]}.{f[1]}" if f[3] else f[1]
+                    if rows:
+                        field = f"{f[5]}.{_name(f[1])}" if f[5] else _name(f[1])
                     table, ordinals = f[4], f[6]
         if sign:
+            if rows and part is not None and not field:
+                out.append((owner, part, None, table, list(ordinals), None, None, ROW))
             stack.append([sign == "[", -1, part, path, table, field, ordinals, role])
             want = "value or end" if sign == "[" else "key or end"
             continue
@@ -133,73 +147,99 @@ def triples(text: str, parts=PARTS) -> list[tuple]:
     return out
 
 
-def json_triples(df: DataFrame, id_col: str, json_col: str, parts=PARTS) -> DataFrame:
+def json_triples(df: DataFrame, id_col: str, json_col: str, parts=PARTS, rows: bool = False) -> DataFrame:
     """One row per scalar in the wanted parts of each record: ``record_id`` and the columns of ``TRIPLE``.
 
-    ``parent_table`` is the path of the last repeated ancestor with ``[]`` for
-    its positions (empty: the part itself), ``ordinals`` the positions,
-    ``field`` the path from there.
+    ``field_path`` leads to the value with keys as they are.  With ``rows``,
+    which ``flat_tables`` needs, ``parent_table`` is the path of the last
+    repeated ancestor with ``[]`` for its positions (empty: the part itself),
+    ``ordinals`` the positions, ``field`` the path from there (in both, ``\\``,
+    ``.``, ``[`` and ``]`` of a key are written ``\\\\``, ``\\d``, ``\\l`` and
+    ``\\r``, an empty key ``\\e``) and ``seq`` the place in the record; besides
+    the values come a row of type ``ROW`` for each part and element that is an
+    object or array and one of type ``UNUSABLE`` for each record that is no
+    complete JSON object.
 
     Defined cases: a null, empty, truncated or otherwise unusable text gives
-    no rows; nulls and empty containers give none; owners that are no objects
+    no values; nulls and empty containers give none; owners that are no objects
     have no parts; a key that stands twice in an object is told twice; a lone
     surrogate in a string is read as ``?``.  A text is held by one task, as
     one row is.
     """
     id_type = df.schema[id_col].dataType.simpleString()
+    types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.string(), pa.int32()]
+    names = ["record_id", *[c.split()[0] for c in TRIPLE.split(", ")]]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, cols = [], [[] for _ in range(8)]
+            ids, cols = [], [[] for _ in types]
             for i, text in enumerate(b.column(1)):
                 text = text.as_py()
-                if text is None:
-                    continue
                 try:
-                    rows = triples(text, parts)
+                    if text is None:
+                        raise Unusable
+                    found = triples(text, parts, rows)
                 except Unusable:
-                    continue
-                ids.extend([i] * len(rows))
-                for r in rows:
+                    found = [(None, None, None, None, None, None, None, UNUSABLE)] if rows else []
+                ids.extend([i] * len(found))
+                cols[-1].extend(range(len(found)))
+                for r in found:
                     for c, v in zip(cols, r):
                         c.append(v)
                 if len(ids) > 50_000:
                     yield batch(b, ids, cols)
-                    ids, cols = [], [[] for _ in range(8)]
+                    ids, cols = [], [[] for _ in types]
             if ids:
                 yield batch(b, ids, cols)
 
     def batch(b: pa.RecordBatch, ids: list, cols: list) -> pa.RecordBatch:
-        types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.string()]
-        names = ["record_id", "owner_pos", "record_type", "field_path", "parent_table", "ordinals", "field", "value", "value_type"]
         return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int32())), *[pa.array(c, t) for c, t in zip(cols, types)]], names=names)
 
     return df.select(id_col, json_col).mapInArrow(parse, f"record_id {id_type}, {TRIPLE}")
 
 
-def flat_tables(rows: DataFrame) -> DataFrame:
-    """The triples pivoted: one row per record, owner, table and ordinals.
+def flat_tables(triples: DataFrame) -> DataFrame:
+    """``json_triples(rows=True)`` pivoted: one row per record, owner, table and ordinals.
 
     Columns: ``record_id, record_type, owner_pos, table_name, ordinals`` (the
     row's key), ``parent_name, parent_ordinals`` (the key of the row that it
-    lies in, null for the part itself) and ``fields map<string,string>``.  A
-    row holds the fields of one object, so no group grows with the table.
-    ``flat_table`` makes columns of them.
+    lies in, null for the part itself), ``fields map<string,
+    struct<value,type>>`` and ``retold``.  Each part that is not null and each
+    element of an array that is not null is a row, with no fields if values
+    lie only deeper or not at all, so every parent is there.  A row holds the
+    fields of one object, so no group grows with the table.  ``flat_table``
+    makes columns of the fields.
+
+    A field that an object tells several times has its last value in
+    ``fields``, as JSON readers have it, and the values before it stand in
+    ``retold array<struct<field,value,type>>``, null if there are none.
     """
     key = ["record_id", "record_type", "owner_pos", "parent_table", "ordinals"]
-    # a field that stands twice in an object has its greatest value
-    once = rows.groupBy(*key, "field").agg(F.max("value").alias("value"))
-    flat = once.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields")).withColumnRenamed("parent_table", "table_name")
+    told = F.when(F.col("value_type") != ROW, F.struct("seq", "field", "value", F.col("value_type").alias("type")))
+    rows = triples.where(F.col("value_type") != UNUSABLE).groupBy(*key).agg(F.array_sort(F.collect_list(told)).alias("t")).withColumnRenamed("parent_table", "table_name")
+    names = F.array_distinct(F.transform("t", lambda x: x["field"]))
+    # the last of a name by its place
+    last = F.transform(names, lambda n: F.struct(n.alias("field"), F.element_at(F.filter("t", lambda x: x["field"] == n), -1).alias("x")))
+    once = F.size(names) == F.size("t")
+    fields = F.when(once, F.map_from_entries(F.transform("t", lambda x: F.struct(x["field"], F.struct(x["value"].alias("value"), x["type"].alias("type"))))))
+    fields = F.coalesce(fields, F.map_from_entries(F.transform(last, lambda y: F.struct(y["field"], F.struct(y["x"]["value"].alias("value"), y["x"]["type"].alias("type"))))))
+    earlier = F.filter("t", lambda x: F.exists("t", lambda y: (y["field"] == x["field"]) & (y["seq"] > x["seq"])))
+    retold = F.when(~once, F.transform(earlier, lambda x: F.struct(x["field"], x["value"], x["type"])))
     inside = F.col("table_name") != ""
-    return flat.select(
+    return rows.select(
         "record_id", "record_type", "owner_pos", "table_name", "ordinals",
-        F.when(inside, F.regexp_replace("table_name", r"(^|(?<=\]))[^\]]*\[\]$", "")).alias("parent_name"),
+        F.when(inside, F.regexp_replace("table_name", r"[^\[\]]*\[\]$", "")).alias("parent_name"),
         F.when(inside, F.slice("ordinals", 1, F.size("ordinals") - 1)).alias("parent_ordinals"),
-        "fields",
+        fields.alias("fields"), retold.alias("retold"),
     )
 
 
 def flat_table(flat: DataFrame, record_type: str, table_name: str, fields: list[str]) -> DataFrame:
     """One table of ``flat_tables`` with a column per field; absent fields are null."""
     mine = flat.where((F.col("record_type") == record_type) & (F.col("table_name") == table_name))
-    return mine.select("record_id", "owner_pos", "ordinals", "parent_name", "parent_ordinals", *[F.col("fields")[f].alias(f) for f in fields])
+    return mine.select("record_id", "owner_pos", "ordinals", "parent_name", "parent_ordinals", *[F.col("fields")[f]["value"].alias(f) for f in fields])
+
+
+def unusable_records(triples: DataFrame) -> DataFrame:
+    """The records of ``json_triples(rows=True)`` that are no complete JSON object, each as often as it was received."""
+    return triples.where(F.col("value_type") == UNUSABLE).select("record_id")

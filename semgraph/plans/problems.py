@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from semgraph.functions.ids import clean_id, table
 from semgraph.operators.deliveries import newest
 from semgraph.operators.diff import table_diff
-from semgraph.operators.flatten import flat_tables, json_triples
+from semgraph.operators.flatten import flat_tables, json_triples, unusable_records
 from semgraph.operators.hierarchy import hierarchy
 from semgraph.operators.hot_keys import chunk_states, per_key_counts
 from semgraph.operators.orphans import apply_deltas, current_orphans, orphan_references
@@ -82,16 +82,35 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("record_id").alias("graph_id"), "record_type", "owner_pos", "field_path")
 
 
+def _flat(spark: SparkSession, d: str) -> DataFrame:
+    return flat_tables(json_triples(table(spark, d, "graph_documents"), "graph_id", "payload", rows=True))
+
+
 def p4_tables(spark: SparkSession, d: str) -> DataFrame:
-    """The flat tables, a row's key and fields as text."""
-    flat = flat_tables(json_triples(table(spark, d, "graph_documents"), "graph_id", "payload"))
+    """The flat tables; a row's key and its fields, ``name:type=value``, as text."""
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    return flat.select(
+    entry = lambda e: F.concat(e["key"], F.lit(":"), e["value"]["type"], F.lit("="), e["value"]["value"])
+    return _flat(spark, d).select(
         F.col("record_id").alias("graph_id"), "record_type", "owner_pos", "table_name", text("ordinals").alias("ordinals"), "parent_name",
-        text("parent_ordinals").alias("parent_ordinals"), F.to_json("fields").alias("fields"),
+        text("parent_ordinals").alias("parent_ordinals"), F.array_join(F.array_sort(F.transform(F.map_entries("fields"), entry)), "\u001f").alias("fields"),
+        F.size(F.coalesce("retold", F.array())).alias("n_retold"),
     )
 
 
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    """Per table its rows and those whose parent row is found by its key; the two differ only in tables of parts, which have no parent."""
+    flat = _flat(spark, d).select("record_id", "record_type", "owner_pos", "table_name", "ordinals", "parent_name", "parent_ordinals")
+    key = ["record_id", "record_type", "owner_pos"]
+    above = flat.select(*key, F.col("table_name").alias("parent_name"), F.col("ordinals").alias("parent_ordinals"), F.lit(1).alias("found"))
+    met = flat.join(above, [*key, "parent_name", "parent_ordinals"], "left")
+    return met.groupBy("record_type", "table_name").agg(F.count("*").alias("n_rows"), F.count("found").alias("n_with_parent"))
+
+
+def p4_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose payload is not one complete JSON object."""
+    return unusable_records(json_triples(table(spark, d, "graph_documents"), "graph_id", "payload", rows=True)).select(F.col("record_id").alias("graph_id"))
+
+
 def _targets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "edges").select(clean_id("target_id").alias("target_id"), clean_id("source_id").alias("source_id"))
 
@@ -107,7 +126,7 @@ def p5_chunks(spark: SparkSession, d: str) -> DataFrame:
     return states.groupBy(F.col("key").alias("target_id")).agg(F.max(F.col("first_row") + F.col("n_rows")).alias("last_row"), F.sum("n_values").alias("n_sources"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p2_found, p2_report, p2_current, p3_found, p4_found, p4_tables, p5_found, p5_chunks)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p2_found, p2_report, p2_current, p3_found, p4_found, p4_tables, p4_links, p4_rejects, p5_found, p5_chunks)}
 
 _CLEAN = "nullif(replace(trim({}, ' \t'), '\\', '/'), '')"
 _ID, _PARENT, _SOURCE, _TARGET = (_CLEAN.format(c) for c in ("id", "parent_id", "source_id", "target_id"))
@@ -122,7 +141,26 @@ _P2 = f"""{_REFS}, looked as (select r.ref_table, r.row_no, r.ref_field, r.loade
     arg_max(s.is_deleted, (s.loaded_at, s.row_no)) filter (where s.loaded_at <= r.loaded_at) gone from refs r left join recs s on r.k = s.k where r.k is not null group by all),
   found as (select ref_table, row_no, ref_field, strftime(loaded_at, '%Y-%m') load_month, case when n = 0 then 'missing' when n_before = 0 then 'late' when gone then 'deleted' end ref_state from looked)"""
 
+_P4 = """docs as (select graph_id, p::json j from (select graph_id, regexp_replace(payload, '^[\\x{FEFF}\\s]+', '') p from graph_documents) where json_valid(p) and json_type(p::json) = 'OBJECT'),
+  owned as (select graph_id, 'property' record_type, generate_subscripts(a, 1) - 1 owner_pos, unnest(a) x from (select graph_id, cast(json_extract(j, '$.symbols') as json[]) a from docs where json_type(j, '$.symbols') = 'ARRAY')
+    union all select graph_id, 'evidence', generate_subscripts(a, 1) - 1, unnest(a) from (select graph_id, cast(json_extract(j, '$.edges') as json[]) a from docs where json_type(j, '$.edges') = 'ARRAY')),
+  parts as materialized (select row_number() over () n, * from (select graph_id, 'adapter' record_type, 0::bigint owner_pos, json_extract(j, '$.adapter') v from docs
+    union all select graph_id, record_type, owner_pos, json_extract(x, case record_type when 'property' then '$.properties' else '$.evidence' end) from owned where json_type(x) = 'OBJECT') where v is not null),
+  nodes as materialized (select p.n, t.id, t.parent, t.key, t.type, t.value from parts p, lateral (select * from json_tree(p.v)) t)"""
+#: every element of an array is a row; what lies deeper without an array between is a field of it
+_P4_ROWS = f"""{_P4}, named as (select *, coalesce(nullif(replace(replace(replace(replace(key, '\\', '\\\\'), '.', '\\d'), '[', '\\l'), ']', '\\r'), ''), '\\e') safe from nodes),
+  walk(n, id, type, value, tbl, ords, up, up_ords, fld) as (select n, id, type, value, '', '', null::varchar, null::varchar, '' from named where parent is null
+    union all select w.n, c.id, c.type, c.value, case when w.type = 'ARRAY' then w.tbl || w.fld || '[]' else w.tbl end, case when w.type = 'ARRAY' then case when w.ords = '' then c.key else w.ords || ',' || c.key end else w.ords end,
+      case when w.type = 'ARRAY' then w.tbl else w.up end, case when w.type = 'ARRAY' then w.ords else w.up_ords end, case when w.type = 'ARRAY' then '' when w.fld = '' then c.safe else w.fld || '.' || c.safe end
+      from walk w join named c on c.n = w.n and c.parent = w.id),
+  told as (select graph_id, record_type, owner_pos::int owner_pos, tbl table_name, ords ordinals, up parent_name, up_ords parent_ordinals, fld, type, value from walk join parts using (n) where type <> 'NULL' and (type not in ('OBJECT', 'ARRAY') or fld = '')),
+  flat as (select graph_id, record_type, owner_pos, table_name, ordinals, parent_name, parent_ordinals,
+      coalesce(string_agg(fld || ':' || case when type = 'VARCHAR' then 'string' when type = 'BOOLEAN' then 'boolean' else 'number' end || '=' || (value->>'$'), chr(31) order by fld) filter (where type not in ('OBJECT', 'ARRAY')), '') fields from told group by all)"""
+
 SQL = {
+    "p4_tables": f"with recursive {_P4_ROWS} select *, 0 n_retold from flat",
+    "p4_links": f"with recursive {_P4_ROWS} select record_type, table_name, count(*) n_rows, count(parent_name) n_with_parent from flat group by 1, 2",
+    "p4_rejects": "select graph_id from (select graph_id, regexp_replace(payload, '^[\\x{FEFF}\\s]+', '') p from graph_documents) where coalesce(not json_valid(p) or json_type(try_cast(p as json)) <> 'OBJECT', true)",
     "p1_found": f"""with recursive {_LIVING}, above(id, anc, step) as (select id, id, 0 from tree union all select a.id, t.parent, a.step + 1 from above a join tree t on a.anc = t.id where t.parent is not null and a.step < 1000),
   pairs as (select id, anc, min(step) step, max(step) far from above group by all),
   kind as (select id, max(far) >= 1000 endless, max(step) depth, min(anc) filter (where far > 600) ring, arg_max(anc, step) top from pairs group by id),
@@ -132,12 +170,7 @@ SQL = {
   ends as (select u.id, u.path from up u join tree t on t.id = u.a where t.parent is null),
   ring as (select id from up group by id having count(*) filter (where a = id) > 1)
   select t.id, e.path, t.id in (select id from ring) on_cycle from tree t left join ends e on e.id = t.id""",
-    "p4_found": """with recursive docs as (select graph_id, p::json j from (select graph_id, regexp_replace(payload, '^[\\x{FEFF}\\s]+', '') p from graph_documents) where json_valid(p) and json_type(p::json) = 'OBJECT'),
-  owned as (select graph_id, 'property' record_type, generate_subscripts(a, 1) - 1 owner_pos, unnest(a) x from (select graph_id, cast(json_extract(j, '$.symbols') as json[]) a from docs where json_type(j, '$.symbols') = 'ARRAY')
-    union all select graph_id, 'evidence', generate_subscripts(a, 1) - 1, unnest(a) from (select graph_id, cast(json_extract(j, '$.edges') as json[]) a from docs where json_type(j, '$.edges') = 'ARRAY')),
-  parts as materialized (select row_number() over () n, * from (select graph_id, 'adapter' record_type, 0::bigint owner_pos, json_extract(j, '$.adapter') v from docs
-    union all select graph_id, record_type, owner_pos, json_extract(x, case record_type when 'property' then '$.properties' else '$.evidence' end) from owned where json_type(x) = 'OBJECT') where v is not null),
-  nodes as materialized (select p.n, t.id, t.parent, t.key, t.type from parts p, lateral (select * from json_tree(p.v)) t),
+    "p4_found": f"""with recursive {_P4},
   walk(n, id, type, path) as (select n, id, type, '' from nodes where parent is null
     union all select w.n, c.id, c.type, case when w.type = 'ARRAY' then w.path || '[' || c.key || ']' when w.path = '' then c.key else w.path || '.' || c.key end from walk w join nodes c on c.n = w.n and c.parent = w.id)
   select graph_id, record_type, owner_pos::int owner_pos, path field_path from walk join parts using (n) where type not in ('OBJECT', 'ARRAY', 'NULL')""",

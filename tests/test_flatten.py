@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from semgraph.operators.flatten import Unusable, flat_table, flat_tables, json_triples, triples
+from semgraph.operators.flatten import Unusable, flat_table, flat_tables, json_triples, triples, unusable_records
 
 
 def brute(text):
@@ -53,17 +53,57 @@ def test_depth_and_length_have_no_limit():
     assert len(triples('{"adapter":"' + "é" * 1_000_000 + '"}')) == 1
 
 
+def flat_of(spark, docs):
+    df = spark.createDataFrame([(i, x, "z") for i, x in enumerate(docs)], "g long, payload string, record_type string")
+    return flat_tables(json_triples(df, "g", "payload", rows=True))
+
+
+def keyed(flat):
+    return {(r.record_id, r.record_type, r.owner_pos, r.table_name, tuple(r.ordinals)): r for r in flat.collect()}
+
+
 def test_tables(spark):
     doc = {"adapter": {"name": "n", "caps": {"x": True}}, "symbols": [{"properties": {"k": 1, "a": [{"u": 1, "w": None}, {"u": 2, "v": ["p", "q"]}]}}], "edges": [{"evidence": "text"}]}
     df = spark.createDataFrame([(1, json.dumps(doc), "z"), (2, None, "z"), (3, "{", "z"), (4, json.dumps(doc), "z")], "g long, payload string, record_type string")
-    rows = json_triples(df, "g", "payload")
+    rows = json_triples(df, "g", "payload", rows=True)
     flat = flat_tables(rows)
-    got = {(r.record_type, r.table_name, tuple(r.ordinals), r.parent_name, tuple(r.parent_ordinals or ()), tuple(sorted(r.fields.items()))) for r in flat.where("record_id = 1").collect()}
+    got = {(r.record_type, r.table_name, tuple(r.ordinals), r.parent_name, tuple(r.parent_ordinals or ()), tuple(sorted((k, v.value) for k, v in r.fields.items()))) for r in flat.where("record_id = 1").collect()}
     assert got == {
         ("adapter", "", (), None, (), (("caps.x", "true"), ("name", "n"))), ("property", "", (), None, (), (("k", "1"),)),
         ("property", "a[]", (0,), "", (), (("u", "1"),)), ("property", "a[]", (1,), "", (), (("u", "2"),)),
         ("property", "a[]v[]", (1, 0), "a[]", (1,), (("", "p"),)), ("property", "a[]v[]", (1, 1), "a[]", (1,), (("", "q"),)), ("evidence", "", (), None, (), (("", "text"),)),
     }
-    assert {r.record_id for r in rows.collect()} == {1, 4}
+    assert {r.record_id for r in json_triples(df, "g", "payload").collect()} == {1, 4}
+    assert [r.record_id for r in unusable_records(rows).orderBy("record_id").collect()] == [2, 3]
     assert sorted(r.u for r in flat_table(flat, "property", "a[]", ["u", "absent"]).collect()) == ["1", "1", "2", "2"]
-    assert json_triples(df.limit(0), "g", "payload").count() == 0
+    assert json_triples(df.limit(0), "g", "payload").count() == 0 and flat_tables(json_triples(df.limit(0), "g", "payload", rows=True)).count() == 0
+
+
+def test_every_ancestor_is_a_row(spark):
+    got = keyed(flat_of(spark, ['{"adapter":{"items":[{"subs":[{"x":1}]},{},[[2]],null]}}', '{"adapter":{"a":{},"b":[]}}', '{"adapter":null}', '{"adapter":[[]]}']))
+    a = [(0, "adapter", 0, *k) for k in (("", ()), ("items[]", (0,)), ("items[]subs[]", (0, 0)), ("items[]", (1,)), ("items[]", (2,)), ("items[][]", (2, 0)), ("items[][][]", (2, 0, 0)))]
+    assert set(got) == {*a, (1, "adapter", 0, "", ()), (3, "adapter", 0, "", ()), (3, "adapter", 0, "[]", (0,))}
+    assert all(r.parent_name is None or (*k[:3], r.parent_name, tuple(r.parent_ordinals)) in got for k, r in got.items())
+    assert got[a[0]].fields == {} and got[a[2]].fields["x"].value == "1"
+
+
+def test_keys_with_signs_and_keys_told_twice(spark):
+    got = keyed(flat_of(spark, ['{"adapter":{"a.b":1,"a":{"b":2},"c[]":[3],"c":[4],"":5,"d\\\\":6}}', '{"adapter":{"k":1,"k":"2","m":null,"k":true}}']))
+    assert {k[3] for k in got if k[0] == 0} == {"", "c\\l\\r[]", "c[]"}
+    top = got[0, "adapter", 0, "", ()].fields
+    assert {k: v.value for k, v in top.items()} == {"a\\db": "1", "a.b": "2", "\\e": "5", "d\\\\": "6"}
+    assert got[0, "adapter", 0, "c\\l\\r[]", (0,)].parent_name == ""
+    twice = got[1, "adapter", 0, "", ()]
+    assert {k: tuple(v) for k, v in twice.fields.items()} == {"k": ("true", "boolean")}
+    assert [tuple(x) for x in twice.retold] == [("k", "1", "number"), ("k", "2", "string")]
+
+
+@settings(max_examples=60, deadline=None)
+@given(values)
+def test_no_row_without_its_parent(value):
+    made = triples(json.dumps({"adapter": value}), rows=True)
+    rows = {(r[3], tuple(r[4])) for r in made}
+    for name, at in rows:
+        if name:
+            assert (name[: -len(name.rsplit("]", 2)[-2]) - 1] if name.count("]") > 1 else "", at[:-1]) in rows
+    assert sum(r[7] != "row" for r in made) == len(brute(json.dumps({"adapter": value})))
