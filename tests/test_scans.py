@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from semgraph.functions.ids import clean_id
 from semgraph.operators import keyscan
-from semgraph.operators.diff import table_diff
+from semgraph.operators.diff import checksum_tree, table_diff
 from semgraph.operators.hot_keys import chunk_states, per_key_counts
 from semgraph.operators.orphans import apply_deltas, current_orphans, orphan_references
+from semgraph.session import new_folder
 
 T0 = dt.datetime(2025, 1, 1)
 
@@ -128,3 +129,19 @@ def test_diff_against_brute_force(spark, seed):
     want = [(k, "only_left") for k in new[0].keys() - new[1].keys()] + [(k, "only_right") for k in new[1].keys() - new[0].keys()]
     want += [(k, f) for k in new[0].keys() & new[1].keys() for i, f in enumerate("st") if new[0][k][i] != new[1][k][i]]
     assert _diff(spark, *sides) == sorted(want)
+
+
+def test_diff_at_the_ends_of_the_integers(spark):
+    lo, hi = -(2**63), 2**63 - 1
+    a = [(k, f"s{k}", "t", 1, 1, None) for k in (lo, lo + 1, -1, 0, 1, hi - 1, hi)]
+    b = [(k, f"s{k}", "t" if k != hi else "u", 1, 1, None) for k in (lo, -1, 0, 2, hi - 1, hi)]
+    assert _diff(spark, a, b) == [(lo + 1, "only_left"), (1, "only_left"), (2, "only_right"), (hi, "t")]
+    assert _diff(spark, a[:1], b[-1:]) == [(lo, "only_left"), (hi, "only_right")]
+
+
+def test_checksums_of_great_fingerprints_do_not_overflow(spark):
+    """Fingerprints whose sum is far beyond 64 bits."""
+    rows = spark.range(3000).selectExpr("id key", "9223372036854775807 - id % 2 fp", "-9223372036854775808 + id % 3 fp2")
+    other = rows.selectExpr("key", "if(key = 1234, 0, fp) fp", "fp2")
+    found = checksum_tree(rows, other, 0, 2999, 4, new_folder(spark, "t")).collect()
+    assert [r.rng for r in found] == [1234 >> 4]
