@@ -1,64 +1,62 @@
-"""Per-key figures without a task that holds a key: exact offset chunking."""
+"""Per-key figures without a task that holds a key: exact offset chunking.
 
-from __future__ import annotations
+Equal rows are combined first and the distinct ones dealt to partitions by a
+hash of the whole row, so that a key of very many rows lies in all of them.
+Rows are counted per key and partition, the counts summed up to offsets, and
+every row so gets its exact number within its key.  Numbers are cut into
+chunks of equal size, chunks are worked on apart, and their states are merged
+in order.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from semgraph.operators.keyscan import CHUNK_ROWS, chunks, in_key_order, starts
+from semgraph.session import materialize, new_folder
 
-_STATE = "pid int, seq int, key string, n_rows bigint, n_values bigint, first_value string, last_value string"
-_SCHEMA = pa.schema([("pid", pa.int32()), ("seq", pa.int32()), ("key", pa.string()), ("n_rows", pa.int64()), ("n_values", pa.int64()), ("first_value", pa.string()), ("last_value", pa.string())])
+CHUNK_ROWS = 65_536
+#: ``monotonically_increasing_id`` has the partition above these bits and the row's place in it below
+_PLACE_BITS = 33
 
 
-def _states(batches: Iterator[pa.RecordBatch], chunk_rows: int) -> Iterator[pa.RecordBatch]:
-    """One state per key and chunk of an ordered partition."""
-    from pyspark import TaskContext
+def numbered(df: DataFrame, key: str, value: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Every distinct ``(key, value)`` with its number within the key: ``key, value, weight, row_at, chunk_no``.
 
-    pid = TaskContext.get().partitionId()
-    for seq, t in enumerate(chunks(batches, chunk_rows)):
-        n = t.num_rows
-        key_at = starts(t["key"])
-        value_at = (key_at | starts(t["value"])) & t["value"].combine_chunks().is_valid().to_numpy(zero_copy_only=False)
-        first = np.flatnonzero(key_at)
-        last = np.append(first[1:], n) - 1
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(len(first), pid, np.int32)), pa.array(np.full(len(first), seq, np.int32)),
-                t["key"].combine_chunks().take(pa.array(first)).cast(pa.string()), pa.array(last - first + 1),
-                pa.array(np.add.reduceat(value_at.astype(np.int64), first)),
-                t["value"].combine_chunks().take(pa.array(first)).cast(pa.string()), t["value"].combine_chunks().take(pa.array(last)).cast(pa.string()),
-            ],
-            schema=_SCHEMA,
-        )
+    ``weight`` says how many rows of ``df`` it stands for, ``row_at`` counts
+    from 0 within the key, ``chunk_no`` is ``row_at`` over ``chunk_rows``.
+    The rows are written once before they are counted, so a partition that is
+    computed again after a loss numbers the same rows the same way.  Only keys
+    of more than ``chunk_rows`` rows need offsets; a window over them sees a
+    row per partition.
+    """
+    pairs = df.select(F.col(key).cast("string").alias("key"), F.col(value).cast("string").alias("value")).where("key is not null")
+    pairs = pairs.groupBy("key", "value").agg(F.count("*").alias("weight")).sortWithinPartitions(F.xxhash64("key"), "key")
+    rows = materialize(pairs.withColumn("at", F.monotonically_increasing_id()), new_folder(df.sparkSession, "numbered"))
+    pid = F.shiftright("at", _PLACE_BITS)
+    counts = rows.groupBy("key", pid.alias("pid")).agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
+    w = Window.partitionBy("key").orderBy("pid")
+    # rows of a key lie one after another in a partition
+    offsets = counts.withColumn("before", F.sum("n").over(w) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy("key")))
+    offsets = offsets.where(F.col("total") > chunk_rows).select(F.col("key").alias("_key"), F.col("pid").alias("_pid"), (F.col("before") - F.col("first_at")).alias("shift"))
+    placed = rows.join(offsets, (F.col("key") == F.col("_key")) & (pid == F.col("_pid")), "left")
+    # rows of a key without offsets are one chunk; their numbers are not needed to cut it
+    at = F.col("at") + F.col("shift")
+    return placed.select("key", "value", "weight", at.alias("row_at"), F.coalesce(F.floor(at / chunk_rows), F.lit(0)).alias("chunk_no"))
 
 
 def chunk_states(df: DataFrame, key: str, value: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """The chunks of every key in order, with exact offsets.
 
-    Columns: ``key, chunk_no, first_row`` (offset of the chunk within its key:
-    the prefix sum of the counts before it), ``n_rows, n_values`` (distinct
-    non-null values, less one if the first was already counted by the chunk
-    before), ``first_value, last_value``.  No chunk has more than
-    ``chunk_rows`` rows, whatever the key; a window over the states of a key
-    sees one row per chunk.
+    Columns: ``key, chunk_no, first_row`` (rows of the key in the chunks before
+    it), ``n_rows`` and ``n_values`` (rows of ``df``, and distinct non-null
+    values, of the chunk; a value lies in one chunk only) and ``n_distinct``
+    (distinct rows: exactly ``chunk_rows`` in all chunks of a key but the last).
+    A window over the states of a key sees one row per chunk.
     """
-    rows = df.select(
-        F.col(key).cast("string").alias("key"), F.col(value).cast("string").alias("value"),
-        (F.monotonically_increasing_id() % 1009).cast("short").alias("tie"),
-    ).where("key is not null")
-    states = in_key_order(rows, "key", [F.xxhash64("value"), F.col("value")], "tie").select("key", "value").mapInArrow(lambda b: _states(b, chunk_rows), _STATE)
-    w = Window.partitionBy("key").orderBy("pid", "seq")
-    again = F.coalesce((F.lag("last_value").over(w) == F.col("first_value")).cast("long"), F.lit(0))
-    return states.select(
-        "key", F.row_number().over(w).alias("chunk_no"),
-        F.coalesce(F.sum("n_rows").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first_row"),
-        "n_rows", (F.col("n_values") - again).alias("n_values"), "first_value", "last_value",
-    )
+    states = numbered(df, key, value, chunk_rows).groupBy("key", "chunk_no").agg(F.sum("weight").alias("n_rows"), F.count("value").alias("n_values"), F.count("*").alias("n_distinct"))
+    w = Window.partitionBy("key").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
+    return states.select("key", "chunk_no", F.coalesce(F.sum("n_rows").over(w), F.lit(0)).alias("first_row"), "n_rows", "n_values", "n_distinct")
 
 
 def per_key_counts(df: DataFrame, key: str, value: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -68,4 +66,4 @@ def per_key_counts(df: DataFrame, key: str, value: str, chunk_rows: int = CHUNK_
     value; empty input gives no rows; equal rows count each; columns of the
     input with clashing names do not matter, as only two are read.
     """
-    return chunk_states(df, key, value, chunk_rows).groupBy("key").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_values").alias("n_values"))
+    return chunk_states(df, key, value, chunk_rows).groupBy("key").agg(F.max(F.col("first_row") + F.col("n_rows")).alias("n_rows"), F.sum("n_values").alias("n_values"))

@@ -10,7 +10,7 @@ from semgraph.operators.deliveries import newest
 from semgraph.operators.diff import table_diff
 from semgraph.operators.flatten import flat_tables, json_triples, unusable_records
 from semgraph.operators.hierarchy import hierarchy
-from semgraph.operators.hot_keys import chunk_states, per_key_counts
+from semgraph.operators.hot_keys import CHUNK_ROWS, chunk_states, per_key_counts
 from semgraph.operators.orphans import apply_deltas, current_orphans, orphan_references
 
 ARRIVAL = ["loaded_at", "row_no"]
@@ -121,9 +121,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """How the rows of each target were cut: rows and new sources of each chunk's key, summed per key."""
+    """How the distinct rows of each target were cut: chunks, the most in one, the rows behind them and new sources, merged per key."""
     states = chunk_states(_targets(spark, d), "target_id", "source_id")
-    return states.groupBy(F.col("key").alias("target_id")).agg(F.max(F.col("first_row") + F.col("n_rows")).alias("last_row"), F.sum("n_values").alias("n_sources"))
+    return states.groupBy(F.col("key").alias("target_id")).agg(
+        F.count("*").alias("n_chunks"), F.max("n_distinct").alias("largest"), F.max(F.col("first_row") + F.col("n_rows")).alias("last_row"), F.sum("n_values").alias("n_sources")
+    )
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p2_found, p2_report, p2_current, p3_found, p4_found, p4_tables, p4_links, p4_rejects, p5_found, p5_chunks)}
@@ -185,5 +187,6 @@ SQL = {
   union all select a.edge_id, 'target_id' from a join b using (edge_id) where a.t is distinct from b.t
   union all select a.edge_id, 'kind' from a join b using (edge_id) where a.k is distinct from b.k""",
     "p5_found": f"select {_TARGET} target_id, count(*) n_edges, count(distinct {_SOURCE}) n_sources from edges where {_TARGET} is not null group by 1",
-    "p5_chunks": f"select {_TARGET} target_id, count(*) last_row, count(distinct {_SOURCE}) n_sources from edges where {_TARGET} is not null group by 1",
+    "p5_chunks": f"""select t target_id, (count(*) + {CHUNK_ROWS} - 1) // {CHUNK_ROWS} n_chunks, least(count(*), {CHUNK_ROWS}) largest, sum(n)::bigint last_row, count(s) n_sources
+  from (select {_TARGET} t, {_SOURCE} s, count(*) n from edges where {_TARGET} is not null group by 1, 2) group by 1""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from semgraph.functions.ids import clean_id
 from semgraph.operators import keyscan
 from semgraph.operators.diff import checksum_tree, table_diff
-from semgraph.operators.hot_keys import chunk_states, per_key_counts
+from semgraph.operators.hot_keys import chunk_states, numbered, per_key_counts
 from semgraph.operators.orphans import apply_deltas, current_orphans, orphan_references
 from semgraph.session import new_folder
 
@@ -28,12 +28,18 @@ def test_per_key_counts(spark):
     got = {(r.key, r.n_rows, r.n_values) for r in per_key_counts(df, "t", "s", chunk_rows=7).collect()}  # chunks far smaller than a key
     want = {(k, sum(t == k for t, _ in rows), len({s for t, s in rows if t == k and s is not None})) for k in {t for t, _ in rows} - {None}}
     assert got == want
-    states = sorted((r.chunk_no, r.first_row, r.n_rows) for r in chunk_states(df, "t", "s", chunk_rows=7).where("key = 'hot'").collect())
-    at = 0
-    for i, first, n in states:
-        assert first == at
-        at += n
-    assert at == sum(t == "hot" for t, _ in rows)
+    for key in ("hot", "a"):
+        distinct = len({s for t, s in rows if t == key})
+        states = sorted(chunk_states(df, "t", "s", chunk_rows=7).where(F.col("key") == key).collect(), key=lambda r: r.chunk_no)
+        # every chunk but the last is exactly full, whatever the partitions
+        assert [(r.chunk_no, r.n_distinct) for r in states] == [(i, min(7, distinct - 7 * i)) for i in range(-(-distinct // 7))]
+        at = 0
+        for r in states:
+            assert r.first_row == at
+            at += r.n_rows
+        assert at == sum(t == key for t, _ in rows)
+    placed = numbered(df, "t", "s", chunk_rows=7).where("key = 'hot'").collect()
+    assert sorted(r.row_at for r in placed) == list(range(len(placed))) and all(r.chunk_no == r.row_at // 7 for r in placed)
 
 
 def test_per_key_counts_of_nothing(spark):
