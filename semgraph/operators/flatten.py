@@ -26,7 +26,8 @@ _BLANK = re.compile(r"[ \t\n\r]*")
 #: what is told of a part: (member of the record, member of its elements or None, name of the part)
 PARTS = (("adapter", None, "adapter"), ("symbols", "properties", "property"), ("edges", "evidence", "evidence"))
 
-TRIPLE = "owner_pos int, record_type string, field_path string, parent_table string, ordinals array<int>, field string, value string, value_type string, seq int"
+TRIPLE = "owner_pos int, record_type string, field_path string, value string, value_type string"
+PLACE = "parent_table string, ordinals array<int>, field string, seq int"
 #: ``value_type`` of what is no value: a row of a table, and a record that is no JSON object
 ROW, UNUSABLE = "row", "unusable"
 _ESCAPES = str.maketrans({"\\": "\\\\", ".": "\\d", "[": "\\l", "]": "\\r"})
@@ -51,10 +52,11 @@ def _parts(parts) -> dict:
 
 
 def triples(text: str, parts=PARTS, rows: bool = False) -> list[tuple]:
-    """The triples of one record: (owner_pos, record_type, field_path, table, ordinals, field, value, value_type).
+    """The triples of one record: (owner_pos, record_type, field_path, value, value_type).
 
-    With ``rows`` also one of type ``ROW`` for each part and each element of
-    an array in it that is an object or array.  Raises ``Unusable`` unless the text, without a byte order mark and blanks around it, is one complete JSON object.
+    With ``rows`` they go on with (table, ordinals, field), and there is one
+    of type ``ROW`` for each part and each element of an array in it that is
+    an object or array.  Raises ``Unusable`` unless the text, without a byte order mark and blanks around it, is one complete JSON object.
     """
     named = _parts(parts)
     tops = {top: inner for top, inner, _ in parts}
@@ -124,21 +126,23 @@ def triples(text: str, parts=PARTS, rows: bool = False) -> list[tuple]:
             elif f[2] is not None:
                 part = f[2]
                 if f[0]:
-                    path, table, field, ordinals = f"{f[3]}[{f[1]}]", f"{f[4]}{f[5]}[]", "", (*f[6], f[1])
+                    path = f"{f[3]}[{f[1]}]"
+                    if rows:
+                        table, ordinals = f"{f[4]}{f[5]}[]", (*f[6], f[1])
                 else:
                     path = f"{f[3]}.{f[1]}" if f[3] else f[1]
                     if rows:
-                        field = f"{f[5]}.{_name(f[1])}" if f[5] else _name(f[1])
-                    table, ordinals = f[4], f[6]
+                        table, field, ordinals = f[4], f"{f[5]}.{_name(f[1])}" if f[5] else _name(f[1]), f[6]
         if sign:
             if rows and part is not None and not field:
-                out.append((owner, part, None, table, list(ordinals), None, None, ROW))
+                out.append((owner, part, None, None, ROW, table, list(ordinals), None))
             stack.append([sign == "[", -1, part, path, table, field, ordinals, role])
             want = "value or end" if sign == "[" else "key or end"
             continue
         if part is not None and plain != "null":
             kind = "string" if quoted else "boolean" if plain in ("true", "false") else "number"
-            out.append((owner, part, path, table, list(ordinals), field, _string(quoted) if quoted else plain, kind))
+            value = _string(quoted) if quoted else plain
+            out.append((owner, part, path, value, kind, table, list(ordinals), field) if rows else (owner, part, path, value, kind))
         want = "comma or end" if stack else "nothing"
         if not stack:
             raise Unusable
@@ -151,7 +155,7 @@ def json_triples(df: DataFrame, id_col: str, json_col: str, parts=PARTS, rows: b
     """One row per scalar in the wanted parts of each record: ``record_id`` and the columns of ``TRIPLE``.
 
     ``field_path`` leads to the value with keys as they are.  With ``rows``,
-    which ``flat_tables`` needs, ``parent_table`` is the path of the last
+    which ``flat_tables`` needs, the columns of ``PLACE`` follow: ``parent_table`` is the path of the last
     repeated ancestor with ``[]`` for its positions (empty: the part itself),
     ``ordinals`` the positions, ``field`` the path from there (in both, ``\\``,
     ``.``, ``[`` and ``]`` of a key are written ``\\\\``, ``\\d``, ``\\l`` and
@@ -167,8 +171,9 @@ def json_triples(df: DataFrame, id_col: str, json_col: str, parts=PARTS, rows: b
     one row is.
     """
     id_type = df.schema[id_col].dataType.simpleString()
-    types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.string(), pa.int32()]
-    names = ["record_id", *[c.split()[0] for c in TRIPLE.split(", ")]]
+    types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()] + ([pa.string(), pa.list_(pa.int32()), pa.string(), pa.int32()] if rows else [])
+    schema = f"{TRIPLE}, {PLACE}" if rows else TRIPLE
+    names = ["record_id", *[c.split()[0] for c in schema.split(", ")]]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,9 +185,10 @@ def json_triples(df: DataFrame, id_col: str, json_col: str, parts=PARTS, rows: b
                         raise Unusable
                     found = triples(text, parts, rows)
                 except Unusable:
-                    found = [(None, None, None, None, None, None, None, UNUSABLE)] if rows else []
+                    found = [(None, None, None, None, UNUSABLE, None, None, None)] if rows else []
                 ids.extend([i] * len(found))
-                cols[-1].extend(range(len(found)))
+                if rows:
+                    cols[-1].extend(range(len(found)))
                 for r in found:
                     for c, v in zip(cols, r):
                         c.append(v)
@@ -195,7 +201,7 @@ def json_triples(df: DataFrame, id_col: str, json_col: str, parts=PARTS, rows: b
     def batch(b: pa.RecordBatch, ids: list, cols: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int32())), *[pa.array(c, t) for c, t in zip(cols, types)]], names=names)
 
-    return df.select(id_col, json_col).mapInArrow(parse, f"record_id {id_type}, {TRIPLE}")
+    return df.select(id_col, json_col).mapInArrow(parse, f"record_id {id_type}, {schema}")
 
 
 def flat_tables(triples: DataFrame) -> DataFrame:

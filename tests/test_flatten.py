@@ -102,8 +102,8 @@ def test_keys_with_signs_and_keys_told_twice(spark):
 @given(values)
 def test_no_row_without_its_parent(value):
     made = triples(json.dumps({"adapter": value}), rows=True)
-    rows = {(r[3], tuple(r[4])) for r in made}
+    rows = {(r[5], tuple(r[6])) for r in made}
     for name, at in rows:
         if name:
             assert (name[: -len(name.rsplit("]", 2)[-2]) - 1] if name.count("]") > 1 else "", at[:-1]) in rows
-    assert sum(r[7] != "row" for r in made) == len(brute(json.dumps({"adapter": value})))
+    assert sum(r[4] != "row" for r in made) == len(brute(json.dumps({"adapter": value})))
