@@ -17,20 +17,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semgraph.session import shuffle_partitions
-
 CHUNK_ROWS = 65_536
 
 
-def in_key_order(df: DataFrame, key: str, then: list, tie: str | None = None) -> DataFrame:
-    """``df`` in ranges of (hash of key, key, then, tie), sorted in each but for the tie.
+def in_key_order(df: DataFrame, key: str, then: list, tie: str, ranges: int) -> DataFrame:
+    """``df`` in so many ranges of (hash of key, key, then, tie), sorted in each but for the tie.
 
     The hash comes first as a fixed-width sort prefix; any order that keeps
     the rows of a key together serves.  ``tie`` makes rows distinct, so that
     equal rows can be divided between ranges.
     """
     lead = [F.xxhash64(key), F.col(key), *then]
-    ranged = df.repartitionByRange(shuffle_partitions(df.sparkSession), *lead, *([F.col(tie)] if tie else []))
+    ranged = df.repartitionByRange(ranges, *lead, F.col(tie))
     return ranged.sortWithinPartitions(*lead)
 
 

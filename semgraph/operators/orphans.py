@@ -3,22 +3,28 @@
 Signed change deltas per key: a record that appears is +1 existence, one that
 is deleted -1; a reference is +1 reference.  Running sums over the deltas of a
 key in time order tell for each reference whether the record existed when it
-was loaded.  The deltas are scanned in key order, cut into ranges of equal
-size, so a key with a third of all references costs no task more than others.
+was loaded: the reference count is then positive, so it is an orphan if the
+existence count is zero.  The deltas are scanned in key order, cut into ranges
+of equal size, so a key with a third of all references costs no task more than
+others.  ``orphans_by_period`` keeps the counts from batch to batch, so that a
+new batch costs its own rows and the counts, not the history.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from semgraph.operators.keyscan import CHUNK_ROWS, chunks, in_key_order, starts
-from semgraph.session import materialize, new_folder
+from semgraph.session import materialize, new_folder, shuffle_partitions
 
+#: deltas in a range at most on average; more ranges than ``spark.sql.shuffle.partitions`` are made where that is too few
+RANGE_ROWS = 4_000_000
 #: what a delta is; the order within a key and time
 KNOWN, EXISTS, REFERENCE = 0, 1, 2
 #: what a reference found; OPEN: it depends on the partitions before
@@ -113,16 +119,22 @@ def orphan_references(records: DataFrame, references: DataFrame, chunk_rows: int
     The driver gets one row per partition, never keys.
     """
     spark = references.sparkSession
+    base = new_folder(spark, "orphans")
     month = lambda c: (F.year(c) * 100 + F.month(c)).cast("int")
     none = F.lit(None)
-    records = records.where("key is not null")
+    # a record row is told twice: without a time, that the key is known at all, and as the existence that it gives or takes
+    kinds = F.explode(F.array(F.lit(KNOWN).cast("byte"), F.lit(EXISTS).cast("byte")))
     deltas = (
-        records.select("key", "loaded_at", F.lit(EXISTS).cast("byte").alias("kind"), "row_no", (~F.coalesce("is_deleted", F.lit(False))).cast("byte").alias("alive"), none.cast("byte").alias("ref"), none.cast("int").alias("month"))
-        .unionByName(records.groupBy("key").agg(F.lit(None).cast(records.schema["loaded_at"].dataType).alias("loaded_at")).select("key", "loaded_at", F.lit(KNOWN).cast("byte").alias("kind"), none.cast("long").alias("row_no"), F.lit(0).cast("byte").alias("alive"), none.cast("byte").alias("ref"), none.cast("int").alias("month")))
+        records.where("key is not null").select("key", "loaded_at", kinds.alias("kind"), "row_no", (~F.coalesce("is_deleted", F.lit(False))).cast("byte").alias("alive"))
+        .select("key", F.when(F.col("kind") == EXISTS, F.col("loaded_at")).alias("loaded_at"), "kind", F.when(F.col("kind") == EXISTS, F.col("row_no")).alias("row_no"), F.when(F.col("kind") == EXISTS, F.col("alive")).otherwise(F.lit(0)).cast("byte").alias("alive"), none.cast("byte").alias("ref"), none.cast("int").alias("month"))
         .unionByName(references.where("key is not null").select("key", "loaded_at", F.lit(REFERENCE).cast("byte").alias("kind"), "row_no", F.lit(0).cast("byte").alias("alive"), "ref", month("loaded_at").alias("month")))
     )
-    scanned = in_key_order(deltas, "key", [F.col("loaded_at"), F.col("kind"), F.col("row_no")], "ref").select("key", "kind", "row_no", "alive", "ref", "month")
-    found = materialize(scanned.mapInArrow(lambda b: _scan(b, chunk_rows), _OUT), new_folder(spark, "orphans"))
+    # written, so that finding the ranges does not evaluate the inputs again; their number follows the rows
+    seen = Observation()
+    deltas = materialize(deltas.observe(seen, F.count(F.lit(1)).alias("n")), f"{base}/deltas")
+    ranges = max(shuffle_partitions(spark), -(-seen.get["n"] // RANGE_ROWS))
+    scanned = in_key_order(deltas, "key", [F.col("loaded_at"), F.col("kind"), F.col("row_no")], "ref", ranges).select("key", "kind", "row_no", "alive", "ref", "month")
+    found = materialize(scanned.mapInArrow(lambda b: _scan(b, chunk_rows), _OUT), f"{base}/found")
     carry = _carries(found.where("what = -1").select("pid", "first_key", "last_key", "known", "seen", "alive").collect())
     carried = spark.createDataFrame(list(carry.items()) or [(-1, MISSING)], "cp int, carry int")
     names = F.create_map(*[F.lit(x) for x in (MISSING, "missing", LATE, "late", DELETED, "deleted")])
@@ -135,26 +147,60 @@ def orphan_references(records: DataFrame, references: DataFrame, chunk_rows: int
     )
 
 
-def apply_deltas(counts: DataFrame | None, records: DataFrame, references: DataFrame) -> DataFrame:
-    """Signed counts per key after a batch of changes: ``(key, n_references, n_existing)``.
+def apply_deltas(counts: DataFrame | None, deltas: DataFrame) -> DataFrame:
+    """Signed counts per key after a batch of changes; both tables have ``key, n_existing`` and a column of references per referring table.
 
-    ``records(key, delta)`` and ``references(key, delta)`` hold +1 for each
-    row that came and -1 for each that went; ``counts`` are those before the
-    batch.  The sums are commutative, so batches may come in any order and a
-    key is combined before it is shuffled.
+    A delta is +1 for each row that came and -1 for each that went, or a sum of
+    them.  The sums are commutative, so batches may come in any order, and a
+    key is combined before it is shuffled.  A null key is no key.
     """
-    parts = [
-        records.select("key", F.lit(0).cast("long").alias("n_references"), F.col("delta").cast("long").alias("n_existing")),
-        references.select("key", F.col("delta").cast("long").alias("n_references"), F.lit(0).cast("long").alias("n_existing")),
-    ]
-    if counts is not None:
-        parts.append(counts.select("key", "n_references", "n_existing"))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows.where("key is not null").groupBy("key").agg(F.sum("n_references").alias("n_references"), F.sum("n_existing").alias("n_existing"))
+    rows = deltas if counts is None else counts.unionByName(deltas.select(counts.columns))
+    return rows.where("key is not null").groupBy("key").agg(*[F.sum(c).alias(c) for c in rows.columns if c != "key"])
 
 
 def current_orphans(counts: DataFrame) -> DataFrame:
-    """Keys with references and no record, as the counts stand."""
-    return counts.where("n_references > 0 and n_existing <= 0").select("key", "n_references")
+    """``key, n_references``: keys with references and no record, as the counts stand."""
+    n = reduce(lambda a, b: a + b, [F.col(c) for c in counts.columns if c not in ("key", "n_existing")])
+    return counts.select("key", "n_existing", n.alias("n_references")).where("n_references > 0 and n_existing <= 0").select("key", "n_references")
+
+
+def existence_deltas(counts: DataFrame | None, changes: DataFrame) -> DataFrame:
+    """``changes(key, alive, n_<table>...)`` of a batch as deltas: +1 if a record came, -1 if it went, 0 if it stays as it was.
+
+    ``alive`` is what the newest record row of the key in the batch says, null if there is none.
+    """
+    before = F.lit(0).cast("long")
+    if counts is not None:
+        changes = changes.join(counts.select("key", F.col("n_existing").alias("_before")), "key", "left")
+        before = F.coalesce("_before", before)
+    refs = [c for c in changes.columns if c not in ("key", "alive", "_before")]
+    return changes.select("key", F.when(F.col("alive").isNull(), F.lit(0)).otherwise(F.col("alive").cast("long") - before).cast("long").alias("n_existing"), *refs)
+
+
+def orphans_by_period(records: DataFrame, references: DataFrame, tables: list[str]) -> list[tuple[int, DataFrame]]:
+    """The counts after each month of deliveries, ``[(yyyymm, counts)]``, each made of those before and the month's deltas.
+
+    ``records(key, loaded_at, row_no, is_deleted)``, ``references(ref_table,
+    key, loaded_at)`` with ``ref_table`` one of ``tables``.  Deliveries are
+    combined to one row per month and key and written by month, so every month
+    reads only its own; the driver gets the months.  Rows without a time
+    belong to no month and are left out.
+    """
+    spark = records.sparkSession
+    base = new_folder(spark, "periods")
+    month = (F.year("loaded_at") * 100 + F.month("loaded_at")).alias("month")
+    zero = [F.lit(0).cast("long").alias(f"n_{t}") for t in tables]
+    none = F.lit(None)
+    recs = records.select(month, "key", F.struct("loaded_at", "row_no", (~F.coalesce("is_deleted", F.lit(False))).alias("alive")).alias("r"), *zero)
+    refs = references.select(month, "key", none.cast(recs.schema["r"].dataType).alias("r"), *[(F.col("ref_table") == t).cast("long").alias(f"n_{t}") for t in tables])
+    rows = recs.unionByName(refs).where("month is not null and key is not null")
+    made = rows.groupBy("month", "key").agg(F.max("r").alias("r"), *[F.sum(f"n_{t}").alias(f"n_{t}") for t in tables])
+    made = made.select("month", "key", F.col("r.alive").alias("alive"), *[f"n_{t}" for t in tables])
+    made.write.partitionBy("month").parquet(f"{base}/changes")
+    changes = spark.read.schema(made.schema).parquet(f"{base}/changes")
+    out, counts = [], None
+    for m in sorted(r[0] for r in changes.select("month").distinct().collect()):
+        batch = changes.where(F.col("month") == m).drop("month")
+        counts = materialize(apply_deltas(counts, existence_deltas(counts, batch)), f"{base}/counts-{m}")
+        out.append((m, counts))
+    return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from semgraph.operators.diff import table_diff
 from semgraph.operators.flatten import flat_tables, json_triples, unusable_records
 from semgraph.operators.hierarchy import hierarchy
 from semgraph.operators.hot_keys import CHUNK_ROWS, chunk_states, per_key_counts
-from semgraph.operators.orphans import apply_deltas, current_orphans, orphan_references
+from semgraph.operators.orphans import current_orphans, orphan_references, orphans_by_period
 
 ARRIVAL = ["loaded_at", "row_no"]
 
@@ -62,11 +64,24 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return p2_found(spark, d).groupBy("ref_table", "ref_field", "load_month", "ref_state").agg(F.count("*").alias("n_references"))
 
 
+def _counts(spark: SparkSession, d: str) -> list[tuple[int, DataFrame]]:
+    refs = _references(spark, d).select(F.when(F.col("ref") == 2, "symbols").otherwise("edges").alias("ref_table"), "key", "loaded_at")
+    return orphans_by_period(_records(spark, d), refs, ["edges", "symbols"])
+
+
 def p2_current(spark: SparkSession, d: str) -> DataFrame:
-    """Keys that are referenced now and do not exist now, from signed counts."""
-    living = newest(_records(spark, d), "key", ["loaded_at", "row_no"], ["is_deleted"]).where(~F.coalesce("is_deleted", F.lit(False)))
-    counts = apply_deltas(None, living.select("key", F.lit(1).alias("delta")), _references(spark, d).select("key", F.lit(1).alias("delta")))
-    return current_orphans(counts)
+    """Keys that are referenced now and do not exist now, from signed counts kept over the months of delivery."""
+    return current_orphans(_counts(spark, d)[-1][1])
+
+
+def p2_periods(spark: SparkSession, d: str) -> DataFrame:
+    """The orphan report as it stood after each month: keys without a record and the references to them, per table."""
+    parts = []
+    for m, counts in _counts(spark, d):
+        orphans = counts.where("n_existing <= 0").select(F.explode(F.array(*[F.struct(F.lit(t).alias("ref_table"), F.col(f"n_{t}").alias("n")) for t in ("edges", "symbols")])).alias("r"))
+        found = orphans.where("r.n > 0").groupBy("r.ref_table").agg(F.count("*").alias("n_keys"), F.sum("r.n").alias("n_references"))
+        parts.append(found.select(F.lit(f"{m // 100}-{m % 100:02}").alias("month"), "ref_table", "n_keys", "n_references"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -128,7 +143,7 @@ def p5_chunks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p2_found, p2_report, p2_current, p3_found, p4_found, p4_tables, p4_links, p4_rejects, p5_found, p5_chunks)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p2_found, p2_report, p2_current, p2_periods, p3_found, p4_found, p4_tables, p4_links, p4_rejects, p5_found, p5_chunks)}
 
 _CLEAN = "nullif(replace(trim({}, ' \t'), '\\', '/'), '')"
 _ID, _PARENT, _SOURCE, _TARGET = (_CLEAN.format(c) for c in ("id", "parent_id", "source_id", "target_id"))
@@ -180,6 +195,11 @@ SQL = {
     "p2_report": f"with {_P2} select ref_table, ref_field, load_month, ref_state, count(*) n_references from found where ref_state is not null group by all",
     "p2_current": f"""with {_REFS}, alive as (select k from recs group by k having not arg_max(is_deleted, (loaded_at, row_no)))
   select k as key, count(*) n_references from refs where k is not null and k not in (select k from alive where k is not null) group by k""",
+    "p2_periods": f"""with {_REFS}, months as (select distinct strftime(loaded_at, '%Y-%m') m from (select loaded_at, k from refs union all select loaded_at, k from recs) where k is not null),
+  grid as (select k, m from (select distinct k from refs where k is not null), months),
+  cum as (select g.k, g.m, r.ref_table, count(*) n from grid g join refs r on r.k = g.k and strftime(r.loaded_at, '%Y-%m') <= g.m group by all),
+  gone as (select g.k, g.m from grid g left join recs r on r.k = g.k and strftime(r.loaded_at, '%Y-%m') <= g.m group by all having coalesce(arg_max(r.is_deleted, (r.loaded_at, r.row_no)) filter (where r.k is not null), true))
+  select m as "month", ref_table, count(*) n_keys, sum(n)::bigint n_references from cum join gone using (k, m) group by 1, 2""",
     "p3_found": f"""with a as (select edge_id, {_SOURCE} s, {_TARGET} t, nullif(lower(kind), '') k from edges qualify row_number() over (partition by edge_id order by loaded_at desc, row_no desc) = 1),
   b as (select edge_id, {_SOURCE} s, {_TARGET} t, nullif(lower(kind), '') k from edge_copy qualify row_number() over (partition by edge_id order by synced_at desc, copy_row desc) = 1)
   select edge_id, 'only_in_edges' finding from a where edge_id not in (select edge_id from b) union all select edge_id, 'only_in_copy' from b where edge_id not in (select edge_id from a)

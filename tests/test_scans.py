@@ -9,7 +9,7 @@ from semgraph.functions.ids import clean_id
 from semgraph.operators import keyscan
 from semgraph.operators.diff import checksum_tree, table_diff
 from semgraph.operators.hot_keys import chunk_states, numbered, per_key_counts
-from semgraph.operators.orphans import apply_deltas, current_orphans, orphan_references
+from semgraph.operators.orphans import apply_deltas, current_orphans, orphan_references, orphans_by_period
 from semgraph.session import new_folder
 
 T0 = dt.datetime(2025, 1, 1)
@@ -84,14 +84,42 @@ def test_orphans_edges(spark):
 
 
 def test_signed_counts(spark):
-    recs = spark.createDataFrame([("a", 1), ("b", 1), ("b", -1)], "key string, delta int")
-    refs = spark.createDataFrame([("a", 1), ("b", 1), ("b", 1), ("c", 1), ("c", -1), (None, 1)], "key string, delta int")
-    counts = apply_deltas(None, recs, refs)
-    assert {tuple(r) for r in current_orphans(counts).collect()} == {("b", 2)}
-    counts = apply_deltas(counts, spark.createDataFrame([("b", 1), ("a", -1)], "key string, delta int"), refs.limit(0))
+    schema = "key string, n_existing long, n_edges long"
+    rows = [("a", 1, 0), ("b", 1, 0), ("b", -1, 0), ("a", 0, 1), ("b", 0, 2), ("c", 0, 1), ("c", 0, -1), (None, 0, 1)]
+    whole = apply_deltas(None, spark.createDataFrame(rows, schema))
+    assert {tuple(r) for r in current_orphans(whole).collect()} == {("b", 2)}
+    # the same in batches of any order
+    counts = None
+    for part in (rows[5:], rows[:2], rows[2:5]):
+        counts = apply_deltas(counts, spark.createDataFrame(part, schema))
+    assert sorted(counts.collect()) == sorted(whole.collect())
+    counts = apply_deltas(counts, spark.createDataFrame([("b", 1, 0), ("a", -1, 0)], schema))
     assert {tuple(r) for r in current_orphans(counts).collect()} == {("a", 1)}
 
 
+def test_counts_kept_by_month_are_those_of_a_full_run(spark):
+    rnd = random.Random(4)
+    when = lambda: T0 + dt.timedelta(days=rnd.randrange(150))
+    recs = [(rnd.choice([f"k{rnd.randrange(9)}", None]), when(), i, rnd.choice([True, False, None])) for i in range(80)]
+    refs = [(rnd.choice(["edges", "symbols"]), rnd.choice(["hot"] * 4 + [f"k{rnd.randrange(12)}", None]), when()) for _ in range(300)]
+    a = spark.createDataFrame(recs, "key string, loaded_at timestamp, row_no long, is_deleted boolean")
+    b = spark.createDataFrame(refs, "ref_table string, key string, loaded_at timestamp")
+    months = orphans_by_period(a, b, ["edges", "symbols"])
+    assert [m for m, _ in months] == sorted({t.year * 100 + t.month for t in [r[1] for r in recs if r[0]] + [r[2] for r in refs if r[1]]})
+    for m, counts in months:
+        old = lambda t: t.year * 100 + t.month <= m  # noqa: E731, B023
+        newest = {}
+        for k, t, n, gone in recs:
+            if k and old(t):
+                newest[k] = max(newest.get(k, ()), (t, n, not gone))
+        want = {k: [int(newest.get(k, (0, 0, False))[2]), 0, 0] for k in {*newest, *(k for _, k, t in refs if k and old(t))}}
+        for table, k, t in refs:
+            if k and old(t):
+                want[k][1 + (table == "symbols")] += 1
+        assert {(r.key, r.n_existing, r.n_edges, r.n_symbols) for r in counts.collect()} == {(k, *v) for k, v in want.items()}
+    assert orphans_by_period(a.limit(0), b.limit(0), ["edges"]) == []
+
+
 L = "edge_id long, s string, t string, at int, n int, key string"
 
 
