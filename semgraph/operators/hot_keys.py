@@ -24,21 +24,25 @@ def numbered(df: DataFrame, key: str, value: str, chunk_rows: int = CHUNK_ROWS)
     """Every distinct ``(key, value)`` with its number within the key: ``key, value, weight, row_at, chunk_no``.
 
     ``weight`` says how many rows of ``df`` it stands for, ``row_at`` counts
-    from 0 within the key, ``chunk_no`` is ``row_at`` over ``chunk_rows``.
+    from 0 within the key, ``chunk_no`` is ``row_at`` over ``chunk_rows``.  A
+    key of no more than ``chunk_rows`` distinct rows is one chunk, number 0,
+    and its rows have no ``row_at``.
     The rows are written once before they are counted, so a partition that is
-    computed again after a loss numbers the same rows the same way.  Only keys
-    of more than ``chunk_rows`` rows need offsets; a window over them sees a
-    row per partition.
+    computed again after a loss numbers the same rows the same way.  A window
+    over the counts of a key sees a row per partition.
     """
+    base = new_folder(df.sparkSession, "numbered")
     pairs = df.select(F.col(key).cast("string").alias("key"), F.col(value).cast("string").alias("value")).where("key is not null")
     pairs = pairs.groupBy("key", "value").agg(F.count("*").alias("weight")).sortWithinPartitions(F.xxhash64("key"), "key")
-    rows = materialize(pairs.withColumn("at", F.monotonically_increasing_id()), new_folder(df.sparkSession, "numbered"))
+    rows = materialize(pairs.withColumn("at", F.monotonically_increasing_id()), f"{base}/rows")
     pid = F.shiftright("at", _PLACE_BITS)
-    counts = rows.groupBy("key", pid.alias("pid")).agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
+    # both are written, so that their size is known where they are joined: small ones are broadcast, others not
+    long_ = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > chunk_rows).select("key"), f"{base}/long")
+    counts = rows.join(long_, "key", "left_semi").groupBy("key", pid.alias("pid")).agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
     w = Window.partitionBy("key").orderBy("pid")
     # rows of a key lie one after another in a partition
-    offsets = counts.withColumn("before", F.sum("n").over(w) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy("key")))
-    offsets = offsets.where(F.col("total") > chunk_rows).select(F.col("key").alias("_key"), F.col("pid").alias("_pid"), (F.col("before") - F.col("first_at")).alias("shift"))
+    shift = F.sum("n").over(w) - F.col("n") - F.col("first_at")
+    offsets = materialize(counts.select(F.col("key").alias("_key"), F.col("pid").alias("_pid"), shift.alias("shift")), f"{base}/offsets")
     placed = rows.join(offsets, (F.col("key") == F.col("_key")) & (pid == F.col("_pid")), "left")
     # rows of a key without offsets are one chunk; their numbers are not needed to cut it
     at = F.col("at") + F.col("shift")
