@@ -4,10 +4,14 @@ Ignorable characters are deleted, blanks become spaces, wide, narrow and
 joined forms their ordinary characters.  Every token is then a lattice: a
 letter that has the shape of letters of other scripts may be any of them.
 The Viterbi path of the best character bigram score, under bigrams counted
-in the tokens of one script of all texts, is the form of the token.  The score
-looks only at shapes, never at the letters that stood there, so texts that
-look the same get the same form, and every letter keeps its shape, so others
-do not.
+in the tokens of one script of all texts, is the form of the token.  Marks go
+with the letter before them: a letter follows the last letter, and a mark is
+scored by the letter that bears it.  A word that could be one of several
+scripts throughout goes with the script of the word before it unless its
+bigrams say otherwise.  The score looks only at shapes, never at
+the letters that stood there, so texts that look the same get the same form,
+and every letter keeps its shape, so others do not: forms are equal exactly if
+shapes are, and the search decides which of the equal spellings the form is.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ _TOKEN = re.compile("[A-Za-zªºµ-ʯ\u0300-\u036fͰ-֏ぁ-\u309aァ-ヺ]+")
 #: a bigram table has at most the square of this many letters, whatever the texts
 LETTERS = 26 * 2 + 0x058F - 0x00AA + 1 + 0x30FA - 0x3041 + 3
 UNSEEN, FOREIGN = -14.0, -20.0
+#: what a word gains that stays in the script of the word before it
+STAY = 8.0
 _MEMO = 200_000
 
 
@@ -110,24 +116,32 @@ def shapes(text: str) -> str:
 
 
 def count_bigrams(tokens: dict[str, int]) -> Counter:
-    """Bigrams of the tokens whose letters are of one script, ``^`` before and ``$`` after."""
+    """Bigrams of the tokens whose letters are of one script, ``^`` before and ``$`` after; a mark pairs with its letter and is skipped otherwise."""
     out: Counter = Counter()
     for t, n in tokens.items():
         if len({_script(c) for c in t} - {""}) == 1:
-            for pair in zip("^" + t, t + "$"):
-                out[pair[0] + pair[1]] += n
+            last = "^"
+            for c in t:
+                out[last + c] += n
+                if _script(c):
+                    last = c
+            out[last + "$"] += n
     return out
 
 
 class Model:
-    """Log probabilities of a letter after another, and the Viterbi search with them."""
+    """Log probabilities of a letter or mark after a letter, and the Viterbi search with them."""
 
     def __init__(self, counts: dict[str, int]):
+        # each letter is followed once by another letter or the end
         total: Counter = Counter()
         for pair, n in counts.items():
-            total[pair[0]] += n
+            if pair[1] == "$" or _script(pair[1]):
+                total[pair[0]] += n
         self.score = {p: math.log(n / total[p[0]]) for p, n in counts.items()}
-        self.memo: dict[str, str] = {}
+        self.tokens: dict[str, tuple] = {}
+        self.shapes: dict[str, tuple] = {}
+        self.script = ""
 
     def step(self, a: str, b: str) -> float:
         s = self.score.get(a + b)
@@ -136,32 +150,67 @@ class Model:
         x, y = _script(a) if a != "^" else "", _script(b) if b != "$" else ""
         return FOREIGN if x and y and x != y else UNSEEN
 
+    def search(self, shape: str, script: str | None = None) -> tuple[float, str] | None:
+        """The best path through the lattice of a token's shapes and its score, of one script if it is given; none if the token has no such reading.
+
+        Ties go to the letter that stands first in its shape.
+        """
+        # states are the last letters; marks leave them as they are
+        paths = {"^": (0.0, "")}
+        for c in shape:
+            if not _script(c):
+                paths = {a: (s + self.step(a, c), path + c) for a, (s, path) in paths.items()}
+                continue
+            after = {}
+            for b in _OPTIONS.get(c, c):
+                if script and _script(b) != script:
+                    continue
+                best = None
+                for a, (s, path) in paths.items():
+                    s += self.step(a, b)
+                    if best is None or s > best[0]:
+                        best = (s, path)
+                after[b] = (best[0], best[1] + b)
+            if not after:
+                return None
+            paths = after
+        return max(((s + self.step(a, "$"), path) for a, (s, path) in paths.items()), key=lambda x: x[0])
+
     def best(self, token: str) -> str:
-        """The best path through the lattice of a token. Ties go to the letter that stands first in its shape."""
+        """The best reading of a token by itself."""
+        return self.search("".join(_OPTIONS.get(c, c)[0] for c in token))[1]
+
+    def _readings(self, token: str) -> tuple:
+        """``(script, reading, score)`` of a token: the best one, or one for each script that it could be in throughout if there are several."""
         shape = "".join(_OPTIONS.get(c, c)[0] for c in token)
-        found = self.memo.get(shape)
+        found = self.shapes.get(shape)
         if found is None:
-            paths = {"^": (0.0, "")}
-            for c in shape:
-                after = {}
-                for b in _OPTIONS.get(c, c):
-                    best = None
-                    for a, (s, path) in paths.items():
-                        s += self.step(a, b)
-                        if best is None or s > best[0]:
-                            best = (s, path)
-                    # marks carry no script: the letter before them stays the context
-                    after[b] = (best[0], best[1] + b)
-                paths = after
-            ends = [(s + self.step(a, "$"), path) for a, (s, path) in paths.items()]
-            found = max(ends, key=lambda x: x[0])[1]
-            if len(self.memo) >= _MEMO:
-                self.memo.clear()
-            self.memo[shape] = found
+            letters = [{_script(b) for b in _OPTIONS.get(c, c)} for c in shape if _script(c)]
+            scripts = sorted(set.intersection(*letters)) if letters else []
+            if len(scripts) > 1:
+                found = tuple((s, r[1], r[0]) for s in scripts if (r := self.search(shape, s)))
+            else:
+                score, path = self.search(shape)
+                found = ((next((s for c in reversed(path) if (s := _script(c))), ""), path, score),)
+            if len(self.shapes) >= _MEMO:
+                self.shapes.clear()
+            self.shapes[shape] = found
         return found
 
+    def read(self, token: str) -> str:
+        """The reading of the next token of a text, given the script of the one before."""
+        found = self.tokens.get(token)
+        if found is None:
+            if len(self.tokens) >= _MEMO:
+                self.tokens.clear()
+            found = self.tokens[token] = self._readings(token)
+        pick = found[0] if len(found) == 1 else max(found, key=lambda x: x[2] + (STAY if x[0] == self.script else 0.0))
+        self.script = pick[0]
+        return pick[1]
+
     def form(self, text: str) -> str:
-        return unicodedata.normalize("NFC", _TOKEN.sub(lambda m: self.best(m[0]), plain(text)))
+        self.script = ""
+        return unicodedata.normalize("NFC", _TOKEN.sub(lambda m: self.read(m[0]), plain(text)))
 
 
 def train(df: DataFrame, text: str) -> dict[str, int]:
@@ -184,6 +233,39 @@ def train(df: DataFrame, text: str) -> dict[str, int]:
     return {r["pair"]: r["n"] for r in rows.collect()}
 
 
+def recovery(df: DataFrame, doc_id: str, text: str, parts: int = 10) -> DataFrame:
+    """How well the search finds the spelling of words that it was not trained on: ``script, n_tokens, n_ambiguous, n_found``.
+
+    Bigrams are counted in the texts of all parts but one (by ``doc_id``), and
+    the tokens of one script in the last part are read by their shapes and
+    those of the words before them.  Tokens are counted as often as they occur; the ambiguous ones have
+    a letter that another script has, too.
+    """
+    own = F.pmod(F.xxhash64(doc_id), F.lit(parts)) == 0
+    counts = df.sparkSession.sparkContext.broadcast(train(df.where(~own), text))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, out = Model(counts.value), Counter()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                model.script = ""
+                for token in _TOKEN.findall(plain(t)) if t else ():
+                    read = model.read(token)
+                    scripts = {_script(c) for c in token} - {""}
+                    if len(scripts) == 1:
+                        script = scripts.pop()
+                        out[script, "n_tokens"] += 1
+                        if any(c in _OPTIONS for c in token):
+                            out[script, "n_ambiguous"] += 1
+                            out[script, "n_found"] += read == token
+        rows = [(s, *(out[s, k] for k in ("n_tokens", "n_ambiguous", "n_found"))) for s in {s for s, _ in out}]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["script", "n_tokens", "n_ambiguous", "n_found"])
+
+    found = df.where(own).select(text).mapInArrow(search, "script string, n_tokens bigint, n_ambiguous bigint, n_found bigint")
+    return found.groupBy("script").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_ambiguous", "n_found")])
+
+
 def consistent_forms(df: DataFrame, doc_id: str, text: str, digests_only: bool = False) -> DataFrame:
     """``doc_id, form`` of every row, or ``doc_id, form_key, text_key`` (128-bit digests of the form and the text, null for a null or empty text).
 
@@ -211,12 +293,29 @@ def consistent_forms(df: DataFrame, doc_id: str, text: str, digests_only: bool =
     return df.select(doc_id, text).mapInArrow(forms, out)
 
 
+def look_classes(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, form_key, text_key)`` -> classes of documents that look the same, and who is in them.
+
+    Classes: ``class_id`` (least document of the form), ``n_texts`` (different
+    texts), ``n_docs``.  Members: ``doc_id, class_id, text_id`` (least document
+    of the same text).  Only forms of several texts make a class.  Every table
+    has at most a row per document, however many copies there are; a form of
+    very many copies is combined before it is shuffled and not gathered.
+    """
+    docs = forms.where("form_key is not null")
+    texts = docs.groupBy("form_key", "text_key").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("n"))
+    classes = texts.groupBy("form_key").agg(F.min("text_id").alias("class_id"), F.count("*").alias("n_texts"), F.sum("n").alias("n_docs")).where("n_texts > 1")
+    named = texts.join(classes.select("form_key", "class_id"), "form_key").select("form_key", "text_key", "class_id", "text_id")
+    return classes.drop("form_key"), docs.join(named, ["form_key", "text_key"]).select("doc_id", "class_id", "text_id")
+
+
 def same_looking_pairs(forms: DataFrame) -> DataFrame:
     """``(doc_id, form_key, text_key)`` -> pairs of documents of one form and different texts, ``doc_id_a < doc_id_b``.
 
     Texts of one form are first told apart as classes; only classes of one
     form are paired, so copies of a text are never compared with each other
-    and the work follows the number of pairs that come out.
+    and the work follows the number of pairs that come out.  Where copies are
+    many, ``look_classes`` tells the same in a row per document.
     """
     docs = forms.where("form_key is not null")
     classes = docs.groupBy("form_key", "text_key").agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semgraph.functions.ids import table
-from semgraph.llm.lookalikes import consistent_forms, same_looking_pairs
+from semgraph.llm.lookalikes import consistent_forms, look_classes, recovery, same_looking_pairs
 from semgraph.llm.mixing import mix_report, mix_sources
 from semgraph.llm.packing import fill_containers, fill_report
 from semgraph.llm.tokens import token_counts
@@ -50,9 +50,29 @@ def p7_exact_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_report(*_mix(spark, d, "exact"))
 
 
-def p8_found(spark: SparkSession, d: str) -> DataFrame:
+def _forms(spark: SparkSession, d: str) -> DataFrame:
     forms = consistent_forms(table(spark, d, "documents"), "doc_id", "text", digests_only=True)
-    return same_looking_pairs(materialize(forms, new_folder(spark, "forms")))
+    return materialize(forms, new_folder(spark, "forms"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_looking_pairs(_forms(spark, d))
+
+
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The classes of documents that look the same, with the numbers of their texts and documents."""
+    return look_classes(_forms(spark, d))[0]
+
+
+def p8_members(spark: SparkSession, d: str) -> DataFrame:
+    """Each document in such a class, with the first document of the class and the first of its own text."""
+    return look_classes(_forms(spark, d))[1]
+
+
+def p8_recovery(spark: SparkSession, d: str) -> DataFrame:
+    """Per script the words of held-out texts and those whose spelling the search finds from their shapes."""
+    rows = recovery(table(spark, d, "documents"), "doc_id", "text")
+    return rows.withColumn("share", F.round(F.try_divide("n_found", "n_ambiguous"), 6))
 
 
 def p8_forms(spark: SparkSession, d: str) -> DataFrame:
@@ -60,5 +80,5 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return consistent_forms(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p6_pack, p6_report, p7_mix, p7_shares, p7_exact_shares, p8_found, p8_forms)}
+QUERIES = {f.__name__: f for f in (p6_pack, p6_report, p7_mix, p7_shares, p7_exact_shares, p8_found, p8_classes, p8_members, p8_recovery, p8_forms)}
 SQL: dict[str, str] = {}

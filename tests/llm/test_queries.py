@@ -17,3 +17,10 @@ def test_packs_hold_every_token(spark):
     packed = Q.p6_pack(spark, D).groupBy("pack_name").sum("n_tokens").collect()
     assert len({r[1] for r in packed}) == 1 and len(packed) == 3
     assert all(r.unused_share < 0.2 for r in Q.p6_report(spark, D).collect())
+
+
+def test_spellings_are_found(spark):
+    """Words of scripts with enough text to learn from; a script of a handful of words cannot be learnt."""
+    rows = Q.p8_recovery(spark, "/root/testdata/sf0.01").collect()
+    assert {r.script for r in rows} >= {"Latin", "Cyrillic", "Greek"}
+    assert all(r.share >= 0.9 for r in rows if r.script in ("Latin", "Cyrillic", "Greek"))
