@@ -124,3 +124,17 @@ def mix_report(mixed: DataFrame, plan: DataFrame) -> DataFrame:
         "mix_name", "source", "target_share", "max_repeats", "available_tokens", F.round("epochs", 6).alias("epochs"), "most_repeats", "mixed_tokens",
         F.round(F.coalesce(F.try_divide("mixed_tokens", whole), F.lit(0.0)), 6).alias("actual_share"),
     )
+
+
+def mix_check(docs: DataFrame, targets: DataFrame, mixed: DataFrame, plan: DataFrame) -> DataFrame:
+    """Per mix and source what must hold: documents of the source, those in the mix that are none of it or come too often, those that lack a whole epoch, and whether the size is the planned one to within a document."""
+    have = docs.where("n_tokens > 0").groupBy("source").agg(F.count("*").alias("n_docs"), F.max("n_tokens").alias("largest"))
+    got = mixed.groupBy("mix_name", "source").agg(F.count("*").alias("n_in"), F.max("repeats").alias("most"), F.count_if(F.col("n_tokens") <= 0).alias("bad"), F.min("repeats").alias("least"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("size"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    rows = plan.join(have, "source", "left").join(got, ["mix_name", "source"], "left")
+    whole = F.col("whole") >= 1
+    near = (zero("size") <= F.col("planned_tokens") + 1) & (zero("size") > F.col("planned_tokens") - zero("largest") - 1)
+    return rows.select(
+        "mix_name", "source", zero("n_docs").alias("n_docs"), (zero("most") > F.col("max_repeats")).alias("too_often"), (zero("n_in") > zero("n_docs")).alias("too_many"),
+        F.coalesce(whole & ((zero("n_in") < F.col("n_docs")) | (F.col("least") < F.col("whole"))), F.lit(False)).alias("lacking"), near.alias("as_planned"),
+    )

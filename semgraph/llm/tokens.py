@@ -29,7 +29,7 @@ def encoding(path: str):
 
 
 def token_counts(df: DataFrame, text: str, keep: list[str], ranks: str = RANKS) -> DataFrame:
-    """``keep`` and ``item`` (a number unique to the row) and ``n_tokens`` of the whole text, written once.
+    """``keep``, ``item`` (a number unique to the row), ``digest`` (of ``keep`` and the text) and ``n_tokens`` of the whole text, written once.
 
     A null text has no tokens, as an empty one. Special tokens in a text are ordinary text.
     """
@@ -40,6 +40,6 @@ def token_counts(df: DataFrame, text: str, keep: list[str], ranks: str = RANKS)
             sizes = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(sizes, pa.int64())], names=[*b.schema.names[1:], "n_tokens"])
 
-    rows = df.select(F.col(text).alias("_text"), *keep, F.monotonically_increasing_id().alias("item"))
+    rows = df.select(F.col(text).alias("_text"), *keep, F.monotonically_increasing_id().alias("item"), F.xxhash64(text, *keep).alias("digest"))
     kept = ", ".join(f"`{c}` {t}" for c, t in rows.drop("_text").dtypes)
     return materialize(rows.mapInArrow(count, f"{kept}, n_tokens bigint"), new_folder(df.sparkSession, "tokens"))
