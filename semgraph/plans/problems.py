@@ -11,7 +11,7 @@ from semgraph.functions.ids import clean_id, table
 from semgraph.operators.deliveries import newest
 from semgraph.operators.diff import table_diff
 from semgraph.operators.flatten import flat_tables, json_triples, unusable_records
-from semgraph.operators.hierarchy import hierarchy
+from semgraph.operators.hierarchy import descendants, hierarchy
 from semgraph.operators.hot_keys import CHUNK_ROWS, chunk_states, per_key_counts
 from semgraph.operators.orphans import current_orphans, orphan_references, orphans_by_period
 
@@ -29,11 +29,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_paths(spark: SparkSession, d: str) -> DataFrame:
-    """The path from the root to each symbol, ids joined by `` > ``; null on and below cycles."""
+    """The path from the root, or from a cycle, to each symbol, ids joined by `` > ``."""
     tree = hierarchy(living_symbols(spark, d), with_paths=True)
     return tree.select("id", F.array_join("path", " > ").alias("path"), "on_cycle")
 
 
+def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every symbol and each symbol above it; a cycle stands under its smallest id."""
+    return descendants(hierarchy(living_symbols(spark, d), with_paths=True))
+
+
 def _references(spark: SparkSession, d: str) -> DataFrame:
     """Every reference of ``edges`` and ``symbols``; ``ref``: 0 source_id, 1 target_id, 2 parent_id."""
     edges = table(spark, d, "edges").select("row_no", "loaded_at", "source_id", "target_id")
@@ -143,13 +148,17 @@ def p5_chunks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p2_found, p2_report, p2_current, p2_periods, p3_found, p4_found, p4_tables, p4_links, p4_rejects, p5_found, p5_chunks)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_report, p2_current, p2_periods, p3_found, p4_found, p4_tables, p4_links, p4_rejects, p5_found, p5_chunks)}
 
 _CLEAN = "nullif(replace(trim({}, ' \t'), '\\', '/'), '')"
 _ID, _PARENT, _SOURCE, _TARGET = (_CLEAN.format(c) for c in ("id", "parent_id", "source_id", "target_id"))
 _LIVING = f"""living as (select id, parent from (select {_ID} id, {_PARENT} parent, is_deleted,
     row_number() over (partition by {_ID} order by loaded_at desc, row_no desc) rn from symbols where {_ID} is not null) where rn = 1 and not is_deleted),
   tree as (select a.id, b.id parent from living a left join living b on a.parent = b.id)"""
+#: paths that begin at roots and at nodes of cycles, which are cut out of their cycles
+_RINGS = f"""{_LIVING}, climb(id, a, step) as (select id, id, 0 from tree union all select c.id, t.parent, c.step + 1 from climb c join tree t on c.a = t.id where t.parent is not null and c.step < 300),
+  ring as (select distinct id from climb where a = id and step > 0), least as (select id, min(a) least from climb where id in (select id from ring) group by id),
+  ways(id, path) as (select id, id from tree where parent is null or id in (select id from ring) union all select t.id, w.path || ' > ' || t.id from ways w join tree t on t.parent = w.id where t.id not in (select id from ring))"""
 _REFS = f"""refs as (select 'edges' ref_table, row_no, 'source_id' ref_field, {_SOURCE} k, loaded_at from edges
     union all select 'edges', row_no, 'target_id', {_TARGET}, loaded_at from edges
     union all select 'symbols', row_no, 'parent_id', {_PARENT}, loaded_at from symbols where not is_deleted),
@@ -183,10 +192,9 @@ SQL = {
   kind as (select id, max(far) >= 1000 endless, max(step) depth, min(anc) filter (where far > 600) ring, arg_max(anc, step) top from pairs group by id),
   below as (select anc id, count(distinct id) - 1 n from pairs group by anc)
   select k.id, case when endless then ring else top end root_id, (case when endless then -1 else depth end)::int tree_depth, b.n n_below from kind k join below b on k.id = b.id""",
-    "p1_paths": f"""with recursive {_LIVING}, up(id, a, path, step) as (select id, id, id, 0 from tree union all select u.id, t.parent, t.parent || ' > ' || u.path, u.step + 1 from up u join tree t on u.a = t.id where t.parent is not null and u.step < 300),
-  ends as (select u.id, u.path from up u join tree t on t.id = u.a where t.parent is null),
-  ring as (select id from up group by id having count(*) filter (where a = id) > 1)
-  select t.id, e.path, t.id in (select id from ring) on_cycle from tree t left join ends e on e.id = t.id""",
+    "p1_paths": f"""with recursive {_RINGS} select id, path, id in (select id from ring) on_cycle from ways""",
+    "p1_descendants": f"""with recursive {_RINGS}, named as (select w.id, string_split(w.path, ' > ') p, r.least from ways w left join least r on r.id = string_split(w.path, ' > ')[1])
+  select coalesce(case when i = 1 then least end, p[i]) ancestor_id, id, (len(p) - i)::int distance from named, lateral (select unnest(generate_series(1, len(p))) i) where i < len(p) or (least is not null and id <> least)""",
     "p4_found": f"""with recursive {_P4},
   walk(n, id, type, path) as (select n, id, type, '' from nodes where parent is null
     union all select w.n, c.id, c.type, case when w.type = 'ARRAY' then w.path || '[' || c.key || ']' when w.path = '' then c.key else w.path || '.' || c.key end from walk w join nodes c on c.n = w.n and c.parent = w.id)

@@ -59,5 +59,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def frequent_keys(df: DataFrame, key: str, parts: int = 200) -> list:
     """Keys that hold more than 1/``parts`` of the non-null rows: fewer than ``parts`` by construction."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    total = df.where(F.col(key).isNotNull()).count()
-    return [r[0] for r in counts.where(F.col("n") * parts > total).select(key).collect()]
+    total = df.where(F.col(key).isNotNull()).agg(F.count("*").alias("total"))
+    # one row, so no larger than the keys
+    return [r[0] for r in counts.join(F.broadcast(total), F.col("n") * parts > F.col("total")).select(key).collect()]

@@ -55,14 +55,39 @@ def test_random_against_brute_force(spark, seed, n, reach):
     for _ in range(n // 30):
         i = rnd.randrange(n)
         rows[i] = (rows[i][0], rnd.choice([f"n{rnd.randrange(n):03}", "gone", None, rows[i][0]]))
+    check(rows, run(spark, rows, with_paths=True))
+
+
+def check(rows, tree):
     want, above = brute(rows)
-    tree = run(spark, rows, with_paths=True)
     assert found(tree) == want
+    par = {i: c[1] if len(c) > 1 else None for i, c in above.items()}
+    ring = {i for i, c in above.items() if any(par.get(x) == i or (x == i and dict(rows).get(i) == i) for x in c) and next(d for n, _, d, _ in want if n == i) < 0}
+    root = {i: r for i, r, _, _ in want}
+    pairs = set()
     for r in tree.collect():
-        assert r.path == (above[r.id][::-1] if r.tree_depth >= 0 else None)
-    pairs = {(r.ancestor_id, r.id, r.distance) for r in descendants(tree).collect()}
-    endless = {i for i, _, d, _ in want if d < 0}
-    assert pairs == {(a, i, k) for i, c in above.items() if i not in endless for k, a in enumerate(c) if k}
+        chain = above[r.id]
+        stop = next((k for k, x in enumerate(chain) if x in ring), len(chain) - 1)
+        assert r.path == chain[: stop + 1][::-1] and r.on_cycle == (r.id in ring)
+        pairs |= {(root[a] if a in ring else a, r.id, k) for k, a in enumerate(chain[: stop + 1]) if k or (r.id in ring and r.id != root[r.id])}
+    assert {(r.ancestor_id, r.id, r.distance) for r in descendants(tree).collect()} == pairs
+
+
+def test_cycles_with_trees_below(spark):
+    rows = [(x, y) for x, y in zip("abcde", "bcdea")] + [("self", "self"), ("s1", "self"), ("s2", "s1"), ("t1", "c"), ("t2", "t1"), ("t3", "t2"), ("t4", "t2"), ("u", "e"), ("root", None), ("k", "root")]
+    tree = run(spark, rows, with_paths=True)
+    check(rows, tree)
+    got = {(r.ancestor_id, r.id, r.distance) for r in descendants(tree).where("id in ('t3', 'd', 's2', 'k')").collect()}
+    assert got == {("a", "t3", 3), ("t1", "t3", 2), ("t2", "t3", 1), ("a", "d", 0), ("self", "s2", 2), ("s1", "s2", 1), ("root", "k", 1)}
+
+
+def test_rounds_by_all_tasks_and_by_one_are_the_same(spark, monkeypatch):
+    rnd = random.Random(9)
+    rows = [(f"n{i:04}", f"n{max(0, i - rnd.randint(1, 4)):04}" if i else None) for i in range(400)] + [(f"c{i}", f"c{(i + 1) % 37}") for i in range(37)]
+    want = brute(rows)[0]
+    assert found(run(spark, rows)) == want
+    monkeypatch.setattr("semgraph.operators.hierarchy.LAST_ROWS", 0)
+    assert found(run(spark, rows)) == want
 
 
 def test_star_with_a_hot_parent(spark):
