@@ -194,7 +194,7 @@ SQL = {
   select k.id, case when endless then ring else top end root_id, (case when endless then -1 else depth end)::int tree_depth, b.n n_below from kind k join below b on k.id = b.id""",
     "p1_paths": f"""with recursive {_RINGS} select id, path, id in (select id from ring) on_cycle from ways""",
     "p1_descendants": f"""with recursive {_RINGS}, named as (select w.id, string_split(w.path, ' > ') p, r.least from ways w left join least r on r.id = string_split(w.path, ' > ')[1])
-  select coalesce(case when i = 1 then least end, p[i]) ancestor_id, id, (len(p) - i)::int distance from named, lateral (select unnest(generate_series(1, len(p))) i) where i < len(p) or (least is not null and id <> least)""",
+  select coalesce(case when i = 1 then least end, p[i]) ancestor_id, id, (len(p) - i)::int distance from named, lateral (select unnest(generate_series(1, len(p))) i) where i < len(p) or (id in (select id from ring) and id <> least)""",
     "p4_found": f"""with recursive {_P4},
   walk(n, id, type, path) as (select n, id, type, '' from nodes where parent is null
     union all select w.n, c.id, c.type, case when w.type = 'ARRAY' then w.path || '[' || c.key || ']' when w.path = '' then c.key else w.path || '.' || c.key end from walk w join nodes c on c.n = w.n and c.parent = w.id)
