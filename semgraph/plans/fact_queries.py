@@ -261,16 +261,6 @@ def incremental_diff(spark: SparkSession, d: str) -> DataFrame:
     return T.manifest_diff(_manifest(spark, d, _CUT), _manifest(spark, d, None))
 
 
-@query("select 'incremental' side, 0::bigint n where false", prefix="")
-def incremental_drift(spark: SparkSession, d: str) -> DataFrame:
-    """A full run against one that replaced only changed files: no row differs."""
-    full = table(spark, d, "symbols").select("file_path", "id", "row_no").where("file_path is not null")
-    old = table(spark, d, "symbols").where((F.col("loaded_at") < F.lit(_CUT).cast("timestamp")) & F.col("file_path").isNotNull()).select("file_path", "id", "row_no")
-    diff = incremental_diff(spark, d).withColumn("status", F.when(F.col("status") == "touched", "changed").otherwise(F.col("status")))
-    inc = T.replace_files(old, full, diff, "file_path")
-    return T.drift(full, inc, ["file_path", "id", "row_no"]).groupBy("side").agg(F.count("*").alias("n"))
-
-
 @query("select edge_id, row_no from edges qualify row_number() over (partition by edge_id order by loaded_at desc, row_no desc) = 1", prefix="")
 def stream_newest_edges(spark: SparkSession, d: str) -> DataFrame:
     """The newest row of each edge, kept by a stream over the delivered files."""

@@ -506,11 +506,6 @@ def camel_tokens(spark: SparkSession, d: str) -> DataFrame:
     return s.select("id", F.lower(F.array_join(R.camel_tokens(F.col("name")), "|")).alias("tokens"))
 
 
-@query("select parent_id, name, count(*) n, array_to_string(list_sort(list(id)), '|') ids from s where kind = 'method' and parent_id is not null group by 1, 2 having count(*) > 1")
-def overloads(spark: SparkSession, d: str) -> DataFrame:
-    return R.overloads(graph(spark, d))
-
-
 _RESOLVE = """, asked as (select distinct x input from (select s x from rawe union all select t from rawe union all select name from s) where x is not null),
   q as (select *, regexp_replace(q, '^[a-z]+:', '') stem, regexp_extract(q, '^([a-z]+):', 1) kind, not regexp_matches(q, '[:.(]') bare, string_split(regexp_replace(regexp_replace(q, '^[a-z]+:', ''), '\\(.*$', ''), '.')[-1] last from (select input, trim(input, ' ') q from asked)),
   sy as (select id, kind skind, name, regexp_replace(id, '\\(.*$', '') no_args, regexp_replace(id, '^[a-z]+:', '') sstem from s),

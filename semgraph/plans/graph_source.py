@@ -17,23 +17,59 @@ from semgraph.operators.build import Graph, build
 from semgraph.operators.deliveries import newest
 from semgraph.session import materialize, new_folder
 
-_built: dict[tuple[str, str], Graph] = {}
+_built: dict[tuple, Graph] = {}
 
 
-def raw_symbols(spark: SparkSession, d: str) -> DataFrame:
-    """The newest living row of each id, with ``ord``."""
+def _key(spark: SparkSession, d: str) -> tuple:
+    """What the built graph of a folder depends on: the application and the sizes and times of its files."""
+    out: list = [spark.sparkContext.applicationId, d]
+    for name in ("symbols", "shared_symbols", "edges"):
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+        files = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(out)
+
+
+def _symbol_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of both symbol tables, properties as entries, ``src`` 0 for the own one."""
     ids = [clean_id("id").alias("id"), "name", "qualified_name", "kind", "file_path", "line", clean_id("parent_id").alias("parent_id"), F.coalesce("visibility", F.lit("internal")).alias("visibility")]
     own = table(spark, d, "symbols").select(*ids, "is_abstract", "is_static", F.map_entries("properties").alias("properties"), "is_deleted", "loaded_at", "row_no", F.lit(0).alias("src"))
     none = F.lit(None)
     shared = table(spark, d, "shared_symbols").select(*ids, none.cast("boolean").alias("is_abstract"), none.cast("boolean").alias("is_static"), none.cast(own.schema["properties"].dataType).alias("properties"), "is_deleted", "loaded_at", "row_no", F.lit(1).alias("src"))
-    order = ["loaded_at", "row_no", "src"]
-    rows = newest(own.unionByName(shared), "id", order, [c for c in own.columns if c not in ("id", *order)]).where(~F.coalesce("is_deleted", F.lit(False)))
+    return own.unionByName(shared)
+
+
+_ORDER = ["loaded_at", "row_no", "src"]
+
+
+def _with_properties(rows: DataFrame) -> DataFrame:
     props = F.coalesce(F.map_from_entries("properties"), F.create_map().cast("map<string,string>"))
     test = (F.col("kind") == "method") & F.coalesce(F.col("file_path").startswith("tests/"), F.lit(False))
     direct = (F.col("kind") == "module") & (F.length("name") % 2 == 0)
     tagged = F.map_concat(F.map_filter(props, lambda k, v: k != "attributes"), F.create_map(F.lit("attributes"), F.concat_ws(";", props["attributes"], F.lit("Test"))))
     closed = F.map_concat(F.map_filter(props, lambda k, v: k != "referenceClosure"), F.create_map(F.lit("referenceClosure"), F.lit("DirectOnly")))
-    return rows.withColumn("properties", F.when(test, tagged).when(direct, closed).otherwise(props)).withColumn("ord", F.lit(0)).drop("is_deleted")
+    return rows.withColumn("properties", F.when(test, tagged).when(direct, closed).otherwise(props))
+
+
+def raw_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """The newest living row of each id, with ``ord``."""
+    rows = _symbol_rows(spark, d)
+    rows = newest(rows, "id", _ORDER, [c for c in rows.columns if c not in ("id", *_ORDER)]).where(~F.coalesce("is_deleted", F.lit(False)))
+    return _with_properties(rows).withColumn("ord", F.lit(0)).drop("is_deleted")
+
+
+def delivered_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Every delivered row that is no deletion, in the order of delivery: an id may be told several times, under several parents."""
+    rows = _symbol_rows(spark, d).where(~F.coalesce("is_deleted", F.lit(False)))
+    return _with_properties(rows).withColumn("ord", F.struct(*_ORDER)).drop("is_deleted", *_ORDER)
+
+
+def delivered_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Every delivered row, numbered as delivered."""
+    cols = [clean_id("source_id").alias("source_id"), clean_id("target_id").alias("target_id"), "kind", "evidence", "properties", "call_site", "profiles", F.col("row_no").alias("ord")]
+    return table(spark, d, "edges").select(*cols)
 
 
 def raw_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -45,8 +81,8 @@ def raw_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, d: str) -> Graph:
-    """The built graph, written once per application and data folder."""
-    key = (spark.sparkContext.applicationId, d)
+    """The built graph, written once per application and state of the data folder."""
+    key = _key(spark, d)
     if key not in _built:
         g = build(raw_symbols(spark, d), raw_edges(spark, d))
         base = new_folder(spark, "graph")
@@ -54,12 +90,12 @@ def graph(spark: SparkSession, d: str) -> Graph:
     return _built[key]
 
 
-_cycles: dict[tuple[str, str], DataFrame] = {}
+_cycles: dict[tuple, DataFrame] = {}
 
 
 def cycle_members(spark: SparkSession, d: str) -> DataFrame:
-    """The components of the built graph, found once per application and data folder."""
-    key = (spark.sparkContext.applicationId, d)
+    """The components of the built graph, found once per application and state of the data folder."""
+    key = _key(spark, d)
     if key not in _cycles:
         _cycles[key] = materialize(cycles(graph(spark, d)), new_folder(spark, "cycles"))
     return _cycles[key]
@@ -94,3 +130,12 @@ fe as (select a.f s, b.f t, count(*) n from dd join filed a on dd.s = a.id join
   and (a.f, b.f) not in (select s, t from dd where k = 'references' and starts_with(s, 'file:') and starts_with(t, 'file:')) group by 1, 2),
 e as materialized (select s, t, k, role, ord, init, ec, profiles from dd union all select s, t, 'references', 'edgeCount=' || n, 4611686018427387904, null, n::varchar, null from fe),
 l as (select * from e where k <> 'contains'), c as (select * from e where k = 'contains')"""
+
+
+def delivered_prefix(keep_symbols: str = "true", keep_edges: str = "true") -> str:
+    """The prefix for the graph of all delivered rows (or those that fit) instead of the newest ones."""
+    out = PREFIX.replace("from raws where id is not null) where rn = 1 and not is_deleted)", "from raws where id is not null and not is_deleted) where rn = 1)")
+    out = out.replace("is_deleted, loaded_at, row_no, 0 src from symbols", f"is_deleted, loaded_at, row_no, 0 src from (select * from symbols where {keep_symbols})")
+    out = out.replace("from edges qualify row_number() over (partition by edge_id order by loaded_at desc, row_no desc) = 1)", f"from (select * from edges where {keep_edges}))").replace("select edge_id ord", "select row_no ord")
+    out = out.replace("from s where parent_id is not null and parent_id <> id", "from (select distinct id, parent_id from raws where id is not null and not is_deleted) where parent_id is not null and parent_id <> id")
+    return out
