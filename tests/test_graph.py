@@ -115,6 +115,14 @@ def test_first_path(spark):
     assert (got.dist, got.nodes, got.vias) == (2, ["s", "x", "t"], ["k1", "k3"])
 
 
+def test_long_chains_and_rings_are_contracted(spark):
+    """A chain of 600 nodes into a ring of 300 with a chain out, a ring of two, and a dense core: no job per node."""
+    e = [(f"a{i:03}", f"a{i + 1:03}") for i in range(600)] + [("a600", "r000")] + [(f"r{i:03}", f"r{(i + 1) % 300:03}") for i in range(300)] + [("r007", "z0")] + [(f"z{i}", f"z{i + 1}") for i in range(50)]
+    e += [("p", "q"), ("q", "p"), ("q", "q"), (None, "p"), ("p", None)] + [(f"d{i}", f"d{j}") for i in range(6) for j in range(6) if i != j] + [("d0", "a000")]
+    got = {(r.node, r.component) for r in components(spark.createDataFrame(e, "src string, dst string"), last_edges=0).collect()}
+    assert got == {(f"r{i:03}", "r299") for i in range(300)} | {("p", "q"), ("q", "q")} | {(f"d{i}", "d5") for i in range(6)}
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_components_and_reach_against_brute_force(spark, seed):
     rnd = random.Random(seed)
@@ -134,6 +142,7 @@ def test_components_and_reach_against_brute_force(spark, seed):
     want = {(v, max(w for w in far[v] if v in far[w])) for v in far if sum(v in far[w] for w in far[v]) > 1}
     df = spark.createDataFrame(e, "src string, dst string")
     assert {tuple(r) for r in components(df).collect()} == want
+    assert {tuple(r) for r in components(df, last_edges=0).collect()} == want
     seeds = spark.createDataFrame([(v, v) for v in sorted(far)[::5]], "root string, node string")
     assert {(r.root, r.node, r.dist) for r in reach(df, seeds, None).collect()} == {(v, w, k) for v in sorted(far)[::5] for w, k in far[v].items()}
 
