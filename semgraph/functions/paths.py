@@ -44,7 +44,7 @@ def matches_glob(path: Column, globs: list[str]) -> Column:
 def matches_pattern(name: Column, pattern: Column) -> Column:
     """The grammar of architecture rules: ``*`` all, ``*.X`` a part, ``X.*`` a prefix, else a name or what is below it."""
     n, p = F.lower(name), F.lower(pattern)
-    tail = F.substring(p, 3, 100000)
+    tail = p.substr(F.lit(3), F.length(p))
     stem = F.left(p, F.length(p) - 2)
     part = n.endswith(F.concat(F.lit("."), tail)) | n.contains(F.concat(F.lit("."), tail, F.lit("."))) | n.startswith(F.concat(tail, F.lit("."))) | (n == tail)
     return (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semgraph.functions.paths import matches_pattern
@@ -67,13 +67,16 @@ def violations(g: Graph, rules: DataFrame, block: int = RULE_BLOCK) -> DataFrame
     """The first rule that each link breaks: ``source_id, target_id, kind, role, rule_id, message``.
 
     ``rules(rule_ord, id, source, must_not_reference, may_only_reference)``,
-    ordinals from 0. Rules are matched with the distinct names that occur, in
-    blocks of bounded size, not with the edges.
+    Rules of a null ordinal come last, those of one ordinal by their id. Rules
+    are matched with the distinct names that occur, in blocks of bounded size,
+    not with the edges.
     """
     names = g.symbols.select("id", F.coalesce(F.nullif("qualified_name", F.lit("")), "id").alias("name"))
     pairs = g.links.select("source_id", "target_id").distinct()
     pairs = pairs.join(names.select(F.col("id").alias("source_id"), F.col("name").alias("s")), "source_id").join(names.select(F.col("id").alias("target_id"), F.col("name").alias("t")), "target_id")
-    r = rules.select("rule_ord", F.col("id").alias("rule_id"), F.col("source").alias("pattern"), "must_not_reference", "may_only_reference")
+    # rules are few, so one task numbers them
+    at = F.row_number().over(Window.orderBy(F.col("rule_ord").asc_nulls_last(), "id")) - 1
+    r = rules.select(at.alias("rule_ord"), F.col("id").alias("rule_id"), F.col("source").alias("pattern"), "must_not_reference", "may_only_reference")
     hit = matches_pattern(F.col("s"), F.col("pattern"))
     must = F.col("must_not_reference").isNotNull() & matches_pattern(F.col("t"), F.col("must_not_reference"))
     only = F.col("may_only_reference").isNotNull() & ~matches_pattern(F.col("t"), F.col("may_only_reference")) & ~matches_pattern(F.col("t"), F.col("pattern"))
@@ -194,8 +197,6 @@ def grouped(rows: DataFrame, group: list[str], preview: int = 5) -> DataFrame:
 
     The preview is kept by a bounded window per group; groups are counted apart.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*group).orderBy("dist", "node")
     counts = rows.groupBy(*group).agg(F.count("*").alias("n"), F.count_if(F.col("dist") == 1).alias("n_direct"))
     head = rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= preview).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("rn", "node"))).alias("p"))
@@ -205,11 +206,11 @@ def grouped(rows: DataFrame, group: list[str], preview: int = 5) -> DataFrame:
 
 
 def neighbours(g: Graph, targets: DataFrame, incoming: bool) -> DataFrame:
-    """``root, node, kind, bucket, profiles``: the links of each target with the bucket of the other end."""
+    """``root, node, kind, role, bucket, profiles, call_site``: the links of each target with the bucket of the other end."""
     here, there = ("target_id", "source_id") if incoming else ("source_id", "target_id")
     e = g.links.join(targets.select(F.col("id").alias(here)), here, "left_semi")
     b = g.symbols.select(F.col("id").alias(there), "bucket")
-    return e.join(b, there).select(F.col(here).alias("root"), F.col(there).alias("node"), "kind", "role", "bucket", "profiles")
+    return e.join(b, there).select(F.col(here).alias("root"), F.col(there).alias("node"), "kind", "role", "bucket", "profiles", "call_site")
 
 
 def of_profiles(edges: DataFrame, profiles: list[str]) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from semgraph.operators.build import Graph
 from semgraph.operators.traverse import reach
 
-MAX_SITES = 256
+#: lines of a file in which spans are looked up together
+BLOCK_LINES = 256
 
 
 def find_references(refs: DataFrame, declarations: DataFrame | None = None) -> DataFrame:
@@ -86,15 +87,26 @@ def assignment_coverage(sites: DataFrame, slots: DataFrame, writes: DataFrame, m
     return rows.select("type_id", "site_id", "slot", state.alias("state"), F.array_join(limits, ",").alias("limitations"), F.when(F.size(limits) == 0, "Proven").otherwise("Advisory").alias("confidence"), *total)
 
 
-def callsite_arguments(facts: DataFrame, max_sites: int = MAX_SITES, clip: int = 160) -> tuple[DataFrame, DataFrame]:
-    """``facts(target_id, site_id, ordinal, parameter_name, supplied, raw_text)`` -> (arguments of the first sites, figures per parameter over all sites)."""
-    sites = facts.select("target_id", "site_id").distinct().withColumn("rn", F.row_number().over(Window.partitionBy("target_id").orderBy("site_id"))).where(F.col("rn") <= max_sites).drop("rn")
+def callsite_arguments(facts: DataFrame, max_sites: int | None = None, clip: int = 160) -> tuple[DataFrame, DataFrame]:
+    """``facts(target_id, site_id, ordinal, parameter_name, supplied, raw_text)`` -> (arguments of all sites or the first ones, figures per parameter over all sites).
+
+    ``n_sites`` beside an argument says how many sites its target has in all.
+    """
+    sites = facts.select("target_id", "site_id").distinct()
+    total = sites.groupBy("target_id").agg(F.count("*").alias("n_sites"))
     text = F.when(F.length("raw_text") > clip, F.concat(F.left("raw_text", F.lit(clip - 1)), F.lit("…"))).otherwise(F.col("raw_text"))
-    args = facts.join(sites, ["target_id", "site_id"], "left_semi").select("target_id", "site_id", "ordinal", "parameter_name", "supplied", text.alias("text"))
+    kept = facts
+    if max_sites is not None:
+        first = sites.withColumn("rn", F.row_number().over(Window.partitionBy("target_id").orderBy("site_id"))).where(F.col("rn") <= max_sites).drop("rn")
+        kept = facts.join(first, ["target_id", "site_id"], "left_semi")
+    args = kept.select("target_id", "site_id", "ordinal", "parameter_name", "supplied", text.alias("text")).join(total, "target_id")
     per = facts.groupBy("target_id", "ordinal", "parameter_name").agg(F.count_if("supplied").alias("n_supplied"), F.count_if(~F.col("supplied")).alias("n_omitted"))
     return args, per
 
 
+WIRE_FINDINGS = ("FieldReadWithoutWrite", "DelegateSlotNeverAssigned", "EventSubscribedNeverRaised", "EventRaisedNeverSubscribed", "DegenerateConstantCallSites")
+
+
 def wire_audit(candidates: DataFrame, accesses: DataFrame, call_args: DataFrame | None = None) -> DataFrame:
     """``candidates(member_id, file_path, line, is_delegate, is_event, is_rw_candidate, has_initializer)``, ``accesses(member_id, access)`` -> findings.
 
@@ -164,10 +176,21 @@ def struct_layout(fields: DataFrame, pack: int = 8) -> DataFrame:
 
 
 def symbol_at_position(spans: DataFrame, positions: DataFrame) -> DataFrame:
-    """``spans(symbol_id, file_path, start_line, end_line)``, ``positions(file_path, line)`` -> the innermost symbol there."""
-    hit = positions.join(spans, "file_path").where("line between start_line and end_line")
-    best = hit.groupBy("file_path", "line").agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("len"), (-F.col("start_line")).alias("s"), "symbol_id")).alias("b"))
-    return positions.distinct().join(best, ["file_path", "line"], "left").select("file_path", "line", F.col("b.symbol_id").alias("symbol_id"))
+    """``spans(symbol_id, file_path, start_line, start_col, end_line, end_col)``, ``positions(file_path, line, col)`` -> the innermost symbol there.
+
+    Ends count to the span.  A null column of a position is any place of its
+    line, one of a span the line's whole.  Spans and positions meet by blocks
+    of lines, so a position sees the spans of its block and not those of the file.
+    """
+    block = lambda c: F.floor(F.col(c) / BLOCK_LINES)
+    s = spans.where("start_line <= end_line").select("*", F.explode(F.sequence(block("start_line"), block("end_line"))).alias("block"))
+    at = positions.select("file_path", "line", "col").distinct()
+    hit = at.where("line is not null").withColumn("block", block("line")).join(s, ["file_path", "block"]).where("line between start_line and end_line")
+    hit = hit.where("(col is null or line > start_line or start_col is null or col >= start_col) and (col is null or line < end_line or end_col is null or col <= end_col)")
+    size = F.struct((F.col("end_line") - F.col("start_line")).alias("len"), (-F.col("start_line")).alias("s"), (-F.coalesce("start_col", F.lit(0))).alias("c"), "symbol_id")
+    best = hit.groupBy("file_path", "line", F.col("col").alias("_col")).agg(F.min(size).alias("b"))
+    same = (F.col("a.file_path") == F.col("h.file_path")) & (F.col("a.line") == F.col("h.line")) & F.col("a.col").eqNullSafe(F.col("h._col"))
+    return at.alias("a").join(best.alias("h"), same, "left").select("a.file_path", "a.line", "a.col", F.col("h.b.symbol_id").alias("symbol_id"))
 
 
 def method_classes(facts: DataFrame) -> DataFrame:

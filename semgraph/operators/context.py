@@ -69,11 +69,29 @@ def inferred_invariants(g: Graph, n_cycles: int, n_violations: int) -> DataFrame
     return pure.unionByName(g.symbols.sparkSession.createDataFrame([(t,) for t in told], "statement string"))
 
 
-def instructions(g: Graph, max_files: int = 15) -> str:
-    """A short guide in Markdown; made of bounded reports only."""
-    lines = ["# Code base", "", "## Modules", ""]
-    for r in boundaries(g).orderBy("name").limit(100).collect():
-        lines.append(f"- {r['name']}: {r['depends_on'] or 'no dependencies'}")
+def broken_rules(violations: DataFrame) -> DataFrame:
+    """``rule_id, n_links``: each rule that is broken."""
+    return violations.groupBy("rule_id").agg(F.count("*").alias("n_links"))
+
+
+def instructions(g: Graph, violations: DataFrame | None = None, n_cycles: int = 0, max_files: int = 15, max_violations: int = 20) -> str:
+    """A short guide in Markdown: all modules with what they depend on, the pure ones, the first violations, much used files and figures.
+
+    The driver gets a row per module, so this serves code bases whose modules fit in a guide.
+    """
+    mods = boundaries(g).orderBy("name", "id").collect()
+    lines = ["# Code base", "", "## Modules", "", *[f"- {r['name']}: {r['depends_on'] or 'no dependencies'}" for r in mods]]
+    pure = [r["name"] for r in mods if r["is_pure"]]
+    if pure:
+        lines += ["", "Pure modules: " + ", ".join(pure)]
+    n_broken = 0
+    if violations is not None:
+        n_broken = violations.count()
+        if n_broken:
+            lines += ["", "## Violations", "", *[f"- {r['message']}" for r in violations.orderBy("source_id", "target_id", "kind", "role").limit(max_violations).collect()]]
+            if n_broken > max_violations:
+                lines.append(f"- and {n_broken - max_violations} more")
     lines += ["", "## Files to know", ""]
     lines += [f"- {r['path']} ({r['fan_in']} dependants, {r['tier'] or 'no tier'})" for r in high_value_files(g, max_files).collect()]
+    lines += ["", "## Figures", "", f"- symbols: {g.symbols.count()}", f"- edges: {g.edges.count()}", f"- modules: {len(mods)}", f"- violations: {n_broken}", f"- cycles: {n_cycles}"]
     return "\n".join(lines) + "\n"

@@ -61,6 +61,23 @@ def audit(rows: DataFrame) -> DataFrame:
     return ids.groupBy("category").agg(F.count("*").alias("n_ids"), F.sum("n").alias("n_declared"), F.count_if(F.col("n") > 1).alias("n_duplicated"))
 
 
+def totals(rows: DataFrame) -> DataFrame:
+    """One row: ids, declarations, and declarations beyond the first of an id."""
+    ids = rows.groupBy("id").agg(F.count("*").alias("n"))
+    return ids.agg(F.count("*").alias("n_ids"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_declared"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_repeated"))
+
+
+def per_source(rows: DataFrame) -> DataFrame:
+    """``source, n_declared``: the places of declaration in each source."""
+    return rows.groupBy("source").agg(F.count("*").alias("n_declared"))
+
+
+def sites(rows: DataFrame) -> DataFrame:
+    """``id, source, line, title`` of every declaration of an id that is declared more than once."""
+    many = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    return rows.join(many, "id", "left_semi").select("id", "source", "line", "title")
+
+
 def duplicates(rows: DataFrame) -> DataFrame:
     """Ids declared more than once, the first by source and line holding."""
     ids = rows.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("source", "line")).alias("f"), F.min_by("title", F.struct("source", "line")).alias("title"))

@@ -53,10 +53,13 @@ def module_metrics(g: Graph) -> DataFrame:
 
 
 def symbol_metrics(g: Graph) -> DataFrame:
-    """Per symbol with links: counts in and out by role."""
-    e = _classed(g)
-    outs = e.groupBy(F.col("source_id").alias("id")).agg(*_counts("out"))
-    ins = e.groupBy(F.col("target_id").alias("id")).agg(*_counts("in"))
+    """Per symbol with links: counts in and out by role, and calls within its file and across files."""
+    files = file_of(g.symbols)
+    e = _classed(g).join(files.select(F.col("id").alias("source_id"), F.col("file_id").alias("sf")), "source_id", "left").join(files.select(F.col("id").alias("target_id"), F.col("file_id").alias("tf")), "target_id", "left")
+    call = F.col("kind") == "calls"
+    where = lambda prefix: (F.count_if(call & (F.col("sf") == F.col("tf"))).alias(f"{prefix}_same_file_calls"), F.count_if(call & (F.col("sf") != F.col("tf"))).alias(f"{prefix}_cross_file_calls"))
+    outs = e.groupBy(F.col("source_id").alias("id")).agg(*_counts("out"), *where("out"))
+    ins = e.groupBy(F.col("target_id").alias("id")).agg(*_counts("in"), *where("in"))
     return outs.join(ins, "id", "full_outer").fillna(0)
 
 

@@ -21,6 +21,7 @@ def runtime_reachable(g: Graph, asset_calls: DataFrame | None = None) -> DataFra
 
     With ``asset_calls(script_path, method)`` also methods that serialized assets call, and their types.
     """
+    # fixed values: the sentences of the reasons
     names = F.array(*map(F.lit, ENTRYPOINT_ATTRIBUTES))
     tag = F.get(F.filter(attributes(g.symbols), lambda a: F.array_contains(names, a)), F.lit(0))
     tagged = g.symbols.select("id", tag.alias("tag")).where("tag is not null")
@@ -60,8 +61,11 @@ def scaffolding_types(g: Graph) -> DataFrame:
     return types.join(full.select(F.col("source_id").alias("id")), "id", "left_semi")
 
 
-def dead_code(g: Graph, kinds=("method", "type", "property", "field"), exclude_public: bool = True, exclude_tests: bool = True, path_exclude: list[str] = (), same_class: bool = False) -> DataFrame:
-    """Symbols without incoming links that nothing keeps alive: ``id, kind, file_path, line, bucket, reason, direct_dependants``."""
+def dead_code(g: Graph, kinds=("method", "type", "property", "field"), exclude_public: bool = True, exclude_tests: bool = True, path_exclude: list[str] = (), same_class: bool = False, asset_calls: DataFrame | None = None) -> DataFrame:
+    """Symbols without incoming links that nothing keeps alive: ``id, kind, file_path, line, bucket, reason, direct_dependants``.
+
+    ``asset_calls`` are those of ``runtime_reachable``.
+    """
     s = g.symbols.where(F.col("kind").isin(*kinds))
     if exclude_public:
         s = s.where("visibility <> 'public'")
@@ -80,7 +84,7 @@ def dead_code(g: Graph, kinds=("method", "type", "property", "field"), exclude_p
         s = s.join(ins, "id", "left").fillna(0, ["n_in", "n_other"]).where("n_other = 0")
     else:
         s = s.join(g.links.select(F.col("target_id").alias("id")).distinct(), "id", "left_anti").withColumn("n_in", F.lit(0).cast("long"))
-    s = s.join(runtime_reachable(g).select("id"), "id", "left_anti")
+    s = s.join(runtime_reachable(g, asset_calls).select("id"), "id", "left_anti")
     hosts = scaffolding_types(g)
     s = s.join(hosts.select("id", F.lit(True).alias("_self")), "id", "left").join(hosts.select(F.col("id").alias("parent_id"), F.lit(True).alias("_parent")), "parent_id", "left")
     scaffold = F.coalesce("_self", "_parent", F.lit(False))
@@ -229,22 +233,39 @@ def query_tokens(query: str) -> list[str]:
     return list(out.values()) or ([query.strip()] if query.strip() else [])
 
 
+#: characters before and after a word found in a documentation that a snippet shows
+SNIPPET = 40
+
+
+def _snippet(text: Column, word: str) -> Column:
+    """What stands around the first ``word`` of a text that has it, with signs of omission."""
+    at = F.instr(F.lower(text), word)
+    start, end = F.greatest(F.lit(1), at - SNIPPET), F.least(F.length(text), at + len(word) + SNIPPET - 1)
+    return F.concat(F.when(start > 1, "…").otherwise(""), text.substr(start, end - start + 1), F.when(end < F.length(text), "…").otherwise(""))
+
+
 def search(g: Graph, query: str, kinds: tuple[str, ...] = (), limit: int = 20) -> DataFrame:
-    """Ranked symbols: ``id, kind, name, score, match_kind``; one scan, no explosion by token."""
+    """Ranked symbols: ``id, kind, name, score, match_kind, snippets``; one scan, no explosion by token."""
     s = g.symbols.where("coalesce(name, '') <> ''")
     if kinds:
         s = s.where(F.col("kind").isin(*kinds))
-    name, qname, doc = F.lower("name"), F.lower(F.coalesce("qualified_name", F.lit(""))), F.lower(F.coalesce(F.col("properties")["xmlDocSummary"], F.lit("")))
+    told = F.coalesce(F.col("properties")["xmlDocSummary"], F.lit(""))
+    name, qname, doc = F.lower("name"), F.lower(F.coalesce("qualified_name", F.lit(""))), F.lower(told)
     camel = F.transform(camel_tokens(F.col("name")), F.lower)
-    score, hits = F.lit(0), [F.lit(False)] * 3
+    score, hits, around = F.lit(0), [F.lit(False)] * 3, []
     for t in query_tokens(query):
         tok = t.lower()
         n, q, d = name.contains(tok), ~name.contains(tok) & qname.contains(tok), doc.contains(tok)
         score = score + F.when(n, 10).otherwise(0) + F.when(F.exists(camel, lambda c: c.startswith(tok)), 5).otherwise(0) + F.when(q, 3).otherwise(0) + F.when(d, 5).otherwise(0)
         hits = [hits[0] | n, hits[1] | q, hits[2] | d]
+        around.append(F.when(d, _snippet(told, tok)))
     many = sum(h.cast("int") for h in hits)
     kind = F.when(many > 1, "Multiple").when(hits[0], "Name").when(hits[1], "QualifiedName").otherwise("XmlDoc")
-    rows = s.select("id", "kind", "name", score.alias("score"), kind.alias("match_kind")).where("score > 0")
+    shown = F.array_compact(F.array(
+        F.when(hits[0], F.concat(F.lit("name: "), "name")), F.when(hits[1], F.concat(F.lit("qualifiedName: "), "qualified_name")),
+        F.when(hits[2], F.concat(F.lit("xmlDoc: "), F.coalesce(*around, F.lit("")))),
+    ))
+    rows = s.select("id", "kind", "name", score.alias("score"), kind.alias("match_kind"), shown.alias("snippets")).where("score > 0")
     return rows.withColumn("score", F.col("score") + (2 if kinds else 0)).orderBy(F.desc("score"), "id").limit(limit)
 
 
@@ -319,10 +340,38 @@ def resolve(g: Graph, inputs: DataFrame) -> DataFrame:
 
 
 def resolve_members(g: Graph, wanted: DataFrame) -> DataFrame:
-    """``wanted(type_id, member)`` -> ``type_id, member, outcome, n_matches, id``; nested types and namespaces are no members."""
+    """``wanted(type_id, member, signature)`` -> ``type_id, member, signature, outcome, n_matches, id``; nested types and namespaces are no members.
+
+    A signature, the parameter types joined by commas, tells methods of one
+    name apart; other members and a null signature (or none in ``wanted``) do
+    not look at it.
+    """
+    if "signature" not in wanted.columns:
+        return resolve_members(g, wanted.withColumn("signature", F.lit(None).cast("string"))).drop("signature")
+    wanted = wanted.select("type_id", "member", "signature").distinct()
     types = g.symbols.where("kind = 'type'").select(F.col("id").alias("type_id"), F.lit(True).alias("is_type"))
-    kids = g.contains.select(F.col("source_id").alias("type_id"), F.col("target_id").alias("id")).distinct().join(g.symbols.where("kind not in ('type', 'namespace')").select("id", F.col("name").alias("member")), "id")
-    hits = wanted.join(kids, ["type_id", "member"]).groupBy("type_id", "member").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    rows = wanted.distinct().join(types, "type_id", "left").join(hits, ["type_id", "member"], "left")
+    kids = g.contains.select(F.col("source_id").alias("type_id"), F.col("target_id").alias("id")).distinct()
+    kids = kids.join(g.symbols.where("kind not in ('type', 'namespace')").select("id", F.col("name").alias("member"), F.when(F.col("kind") == "method", F.regexp_extract("id", r"\((.*)\)$", 1)).alias("of")), "id")
+    hits = wanted.join(kids, ["type_id", "member"]).where("signature is null or of is null or of = signature").groupBy("type_id", "member", F.col("signature").alias("sig")).agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    same = (F.col("w.type_id") == F.col("h.type_id")) & (F.col("w.member") == F.col("h.member")) & F.col("w.signature").eqNullSafe(F.col("h.sig"))
+    rows = wanted.alias("w").join(hits.alias("h"), same, "left").select("w.*", "h.n", "h.id")
+    rows = rows.join(types, "type_id", "left")
     outcome = F.when(F.col("is_type").isNull(), "TypeNotFound").when(F.col("n").isNull(), "NotFound").when(F.col("n") > 1, "MultipleMatches").otherwise("Unique")
-    return rows.select("type_id", "member", outcome.alias("outcome"), F.coalesce("n", F.lit(0).cast("long")).alias("n_matches"), F.when(F.col("n") == 1, F.col("id")).alias("id"))
+    return rows.select("type_id", "member", "signature", outcome.alias("outcome"), F.coalesce("n", F.lit(0).cast("long")).alias("n_matches"), F.when(F.col("n") == 1, F.col("id")).alias("id"))
+
+
+def resolve_members_by_name(g: Graph, asked: DataFrame) -> DataFrame:
+    """``asked(type_name, member, signature)`` -> ``type_name, member, signature, outcome, n_matches, id``.
+
+    A type is named by its id, its id without the kind or its short name; a
+    name of several types is ambiguous.
+    """
+    asked = asked.select("type_name", "member", "signature").distinct()
+    types = g.symbols.where("kind = 'type'").select("id", "name")
+    names = types.select(F.explode(F.array(F.col("id"), F.regexp_replace("id", "^type:", ""), F.col("name"))).alias("type_name"), "id").distinct()
+    found = names.join(asked.select("type_name").distinct(), "type_name", "left_semi").groupBy("type_name").agg(F.count("*").alias("n_types"), F.min("id").alias("type_id"))
+    rows = asked.join(found, "type_name", "left")
+    one = rows.where("n_types = 1")
+    told = one.select("type_name", "type_id").distinct().join(resolve_members(g, one.select("type_id", "member", "signature")), "type_id").select("type_name", "member", "signature", "outcome", "n_matches", "id")
+    none = rows.where("n_types is null or n_types > 1").select("type_name", "member", "signature", F.when(F.col("n_types").isNull(), "TypeNotFound").otherwise("AmbiguousContainingType").alias("outcome"), F.lit(0).cast("long").alias("n_matches"), F.lit(None).cast("string").alias("id"))
+    return told.unionByName(none)

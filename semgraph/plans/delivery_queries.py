@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semgraph.functions.ids import table
+from semgraph.operators import audits
 from semgraph.operators import reads as R
 from semgraph.operators.build import Graph, build
 from semgraph.operators.validate import validate
 from semgraph.plans.graph_queries import _LABEL
-from semgraph.plans.graph_source import delivered_edges, delivered_prefix, delivered_symbols, graph
+from semgraph.plans.graph_source import PREFIX, delivered_edges, delivered_prefix, delivered_symbols, graph
 from semgraph.session import materialize, new_folder
 from semgraph.sources import graph_json as J
 from semgraph.streaming import incremental as T
@@ -169,3 +170,50 @@ def documented(spark: SparkSession, d: str) -> Graph:
     rows = g.symbols.join(notes, "id", "left")
     told = F.when(F.col("_summary").isNull(), F.col("properties")).otherwise(F.map_concat(F.map_filter("properties", lambda k, v: k != "xmlDocSummary"), F.create_map(F.lit("xmlDocSummary"), F.col("_summary"))))
     return Graph(rows.withColumn("properties", told).drop("_summary"), g.edges)
+
+
+_DOCUMENTED = f"{PREFIX}, {_NOTES}, sd as (select s.*, coalesce(n.summary, p['xmlDocSummary']) doc from s left join notes n on n.symbol_id = s.id)"
+_CAMEL_OF = "list_transform(string_split(regexp_replace(name, '([^\\p{Lu}])(\\p{Lu})', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: lower(x))"
+WORDS = ("shard", "planner", "profile")
+
+
+@query("select id, coalesce(doc, '') summary from sd where kind in ('type', 'method')", _DOCUMENTED)
+def documentation(spark: SparkSession, d: str) -> DataFrame:
+    return documented(spark, d).symbols.where("kind in ('type', 'method')").select("id", F.coalesce(F.col("properties")["xmlDocSummary"], F.lit("")).alias("summary"))
+
+
+@query("select id symbol_id, file_path, line, name display_name, doc documentation from sd where file_path is not null", _DOCUMENTED)
+def find_definition(spark: SparkSession, d: str) -> DataFrame:
+    s = documented(spark, d).symbols.where("file_path is not null")
+    return audits.find_definitions(s.select(F.col("id").alias("symbol_id"), "file_path", "line", F.col("name").alias("display_name"), F.col("properties")["xmlDocSummary"].alias("documentation")))
+
+
+def _any(test: str) -> str:
+    return "(" + " or ".join(test.format(w=w) for w in WORDS) + ")"
+
+
+_SCORE = " + ".join(f"case when contains(n, '{w}') then 10 else 0 end + case when len(list_filter(camel, lambda x: starts_with(x, '{w}'))) > 0 then 5 else 0 end + case when not contains(n, '{w}') and contains(q, '{w}') then 3 else 0 end + case when contains(lower(doc), '{w}') then 5 else 0 end" for w in WORDS)
+_SNIP = "case " + " ".join(f"when contains(lower(doc), '{w}') then case when strpos(lower(doc), '{w}') > 41 then '…' else '' end || substr(doc, greatest(1, strpos(lower(doc), '{w}') - 40), least(length(doc), strpos(lower(doc), '{w}') + {len(w)} + 39) - greatest(1, strpos(lower(doc), '{w}') - 40) + 1) || case when strpos(lower(doc), '{w}') + {len(w)} + 39 < length(doc) then '…' else '' end" for w in WORDS) + " end"
+
+
+@query(
+    f"""select id, kind, name, score, case when hn::int + hq::int + hd::int > 1 then 'Multiple' when hn then 'Name' when hq then 'QualifiedName' else 'XmlDoc' end match_kind,
+  array_to_string(list_filter([case when hn then 'name: ' || name end, case when hq then 'qualifiedName: ' || qualified_name end, case when hd then 'xmlDoc: ' || {_SNIP} end], lambda x: x is not null), ' | ') snippets
+  from (select *, {_SCORE} score, {_any("contains(n, '{w}')")} hn, {_any("(not contains(n, '{w}') and contains(q, '{w}'))")} hq, {_any("contains(lower(doc), '{w}')")} hd from (select id, kind, name, qualified_name, coalesce(doc, '') doc, lower(name) n, lower(coalesce(qualified_name, '')) q, {_CAMEL_OF} camel from sd where coalesce(name, '') <> ''))
+  where score > 0 order by score desc, id limit 20""",
+    _DOCUMENTED,
+)
+def search(spark: SparkSession, d: str) -> DataFrame:
+    rows = R.search(documented(spark, d), " ".join(WORDS))
+    return rows.withColumn("snippets", F.array_join("snippets", " | "))
+
+
+@query(
+    f"""select id, kind, score + 2 score, match from (select id, kind, {_SCORE} score, case when {_any("contains(lower(doc), '{w}')")} and not {_any("contains(n, '{w}')")} then 'told' else 'named' end match from (select id, kind, name, coalesce(doc, '') doc, lower(name) n, lower(coalesce(qualified_name, '')) q, {_CAMEL_OF} camel from sd where coalesce(name, '') <> '' and kind = 'method')) where score > 0 order by score desc, id limit 2000""",
+    _DOCUMENTED,
+)
+def search_methods(spark: SparkSession, d: str) -> DataFrame:
+    """Methods only, and whether a documentation or the name was met."""
+    rows = R.search(documented(spark, d), " ".join(WORDS), ("method",), 2000)
+    named = F.exists("snippets", lambda x: x.startswith("name: "))
+    return rows.select("id", "kind", "score", F.when(F.exists("snippets", lambda x: x.startswith("xmlDoc: ")) & ~named, "told").otherwise("named").alias("match"))

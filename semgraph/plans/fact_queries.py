@@ -52,12 +52,6 @@ def rename(spark: SparkSession, d: str) -> DataFrame:
     return A.rename_edits(_sites(spark, d), names, F.concat("name", F.lit("New")))
 
 
-@query("select id symbol_id, file_path, line, name display_name, null::varchar documentation from s where file_path is not null")
-def find_definition(spark: SparkSession, d: str) -> DataFrame:
-    s = graph(spark, d).symbols.where("file_path is not null")
-    return A.find_definitions(s.select(F.col("id").alias("symbol_id"), "file_path", "line", F.col("name").alias("display_name"), F.col("properties")["xmlDocSummary"].alias("documentation")))
-
-
 @query("select root, node from walk where node <> root", ", im as (select distinct t a, s b from e where k in ('implements', 'inherits', 'overrides')), walk(root, node) as (select a, b from im where a in (select id from s where kind = 'type') union select w.root, im.b from walk w join im on w.node = im.a)")
 def find_implementations(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
@@ -167,13 +161,18 @@ def struct_layout(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "select q.file_path, q.line, arg_min(sp.id, (sp.b - sp.a, -sp.a, sp.id)) symbol_id from (select distinct file_path, line + 1 line from s where kind = 'method' and file_path is not null and line is not null) q left join sp on sp.file_path = q.file_path and q.line between sp.a and sp.b group by 1, 2",
-    ", sp as (select id, file_path, line a, line + case when kind = 'type' then 500 else 20 end b from s where file_path is not null and line is not null and kind in ('type', 'method', 'property', 'field'))",
+    """select q.file_path, q.line, q.col, arg_min(sp.id, (sp.b - sp.a, -sp.a, -sp.ca, sp.id)) symbol_id
+  from (select distinct file_path, line + d line, c col from s, (values (0, 3), (0, null), (1, 5), (20, 90)) w(d, c) where kind = 'method' and file_path is not null and line is not null) q
+  left join sp on sp.file_path = q.file_path and q.line between sp.a and sp.b and (q.col is null or ((q.line > sp.a or q.col >= sp.ca) and (q.line < sp.b or q.col <= sp.cb))) group by 1, 2, 3""",
+    ", sp as (select id, file_path, line a, length(name) % 8 ca, line + case when kind = 'type' then 500 else 20 end b, 80 cb from s where file_path is not null and line is not null and kind in ('type', 'method', 'property', 'field'))",
 )
 def symbol_at_position(spark: SparkSession, d: str) -> DataFrame:
+    """Four places around each method; spans begin at a column told by the name and end at column 80."""
     s = graph(spark, d).symbols.where("file_path is not null and line is not null and kind in ('type', 'method', 'property', 'field')")
-    spans = s.select(F.col("id").alias("symbol_id"), "file_path", F.col("line").alias("start_line"), (F.col("line") + F.when(F.col("kind") == "type", 500).otherwise(20)).alias("end_line"))
-    return A.symbol_at_position(spans, s.where("kind = 'method'").select("file_path", (F.col("line") + 1).alias("line")))
+    spans = s.select(F.col("id").alias("symbol_id"), "file_path", F.col("line").alias("start_line"), (F.length("name") % 8).alias("start_col"), (F.col("line") + F.when(F.col("kind") == "type", 500).otherwise(20)).alias("end_line"), F.lit(80).alias("end_col"))
+    places = F.array(*[F.struct((F.col("line") + n).alias("line"), F.lit(c).cast("int").alias("col")) for n, c in ((0, 3), (0, None), (1, 5), (20, 90))])
+    at = s.where("kind = 'method'").select("file_path", F.explode(places).alias("p")).select("file_path", "p.line", "p.col")
+    return A.symbol_at_position(spans, at)
 
 
 @query(
@@ -182,10 +181,22 @@ def symbol_at_position(spark: SparkSession, d: str) -> DataFrame:
 )
 def callsite_arguments(spark: SparkSession, d: str) -> DataFrame:
     """Two parameters per called target, the second given at two sites of three."""
+    return A.callsite_arguments(_call_facts(spark, d))[1]
+
+
+def _call_facts(spark: SparkSession, d: str) -> DataFrame:
     calls = _sites(spark, d).join(raw_edges(spark, d).where("lower(kind) = 'calls'").select(F.col("ord").alias("site_id")), "site_id", "left_semi")
-    facts = calls.select("target_id", "site_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("ordinal"))
-    facts = facts.select("*", F.concat(F.lit("p"), "ordinal").alias("parameter_name"), ((F.col("site_id") + F.col("ordinal")) % 3 != 0).alias("supplied"), F.lit("x").alias("raw_text"))
-    return A.callsite_arguments(facts)[1]
+    facts = calls.select("target_id", "site_id", "source_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("ordinal"))
+    return facts.select("target_id", "site_id", "ordinal", F.concat(F.lit("p"), "ordinal").alias("parameter_name"), ((F.col("site_id") + F.col("ordinal")) % 3 != 0).alias("supplied"), F.repeat(F.concat(F.lit("see "), F.coalesce("source_id", F.lit(""))), F.lit(3)).alias("raw_text"))
+
+
+@query(
+    "select t target_id, ord site_id, ordinal, 'p' || ordinal parameter_name, sup supplied, case when length(x) > 160 then left(x, 159) || '…' else x end text, count(distinct ord) over (partition by t) n_sites from ca",
+    ", ca as (select t, ord, o.ordinal, (ord + o.ordinal) % 3 <> 0 sup, repeat('see ' || coalesce(s, ''), 3) x from rawe, (values (0), (1)) o(ordinal) where call_site is not null and t is not null and k = 'calls')",
+)
+def callsite_argument_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The arguments of all call sites; long ones are clipped."""
+    return A.callsite_arguments(_call_facts(spark, d))[0]
 
 
 @query(
@@ -203,11 +214,6 @@ def assignment_coverage(spark: SparkSession, d: str) -> DataFrame:
     return A.assignment_coverage(sites, slots.drop("len"), writes)
 
 
-@query("select id, coalesce(p['xmlDocSummary'], '') summary from s where kind in ('type', 'method')")
-def documentation(spark: SparkSession, d: str) -> DataFrame:
-    return graph(spark, d).symbols.where("kind in ('type', 'method')").select("id", F.coalesce(F.col("properties")["xmlDocSummary"], F.lit("")).alias("summary"))
-
-
 # --- documents
 
 _DOCS = """with docs as (select graph_id, p::json j from (select graph_id, regexp_replace(payload, '^[\\x{FEFF}\\s]+', '') p from graph_documents) where json_valid(p) and json_type(p::json) = 'OBJECT'),

@@ -168,9 +168,27 @@ def dependencies(spark: SparkSession, d: str) -> DataFrame:
 @query("select s root, t node, k kind, role, x.bucket, profiles from l join s x on x.id = t where s in (select id from s where kind = 'module')")
 def dependency_edges(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
-    return A.neighbours(g, g.symbols.where("kind = 'module'").select("id"), False).withColumn("profiles", F.array_join("profiles", ","))
+    return A.neighbours(g, g.symbols.where("kind = 'module'").select("id"), False).drop("call_site").withColumn("profiles", F.array_join("profiles", ","))
 
 
+@query("select s root, t node, k kind, role, cs.file_path file_path, cs.line line, cs.col col from (select s, t, k, role, arg_min_null(call_site, ord) cs from told where k <> 'contains' group by all) where cs is not null")
+def edge_sites(spark: SparkSession, d: str) -> DataFrame:
+    """Every link with the place where it was first seen."""
+    g = graph(spark, d)
+    rows = A.neighbours(g, g.symbols.select("id"), False).where("call_site is not null")
+    return rows.select("root", "node", "kind", "role", "call_site.file_path", "call_site.line", "call_site.col")
+
+
+@query(
+    "select root, n_links, coalesce(n_shown, 0) n_shown from (select t root, count(*) n_links, count(*) filter (where x.bucket not in ('Test', 'Generated') and (profiles is null or list_has_any(string_split(profiles, ','), ['Editor', 'Server']))) n_shown from l join s x on x.id = l.s group by 1)"
+)
+def filtered_dependants(spark: SparkSession, d: str) -> DataFrame:
+    """For each target its incoming links before and after tests, generated code and other profiles are filtered."""
+    g = graph(spark, d)
+    rows = A.neighbours(g, g.symbols.select("id"), True)
+    shown = A.of_profiles(rows, ["Editor", "Server"]).where(~F.col("bucket").isin("Test", "Generated")).groupBy("root").agg(F.count("*").alias("n_shown"))
+    return rows.groupBy("root").agg(F.count("*").alias("n_links")).join(shown, "root", "left").fillna(0)
+
 _UP = """, up(id, a, n) as (select id, id, 1 from s union all select u.id, x.parent_id, n + 1 from up u join s x on u.a = x.id where x.kind <> '{kind}' and x.parent_id in (select id from s) and n < {hops}),
   {name} as materialized (select u.id, u.a m from up u join s x on u.a = x.id where x.kind = '{kind}')"""
 _MODULE = _UP.format(kind="module", hops=16, name="mo")
@@ -332,10 +350,13 @@ def cycle_stats(spark: SparkSession, d: str) -> DataFrame:
     return A.cycle_stats(A.cycle_taxonomy(g, cycle_members(spark, d)))
 
 
+_TIERS = f", holds(id) as (select id from s where {_TEST} union select c.s from holds h join c on c.t = h.id), tiers as (select id, case when id not in (select s from l) then 'Pure' when id in (select id from holds) then 'Tooling' when id in (select t from l) then 'Boundary' else 'Runtime' end tier from s where kind in ('module', 'type'))"
+
+
 @query(
     f"""select id, tier, case tier when 'Pure' then 'No outgoing dependencies' when 'Tooling' then 'Contains a method tagged with a test-framework attribute'
   when 'Boundary' then 'Has both incoming and outgoing dependencies' else 'Has outgoing dependencies, no dependants' end reason from tiers""",
-    f", holds(id) as (select id from s where {_TEST} union select c.s from holds h join c on c.t = h.id), tiers as (select id, case when id not in (select s from l) then 'Pure' when id in (select id from holds) then 'Tooling' when id in (select t from l) then 'Boundary' else 'Runtime' end tier from s where kind in ('module', 'type'))",
+    _TIERS,
 )
 def tiers(spark: SparkSession, d: str) -> DataFrame:
     return A.tiers(graph(spark, d))
@@ -380,14 +401,21 @@ def module_boundary(spark: SparkSession, d: str) -> DataFrame:
     return A.module_boundary(graph(spark, d), ("Test",))
 
 
+_PIPELINE = "(select count(*) from cp where fan_in + fan_out > 0) coupled, (select count(*) from tiers where tier = 'Tooling') tooling, (select count(*) from tiers where tier = 'Boundary') boundary, (select count(distinct root) from got where dist > 0 and node <> root) blast_roots, (select count(*) from got where dist > 0 and node <> root) blast_pairs"
+
+
 @query(
-    "select count(*) symbols, count(*) filter (where kind = 'file') files, count(*) filter (where kind = 'type') types, count(*) filter (where kind = 'module') modules, count(*) filter (where kind = 'method') methods, (select count(*) from e) edges, (select count(*) from (select distinct s, t, k, role from br)) violations, (select count(distinct component) from scc) cycles from s",
-    _SCC + _VIO,
+    f"select count(*) symbols, count(*) filter (where kind = 'file') files, count(*) filter (where kind = 'type') types, count(*) filter (where kind = 'module') modules, count(*) filter (where kind = 'method') methods, (select count(*) from e) edges, (select count(*) from (select distinct s, t, k, role from br)) violations, (select count(distinct component) from scc) cycles, {_PIPELINE} from s",
+    _SCC + _VIO + _BLAST + _TIERS,
 )
 def pipeline_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """The figures of the whole analysis: all its parts are computed."""
+    """The figures of the whole analysis, and of each of its parts."""
     g = graph(spark, d)
-    return A.graph_metrics(g, A.violations(g, rules(spark)), cycle_members(spark, d).select("component").distinct())
+    tiers_ = A.tiers(g).agg(F.count_if(F.col("tier") == "Tooling").alias("tooling"), F.count_if(F.col("tier") == "Boundary").alias("boundary"))
+    blast = A.blast_radius(g, _roots(g)).groupBy("root").agg(F.count("*").alias("n")).agg(F.count("*").alias("blast_roots"), F.coalesce(F.sum("n"), F.lit(0)).alias("blast_pairs"))
+    coupled = A.coupling(g).agg(F.count_if(F.col("fan_in") + F.col("fan_out") > 0).alias("coupled"))
+    whole = A.graph_metrics(g, A.violations(g, rules(spark)), cycle_members(spark, d).select("component").distinct())
+    return whole.crossJoin(coupled).crossJoin(tiers_).crossJoin(blast)  # a row each
 
 
 # --- dead code, ports, authorities
@@ -484,14 +512,6 @@ _CAMEL = "list_transform(string_split(regexp_replace(name, '([^\\p{Lu}])(\\p{Lu}
 _WORD = "(case when contains(lower(name), '{w}') then 10 else 0 end + case when len(list_filter(camel, lambda x: starts_with(x, '{w}'))) > 0 then 5 else 0 end + case when not contains(lower(name), '{w}') and contains(lower(coalesce(qualified_name, '')), '{w}') then 3 else 0 end)"
 
 
-@query(
-    "select id, kind, name, score, case when (n + q) > 1 then 'Multiple' when n = 1 then 'Name' else 'QualifiedName' end match_kind from sc where score > 0 order by score desc, id limit 20",
-    f", cm as (select *, {_CAMEL} camel from s), sc as (select id, kind, name, {_WORD.format(w='shard')} + {_WORD.format(w='planner')} score, (contains(lower(name), 'shard') or contains(lower(name), 'planner'))::int n, ((not contains(lower(name), 'shard') and contains(lower(coalesce(qualified_name, '')), 'shard')) or (not contains(lower(name), 'planner') and contains(lower(coalesce(qualified_name, '')), 'planner')))::int q from cm where coalesce(name, '') <> '')",
-)
-def search(spark: SparkSession, d: str) -> DataFrame:
-    return R.search(graph(spark, d), "shard planner")
-
-
 @query(
     "select id, name, score from nm where score > 0 order by score desc, id limit 5",
     f", cm as (select *, {_CAMEL} camel from s), nm as (select id, name, case when lower(name) = 'shardplaner' then 1000 else case when contains(lower(name), 'shardplaner') then 10 else 0 end + case when len(list_filter(camel, lambda x: starts_with(x, 'shardplaner'))) > 0 then 5 else 0 end + greatest(0, length(name) - levenshtein('shardplaner', lower(name))) * 3 end score from cm where coalesce(name, '') <> '')",
@@ -524,6 +544,49 @@ def resolve(spark: SparkSession, d: str) -> DataFrame:
     return R.resolve(g, asked.unionByName(g.symbols.where("name is not null").select(F.col("name").alias("input"))))
 
 
+_SIGNED = ", dm as (select distinct c.s h, c.t m, x.name, case when x.kind = 'method' then regexp_extract(x.id, '\\((.*)\\)$', 1) end sig from c join s x on x.id = c.t where x.kind not in ('type', 'namespace')), ty as (select id, name from s where kind = 'type')"
+
+
+@query(
+    """select a.h type_id, a.name member, a.sig signature, case when n > 1 then 'MultipleMatches' when n = 1 then 'Unique' else 'NotFound' end outcome, n n_matches, case when n = 1 then m end id
+  from (select a.h, a.name, a.sig, count(dm.m) n, min(dm.m) m from (select distinct h, name, sig from dm where sig is not null and h in (select id from ty) union select distinct h, name, 'gone' from dm where sig is not null and h in (select id from ty)) a left join dm on dm.h = a.h and dm.name = a.name and (dm.sig is null or dm.sig = a.sig) group by 1, 2, 3) a""",
+    _SIGNED,
+)
+def resolve_member_signatures(spark: SparkSession, d: str) -> DataFrame:
+    """Every method of every type by its own signature, and by one that it does not have."""
+    g = graph(spark, d)
+    m = R.direct_members(g).join(g.symbols.where("kind = 'method'").select(F.col("id").alias("member"), "name"), "member").join(g.symbols.where("kind = 'type'").select(F.col("id").alias("type")), "type", "left_semi")
+    m = m.select(F.col("type").alias("type_id"), F.col("name").alias("_n"), F.explode(F.array(F.regexp_extract("member", r"\((.*)\)$", 1), F.lit("gone"))).alias("signature"))
+    return R.resolve_members(g, m.select("type_id", F.col("_n").alias("member"), "signature"))
+
+
+@query(
+    """select q.name type_name, q.member, null::varchar signature, case when k > 1 then 'AmbiguousContainingType' when n > 1 then 'MultipleMatches' when n = 1 then 'Unique' else 'NotFound' end outcome, case when k > 1 then 0 else n end n_matches, case when k = 1 and n = 1 then m end id
+  from (select q.name, q.member, count(distinct ty.id) k, count(dm.m) n, min(dm.m) m from (select distinct ty.name, w.member from ty, (values ('Resolve'), ('Save')) w(member)) q join ty on ty.name = q.name left join dm on dm.h = ty.id and dm.name = q.member group by 1, 2) q
+  union all select 'NoSuchType', member, null, 'TypeNotFound', 0, null from (values ('Resolve'), ('Save')) w(member)""",
+    _SIGNED,
+)
+def resolve_member_names(spark: SparkSession, d: str) -> DataFrame:
+    """Two member names in every type by its short name, which may be that of several types, and in one that is not there."""
+    g = graph(spark, d)
+    names = g.symbols.where("kind = 'type'").select(F.col("name").alias("type_name")).distinct().unionByName(spark.createDataFrame([("NoSuchType",)], "type_name string"))
+    asked = names.select("type_name", F.explode(F.array(F.lit("Resolve"), F.lit("Save"))).alias("member"), F.lit(None).cast("string").alias("signature"))
+    return R.resolve_members_by_name(g, asked)
+
+
+_SPELT = ", sp as (select distinct id, replace(replace(replace(regexp_replace(regexp_replace(id, '([(,])int([,)])', '\\1System.Int32\\2', 'g'), '([(,])bool([,)])', '\\1System.Boolean\\2', 'g'), '(string', '(System.String'), ',string', ',System.String'), '(object', '(System.Object') x from s where kind = 'method')"
+
+
+@query("select x input, 'Exact' outcome, id, 1::bigint n_candidates from sp where x <> id", _SPELT)
+def resolve_aliases(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of methods with system names of primitives in place of how ids spell them."""
+    g = graph(spark, d)
+    x = F.regexp_replace(F.regexp_replace("id", r"([(,])int([,)])", "$1System.Int32$2"), r"([(,])bool([,)])", "$1System.Boolean$2")
+    for a, b in (("(string", "(System.String"), (",string", ",System.String"), ("(object", "(System.Object")):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return R.resolve(g, g.symbols.where("kind = 'method'").select(x.alias("input"), "id").where("input <> id").select("input"))
+
+
 @query(
     "select w.h type_id, w.name member, case when count(dm.m) > 1 then 'MultipleMatches' when count(dm.m) = 1 then 'Unique' else 'NotFound' end outcome, count(dm.m) n_matches, case when count(dm.m) = 1 then min(dm.m) end id from w left join dm on dm.h = w.h and dm.name = w.name group by 1, 2",
     ", dm as (select distinct c.s h, c.t m, x.name from c join s x on x.id = c.t where x.kind not in ('type', 'namespace')), w as (select id h, 'Resolve' name from s where kind = 'type')",

@@ -10,7 +10,7 @@ from semgraph.operators import analysis as A
 from semgraph.operators import context as C
 from semgraph.operators import invariants as I
 from semgraph.operators import native_metrics as N
-from semgraph.plans.graph_queries import _COUPLING, _MODULE, _SCC, _TEST, _VIO, rules
+from semgraph.plans.graph_queries import _COUPLING, _MODULE, _SCC, _TIERS, _VIO, rules
 from semgraph.plans.graph_source import PREFIX, cycle_members, graph
 
 QUERIES: dict = {}
@@ -27,12 +27,11 @@ def query(sql: str | None = None, more: str = "", prefix: str = PREFIX):
     return add
 
 
-_TIERS = f", holds(id) as (select id from s where {_TEST} union select c.s from holds h join c on c.t = h.id), tr as (select id, case when id not in (select s from l) then 'Pure' when id in (select id from holds) then 'Tooling' when id in (select t from l) then 'Boundary' else 'Runtime' end tier from s where kind in ('module', 'type'))"
 _KIDS = ", kids as (select distinct f.id, f.file_path path, c.t child from s f left join c on c.s = f.id where f.kind = 'file' and coalesce(f.file_path, '') <> '')"
 
 
 @query(
-    "select kids.id, path, sum(fan_in)::bigint fan_in, round(max(instability), 6) instability, coalesce(arg_min(tier, child) filter (where tier is not null), '') tier from kids join cp on cp.id = child left join tr on tr.id = child group by 1, 2 having sum(fan_in) > 0 order by fan_in desc, kids.id limit 50",
+    "select kids.id, path, sum(fan_in)::bigint fan_in, round(max(instability), 6) instability, coalesce(arg_min(tier, child) filter (where tier is not null), '') tier from kids join cp on cp.id = child left join tiers tr on tr.id = child group by 1, 2 having sum(fan_in) > 0 order by fan_in desc, kids.id limit 50",
     _COUPLING + _TIERS + _KIDS,
 )
 def high_value_files(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +48,7 @@ def hotspots(spark: SparkSession, d: str) -> DataFrame:
     return C.hotspots(graph(spark, d)).withColumn("instability", F.round("instability", 6))
 
 
-@query("select s.id, s.name, tr.tier, coalesce(array_to_string(list_sort(list(x.name) filter (where x.id is not null)), ','), '') depends_on, count(x.id) = 0 is_pure from s left join tr on tr.id = s.id left join e on e.s = s.id and e.k = 'dependsOn' left join s x on x.id = e.t where s.kind = 'module' group by 1, 2, 3", _TIERS)
+@query("select s.id, s.name, tr.tier, coalesce(array_to_string(list_sort(list(x.name) filter (where x.id is not null)), ','), '') depends_on, count(x.id) = 0 is_pure from s left join tiers tr on tr.id = s.id left join e on e.s = s.id and e.k = 'dependsOn' left join s x on x.id = e.t where s.kind = 'module' group by 1, 2, 3", _TIERS)
 def boundaries(spark: SparkSession, d: str) -> DataFrame:
     return C.boundaries(graph(spark, d))
 
@@ -63,7 +62,7 @@ def dependency_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """select id || ' is pure (zero dependencies)' statement from tr where tier = 'Pure' and starts_with(id, 'mod:')
+    """select id || ' is pure (zero dependencies)' statement from tiers where tier = 'Pure' and starts_with(id, 'mod:')
   union all select case n when 0 then 'No architecture violations detected' else n || ' architecture violations found' end from (select count(*) n from (select distinct s, t, k, role from br))
   union all select n || ' circular dependency cycles detected' from (select count(distinct component) n from scc) where n > 0""",
     _TIERS + _SCC + _VIO,
@@ -84,6 +83,9 @@ def _sql_counts(prefix: str) -> str:
     return ", ".join([*parts, f"count(*) filter (where rc in ({', '.join(repr(r) for r in N.TYPE_ROLES)})) {prefix}_type_references"])
 
 
+_FILED = "count(*) filter (where k = 'calls' and sf = tf) sc, count(*) filter (where k = 'calls' and sf <> tf) cc"
+
+
 def _zero(alias: str, prefix: str) -> str:
     names = [f"{prefix}_{x}" for x in ("references", "calls", *N.ROLES, "type_references")]
     return ", ".join(f'coalesce({alias}."{n}", 0) "{n}"' for n in names)
@@ -109,8 +111,8 @@ def native_module_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"select coalesce(o.s, i.t) id, {_zero('o', 'out')}, {_zero('i', 'in')} from o full join i on o.s = i.t",
-    _RC + f", o as (select s, {_sql_counts('out')} from cl group by s), i as (select t, {_sql_counts('in')} from cl group by t)",
+    f"select coalesce(o.s, i.t) id, {_zero('o', 'out')}, {_zero('i', 'in')}, coalesce(o.sc, 0) out_same_file_calls, coalesce(o.cc, 0) out_cross_file_calls, coalesce(i.sc, 0) in_same_file_calls, coalesce(i.cc, 0) in_cross_file_calls from o full join i on o.s = i.t",
+    _RC + f", el as (select cl.*, a.f sf, b.f tf from cl left join filed a on a.id = cl.s left join filed b on b.id = cl.t), o as (select s, {_sql_counts('out')}, {_FILED} from el group by s), i as (select t, {_sql_counts('in')}, {_FILED} from el group by t)",
 )
 def native_symbol_metrics(spark: SparkSession, d: str) -> DataFrame:
     return N.symbol_metrics(graph(spark, d))
@@ -140,6 +142,26 @@ def invariant_audit(spark: SparkSession, d: str) -> DataFrame:
     return I.audit(_invariants(spark, d))
 
 
+@query("select count(*) n_ids, coalesce(sum(n), 0)::bigint n_declared, coalesce(sum(n - 1), 0)::bigint n_repeated from (select id, count(*) n from inv group by 1)", prefix=_INV)
+def invariant_totals(spark: SparkSession, d: str) -> DataFrame:
+    return I.totals(_invariants(spark, d))
+
+
+@query("select source, count(*) n_declared from inv group by 1", prefix=_INV)
+def invariant_sources(spark: SparkSession, d: str) -> DataFrame:
+    return I.per_source(_invariants(spark, d))
+
+
+@query("select id, source, line::int line, case when length(t) > 140 then left(t, 139) || '…' else t end title from inv where id in (select id from inv group by id having count(*) > 1)", prefix=_INV)
+def invariant_sites(spark: SparkSession, d: str) -> DataFrame:
+    return I.sites(_invariants(spark, d))
+
+
 @query("select id, count(*) n, arg_min(source, (source, line)) source, arg_min(line, (source, line))::int line, arg_min(case when length(t) > 140 then left(t, 139) || '…' else t end, (source, line)) title from inv group by id having count(*) > 1", prefix=_INV)
 def invariant_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return I.duplicates(_invariants(spark, d))
+
+
+@query("select rule_id, count(*) n_links from (select arg_min(rule_id, o) rule_id from br group by s, t, k, role) group by 1", _VIO)
+def broken_rules(spark: SparkSession, d: str) -> DataFrame:
+    return C.broken_rules(A.violations(graph(spark, d), rules(spark)))

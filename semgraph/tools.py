@@ -1,12 +1,12 @@
 """One function per tool over a loaded session, with the tools' arguments and defaults.
 
 Every answer is a DataFrame or a small dictionary of DataFrames, lazily
-planned; ``capped`` cuts a list where a tool has a cap and keeps the full
-count. ``envelope`` says how far an answer can be trusted.
+planned; lists with a cap have ``full_count`` beside each row. ``envelope`` says how far an answer can be trusted.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
@@ -20,6 +20,7 @@ from semgraph.operators import invariants as I
 from semgraph.operators import reads as R
 from semgraph.operators.build import Graph
 from semgraph.operators.traverse import reach
+from semgraph.sources.files import asset_calls
 
 #: default caps of lists: full and summarized
 CAPS = {"blast_radius": (500, 25), "dead_code": (500, 25), "file_impact": (500, 25), "asmdef_check": (200, 25), "wire_audit": (200, 25), "feature_switch_audit": (200, 25), "cycles": (500, 25)}
@@ -94,6 +95,24 @@ def pipeline(g: Graph, rules: DataFrame | None = None) -> dict[str, DataFrame]:
     }
 
 
+#: nodes of parsed plans that do more than query
+_DOES_MORE = ("Command", "ParsedStatement", "InsertIntoDir", "V2WriteCommand")
+
+
+def _reads_only(plan) -> bool:
+    """Whether a parsed plan and all in it are queries: no command, no write, no view or table made."""
+    loader = plan.getClass().getClassLoader()
+    kinds = [plan.getClass().forName(f"org.apache.spark.sql.catalyst.plans.logical.{k}", True, loader) for k in _DOES_MORE]
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if any(k.isInstance(node) for k in kinds):
+            return False
+        for seq in (node.children(), node.innerChildren()):
+            todo += [seq.apply(i) for i in range(seq.size())]
+    return True
+
+
 @dataclass(frozen=True)
 class Session:
     """A loaded graph with what belongs to it; ``reload`` gives the next generation."""
@@ -134,10 +153,19 @@ class Session:
     def lookup(self, symbol: str) -> DataFrame:
         return self._at(symbol).join(self.g.symbols, "id").join(R.partial_files(self.g), "id", "left")
 
+    def _capped(self, tool: str, rows: DataFrame, max_results: int | None, summarize: bool, *order) -> DataFrame:
+        """The first rows of a list with ``full_count`` beside them; no cap is told: that of the tool, below 0 none."""
+        n = max_results if max_results is not None else CAPS[tool][1 if summarize else 0]
+        some, total = capped(rows, n, *order)
+        return some.withColumn("full_count", F.lit(total))
+
     def _links(self, symbol: str, incoming: bool, profiles: list[str] | None, group_by: str | None, exclude_tests: bool, exclude_generated: bool, buckets: list[str] | None, preview: int) -> DataFrame:
+        """Links with kind, profiles and call site, and how many there were before buckets were filtered; or their groups."""
         rows = A.neighbours(self.g, self._at(symbol), incoming)
         if profiles:
             rows = A.of_profiles(rows, profiles)
+        if not group_by:
+            rows = rows.withColumn("total_before_filter", F.lit(rows.count()))
         hidden = ["Test"] * exclude_tests + ["Generated"] * exclude_generated
         rows = rows.where(~F.col("bucket").isin(hidden)) if hidden else rows
         rows = rows.where(F.lower("bucket").isin([b.lower() for b in buckets])) if buckets else rows
@@ -158,43 +186,58 @@ class Session:
     def dependants(self, symbol: str, profiles=None, group_by=None, exclude_tests=False, exclude_generated=False, buckets=None, preview: int = 5) -> DataFrame:
         return self._links(symbol, True, profiles, group_by, exclude_tests, exclude_generated, buckets, preview)
 
-    def blast_radius(self, symbol: str, max_depth: int = 10, group_by: str | None = None, preview: int = 5) -> DataFrame:
+    def blast_radius(self, symbol: str, max_depth: int = 10, group_by: str | None = None, preview: int = 5, max_results: int | None = None, summarize: bool = False) -> DataFrame:
         rows = A.blast_radius(self.g, self._at(symbol), max_depth)
         if not group_by:
-            return rows
+            return self._capped("blast_radius", rows, max_results, summarize, "dist", "node")
         rows = rows.join(self.g.symbols.select(F.col("id").alias("node"), "bucket"), "node")
         return A.grouped(self._grouped(rows, group_by), ["root", *self._groups(group_by)], preview)
 
-    def file_impact(self, path: str) -> DataFrame:
+    def file_impact(self, path: str, max_results: int | None = None, summarize: bool = False) -> DataFrame:
         f = "file:" + path.replace("\\", "/")
         rows = A.file_impact(self.g).where((F.col("source_id") == f) | (F.col("target_id") == f))
-        return rows.select(F.when(F.col("source_id") == f, "depends_on").otherwise("used_by").alias("side"), F.when(F.col("source_id") == f, F.col("target_id")).otherwise(F.col("source_id")).alias("file"), "edge_count")
+        rows = rows.select(F.when(F.col("source_id") == f, "depends_on").otherwise("used_by").alias("side"), F.when(F.col("source_id") == f, F.col("target_id")).otherwise(F.col("source_id")).alias("file"), "edge_count")
+        return self._capped("file_impact", rows, max_results, summarize, "side", "file")
 
-    def asmdef_check(self, exclude_tests: bool = False, exclude_generated: bool = False) -> DataFrame:
-        return A.module_boundary(self.g, tuple(["Test"] * exclude_tests + ["Generated"] * exclude_generated))
+    def asmdef_check(self, exclude_tests: bool = False, exclude_generated: bool = False, max_results: int | None = None, summarize: bool = False) -> DataFrame:
+        rows = A.module_boundary(self.g, tuple(["Test"] * exclude_tests + ["Generated"] * exclude_generated))
+        return self._capped("asmdef_check", rows, max_results, summarize, "source_module", "target_module")
 
     def execute(self, sql: str) -> DataFrame:
-        """A read-only SELECT over the views ``symbols`` and ``edges``."""
-        if not sql.lstrip().lower().startswith(("select", "with")):
+        """A read-only SELECT over the tables ``{symbols}`` and ``{edges}``.
+
+        The parsed statement is looked at, not its text: commands and writes
+        are refused wherever they stand.  Views of the session stay as they are.
+        """
+        spark = self.g.symbols.sparkSession
+        names = {"symbols": "semgraph_symbols", "edges": "semgraph_edges"}
+        text = re.sub(r"\{(symbols|edges)\}", lambda m: names[m[1]], sql)
+        if not _reads_only(spark._jsparkSession.sessionState().sqlParser().parsePlan(text)):
             raise ValueError("only a SELECT is run")
-        self.g.symbols.createOrReplaceTempView("symbols")
-        self.g.edges.createOrReplaceTempView("edges")
-        return self.g.symbols.sparkSession.sql(sql)
+        return spark.sql(re.sub(r"\{(?!symbols\}|edges\})|(?<!\{symbols)(?<!\{edges)\}", lambda m: m[0] * 2, sql), symbols=self.g.symbols, edges=self.g.edges)
 
     def resolve_member(self, type_name: str, member: str, param_types: list[str] | None = None) -> DataFrame:
-        wanted = self._at(type_name).select(F.col("id").alias("type_id"), F.lit(member).alias("member"))
-        if param_types is None:
-            return R.resolve_members(self.g, wanted)
-        kids = self.g.contains.select(F.col("source_id").alias("type_id"), F.col("target_id").alias("id")).join(self.g.symbols.select("id", F.col("name").alias("member"), "kind"), "id").join(wanted, ["type_id", "member"])
-        return kids.where((F.col("kind") != "method") | (F.regexp_extract("id", r"\((.*)\)$", 1) == ",".join(param_types))).select("type_id", "member", "id", "kind")
+        asked = self.g.symbols.sparkSession.createDataFrame([(type_name, member, None if param_types is None else ",".join(param_types))], "type_name string, member string, signature string")
+        return R.resolve_members_by_name(self.g, asked)
 
     def resolve_short_name(self, name: str, mode: str = "exact") -> DataFrame:
+        """Symbols of the name; in none of them the five nearest, told apart by ``is_near``."""
         if mode == "fuzzy":
             return R.near_matches(self.g, name, 20)
-        return R.find_short_name(self.g, name, mode == "contains")
+        found = R.find_short_name(self.g, name, mode == "contains").withColumn("is_near", F.lit(False))
+        if found.limit(1).count():
+            return found
+        return R.near_matches(self.g, name, 5).join(self.g.symbols.select("id", "kind"), "id").select("id", "kind", "name", F.lit(True).alias("is_near"))
 
-    def dead_code(self, include_kinds=("method", "type", "property", "field"), exclude_public: bool = True, exclude_tests: bool = True, path_exclude: list[str] = (), same_class: bool = False) -> DataFrame:
-        return R.dead_code(self.g, tuple(include_kinds), exclude_public, exclude_tests, list(path_exclude), same_class)
+    def dead_code(self, include_kinds=("method", "type", "property", "field"), exclude_public: bool = True, exclude_tests: bool = True, path_exclude: list[str] = (), same_class: bool = False, max_results: int | None = None, summarize: bool = False) -> DataFrame:
+        """Assets among the files of the session keep what they call alive."""
+        calls = asset_calls(self.files) if self.files is not None else None
+        rows = R.dead_code(self.g, tuple(include_kinds), exclude_public, exclude_tests, list(path_exclude), same_class, calls)
+        return self._capped("dead_code", rows, max_results, summarize, "id")
+
+    def dead_code_breakdown(self, **args) -> DataFrame:
+        """All dead code counted by kind and bucket, whatever the cap of the list."""
+        return self.dead_code(**args, max_results=-1).groupBy("kind", "bucket").agg(F.count("*").alias("n"))
 
     def partial_view(self, symbol: str) -> DataFrame:
         return partial_view(self.g, self.files).join(self._at(symbol), "id", "left_semi")
@@ -203,7 +246,7 @@ class Session:
         rows = I.parse_invariants(self.files.where("path like '%.md'"), "path", "content")
         if id_ is not None:
             return rows.where(F.col("id") == id_)
-        return {"list": lambda: rows.drop("body"), "audit": lambda: I.audit(rows), "duplicates": lambda: I.duplicates(rows)}[mode]()
+        return {"list": lambda: rows.drop("body"), "audit": lambda: I.audit(rows), "totals": lambda: I.totals(rows), "sources": lambda: I.per_source(rows), "duplicates": lambda: I.sites(rows)}[mode]()
 
     def authority_report(self, symbol: str) -> DataFrame:
         return R.authority_report(self.g).join(self._at(symbol), "id", "left_semi")
@@ -214,8 +257,8 @@ class Session:
     def port_health(self, symbol: str) -> DataFrame:
         return R.port_health(self.g).join(self._at(symbol), "id", "left_semi")
 
-    def cycles(self) -> DataFrame:
-        return A.cycle_taxonomy(self.g, A.cycles(self.g))
+    def cycles(self, max_results: int | None = None, summarize: bool = False) -> DataFrame:
+        return self._capped("cycles", A.cycle_taxonomy(self.g, A.cycles(self.g)), max_results, summarize, F.desc("n_members"), "component")
 
     def test_impact(self, target: str, reflection: bool = False) -> DataFrame:
         """The target is a symbol or the path of a file."""
@@ -260,20 +303,33 @@ class Session:
     def callsite_arguments(self, symbol: str, max_sites: int = 256) -> tuple[DataFrame, DataFrame]:
         return audits.callsite_arguments(self.facts["call_args"].where(F.col("target_id") == symbol), max_sites)
 
-    def wire_audit(self) -> DataFrame:
-        return audits.wire_audit(self.facts["wire_candidates"], self.facts["member_accesses"], self.facts.get("call_args"))
+    def _of(self, rows: DataFrame, type_: str | None, module: str | None) -> DataFrame:
+        """Rows of members of a type, or of what lies in a module."""
+        if type_ is not None:
+            rows = rows.join(R.direct_members(self.g).where(F.col("type") == type_).select(F.col("member").alias("member_id")), "member_id", "left_semi")
+        if module is not None:
+            rows = rows.join(A.module_name_of(self.g).where(F.col("module_name") == module).select(F.col("id").alias("member_id")), "member_id", "left_semi")
+        return rows
+
+    def wire_audit(self, type_: str | None = None, module: str | None = None, include: tuple[str, ...] = audits.WIRE_FINDINGS, max_results: int | None = None, summarize: bool = False) -> DataFrame:
+        found = audits.wire_audit(self.facts["wire_candidates"], self.facts["member_accesses"], self.facts.get("call_args"))
+        rows = self._of(found, type_, module).where(F.col("finding").isin(*include))
+        return self._capped("wire_audit", rows, max_results, summarize, "finding", "member_id")
 
-    def feature_switch_audit(self, require_branch: bool = True) -> DataFrame:
-        return audits.feature_switch_audit(self.facts["bool_members"], self.facts["bool_writes"], self.facts["bool_branch_reads"] if require_branch else None, self.facts["callers"])
+    def feature_switch_audit(self, require_branch: bool = True, type_: str | None = None, module: str | None = None, max_results: int | None = None, summarize: bool = False) -> DataFrame:
+        found = audits.feature_switch_audit(self.facts["bool_members"], self.facts["bool_writes"], self.facts["bool_branch_reads"] if require_branch else None, self.facts["callers"])
+        return self._capped("feature_switch_audit", self._of(found, type_, module), max_results, summarize, "member_id")
 
-    def member_count(self, type_: str) -> DataFrame:
-        return audits.member_count(self.facts["members"].where(F.col("type_id") == type_))
+    def member_count(self, type_: str, semantics: str = "both") -> DataFrame:
+        """``semantics``: ``reflection`` or ``source`` for one of the two counts, ``both`` for all figures."""
+        rows = audits.member_count(self.facts["members"].where(F.col("type_id") == type_))
+        return {"reflection": rows.select("type_id", F.col("reflection_declared").alias("members")), "source": rows.select("type_id", F.col("source_symbols").alias("members")), "both": rows}[semantics]
 
     def struct_layout(self, type_: str) -> DataFrame:
         return audits.struct_layout(self.facts["struct_fields"].where(F.col("type_id") == type_))
 
-    def symbol_at_position(self, path: str, line: int) -> DataFrame:
-        at = self.g.symbols.sparkSession.createDataFrame([(path, line)], "file_path string, line int")
+    def symbol_at_position(self, path: str, line: int, column: int | None = None) -> DataFrame:
+        at = self.g.symbols.sparkSession.createDataFrame([(path, line, column)], "file_path string, line int, col int")
         return audits.symbol_at_position(self.facts["spans"], at)
 
     def diagnose(self, module: str | None = None, severity: str | None = None) -> DataFrame:

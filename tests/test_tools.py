@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from semgraph import tools
@@ -30,19 +31,26 @@ def test_tools(spark):
     assert rows(s.test_impact("type:N.T", reflection=True), "test_class", "distance") == [("type:N.Other", 2**31 - 1), ("type:N.TTests", 1)]
     assert s.partial_view("T").first().view == "// a.cs\nclass T {}"
     assert rows(s.invariant_check(), "id") == [("INV-A-1",)] and s.invariant_check(id_="INV-A-2").count() == 0
-    assert rows(s.resolve_member("T", "Go", []), "id") == [("method:N.T.Go()",)] and s.resolve_member("T", "Go", ["int"]).count() == 0
-    assert s.execute("select count(*) n from symbols").first().n == 10
+    assert rows(s.resolve_member("T", "Go", []), "outcome", "id") == [("Unique", "method:N.T.Go()")] and rows(s.resolve_member("T", "Go", ["int"]), "outcome", "id") == [("NotFound", None)]
+    assert rows(s.resolve_member("Gone", "Go"), "outcome") == [("TypeNotFound",)]
+    assert s.execute("select count(*) n from {symbols}").first().n == 10
+    assert s.execute("with x as (select id from {symbols} where id in (select target_id from {edges})) select struct(count(*) n) s, '{not}' t from x").first().t == "{not}"
+    assert rows(s.dependants("Go"), "total_before_filter") == [(1,)] and rows(s.blast_radius("Go", max_results=-1), "node", "full_count") == [("method:N.TTests.Check()", 1)] and s.blast_radius("Go", max_results=0).count() == 0
+    assert rows(s.resolve_short_name("Goo"), "name", "is_near")[0] == ("Go", True) and rows(s.resolve_short_name("go"), "id", "is_near") == [("method:N.T.Go()", False)]
     assert set(s.context()) == set(tools.SECTIONS) and s.context(("hotspots",), hotspots=0)["hotspots"].count() == 0
     assert s.reload(s.g).g.generation == 2 and s.envelope("lookup").band == "Proven"
     assert s.analyze()["metrics"].first().modules == 2
 
 
-def test_execute_is_read_only(spark):
-    try:
-        session(spark).execute("drop table symbols")
-    except ValueError:
-        return
-    raise AssertionError
+@pytest.mark.parametrize("sql", [
+    "drop table symbols", "insert into t values (1)", "create table t as select 1", "create temp view v as select 1", "set x = 1", "with x as (select 1 a) insert into t select a from x",
+    "with x as (select 1 a) insert overwrite directory '{folder}' using parquet select a from x", "from (select 1 a) insert overwrite directory '{folder}' using parquet select a", "truncate table t",
+    "explain select 1", "describe table t", "cache table t as select 1", "delete from t", "refresh table t", "use x",
+])
+def test_execute_is_read_only(spark, tmp_path, sql):
+    with pytest.raises(ValueError):
+        session(spark).execute(sql.replace("{folder}", str(tmp_path / "out")))
+    assert not (tmp_path / "out").exists()
 
 
 def test_module_order_with_a_cycle(spark):
