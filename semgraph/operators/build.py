@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from semgraph.functions.paths import path_bucket
 from semgraph.schema import CALL_SITE, EDGE_KINDS, EVIDENCE, ROLE_KEYS
+from semgraph.session import materialize, new_folder
 
 
 @dataclass(frozen=True)
@@ -60,7 +61,11 @@ def drop_dangling(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(s, "source_id", "left_semi").join(t, "target_id", "left_semi")
 
 
-def synthesize_contains(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+#: the ordinal of inferred edges, after all that are told
+LAST = 2**62
+
+
+def synthesize_contains(symbols: DataFrame, edges: DataFrame, last: Column | None = None) -> DataFrame:
     """A containment edge for every parent that exists and has no explicit one to the child.
 
     ``symbols`` are the raw rows: an id may name several parents.
@@ -69,14 +74,14 @@ def synthesize_contains(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     known = symbols.select(F.col("id").alias("source_id")).distinct()
     told = edges.where("kind = 'contains'").select("source_id", "target_id").distinct()
     pairs = pairs.join(known, "source_id", "left_semi").join(told, ["source_id", "target_id"], "left_anti")
-    return _inferred(pairs, "contains", F.lit(None).cast("map<string,string>"))
+    return _inferred(pairs, "contains", F.lit(None).cast("map<string,string>"), last)
 
 
-def _inferred(pairs: DataFrame, kind: str, properties: Column) -> DataFrame:
+def _inferred(pairs: DataFrame, kind: str, properties: Column, last: Column | None) -> DataFrame:
     evidence = F.struct(F.lit("inferred").alias("kind"), F.lit("GraphBuilder").alias("adapter_name"), F.lit(None).cast("string").alias("source_span"), F.lit("proven").alias("confidence"))
     return pairs.select(
         "source_id", "target_id", F.lit(kind).alias("kind"), edge_role(properties).alias("role"), evidence.cast(EVIDENCE).alias("evidence"),
-        properties.alias("properties"), F.lit(None).cast(CALL_SITE).alias("call_site"), F.lit(None).cast("array<string>").alias("profiles"), F.lit(2**62).alias("ord"),
+        properties.alias("properties"), F.lit(None).cast(CALL_SITE).alias("call_site"), F.lit(None).cast("array<string>").alias("profiles"), (F.lit(LAST) if last is None else last).alias("ord"),
     )
 
 
@@ -99,7 +104,7 @@ def file_of(symbols: DataFrame) -> DataFrame:
     return named.join(symbols.select(F.col("id").alias("file_id")), "file_id", "left_semi").select("id", "file_id")
 
 
-def derive_file_edges(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+def derive_file_edges(symbols: DataFrame, edges: DataFrame, last: Column | None = None) -> DataFrame:
     """A reference between two files for the edges between what lies in them, unless one is told."""
     files = file_of(symbols)
     sf = files.select(F.col("id").alias("source_id"), F.col("file_id").alias("sf"))
@@ -109,7 +114,7 @@ def derive_file_edges(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     pairs = ends.join(sf, "source_id").join(tf, "target_id").where("sf <> tf").groupBy(F.col("sf").alias("source_id"), F.col("tf").alias("target_id")).agg(F.sum("n").alias("n"))
     told = edges.where("kind = 'references' and source_id like 'file:%' and target_id like 'file:%'").select("source_id", "target_id").distinct()
     pairs = pairs.join(told, ["source_id", "target_id"], "left_anti")
-    return _inferred(pairs, "references", F.create_map(F.lit("edgeCount"), F.col("n").cast("string")))
+    return _inferred(pairs, "references", F.create_map(F.lit("edgeCount"), F.col("n").cast("string")), last)
 
 
 def build(symbols: DataFrame, edges: DataFrame) -> Graph:
@@ -117,18 +122,30 @@ def build(symbols: DataFrame, edges: DataFrame) -> Graph:
 
     Symbols: the last row of an id holds, but every parent named counts.
     Edges: those with a missing end are dropped, containment is completed,
-    equal identities are merged, file references are derived.
+    equal identities are merged, file references are derived.  Ordinals are
+    numbers below ``LAST`` or of any other type that has an order; those of
+    inferred edges come last.
     """
+    last, kind = None, edges.schema["ord"].dataType
+    if kind.simpleString() != "bigint":
+        edges = edges.withColumn("ord", F.struct(F.lit(0).alias("inferred"), F.col("ord").alias("at")))
+        last = F.struct(F.lit(1).alias("inferred"), F.lit(None).cast(kind).alias("at"))
     syms = upsert_symbols(symbols).withColumn("bucket", path_bucket(F.col("file_path")))
     ids = syms.select("id")
     cols = ["source_id", "target_id", "kind", "role", "evidence", "properties", "call_site", "profiles", "ord"]
     told = drop_dangling(edges.withColumn("kind", edge_kind(F.col("kind"))).withColumn("role", edge_role(F.col("properties"))).select(*cols), ids)
-    made = synthesize_contains(symbols.select("id", "parent_id"), told)
+    made = synthesize_contains(symbols.select("id", "parent_id"), told, last)
     whole = dedup_edges(told.unionByName(made))
-    whole = whole.unionByName(derive_file_edges(syms, whole))
+    whole = whole.unionByName(derive_file_edges(syms, whole, last))
     return Graph(syms, whole.withColumn("kind_ord", kind_ord(F.col("kind"))))
 
 
 def canonical_order(edges: DataFrame) -> DataFrame:
     """Edges sorted by source, target, kind and role; a distributed sort."""
     return edges.orderBy("source_id", "target_id", "kind_ord", "role")
+
+
+def written(g: Graph) -> Graph:
+    """The graph written once, so that no reader builds it again."""
+    base = new_folder(g.symbols.sparkSession, "graph")
+    return Graph(materialize(g.symbols, f"{base}/symbols"), materialize(g.edges, f"{base}/edges"), g.generation)

@@ -35,7 +35,9 @@ def _title(block: Column, id_: Column, bare: Column) -> Column:
 
 
 def parse_invariants(df: DataFrame, source: str, text: str) -> DataFrame:
-    """``source, id, category, title, body, line`` of every block; a block ends at the next one or at a heading.
+    """``source, id, category, title, body, line, warning`` of every block; a block ends at the next one or at a heading.
+
+    A title that follows none of the forms is the first line, which ``warning`` says.
 
     Windows run over the lines of one text.  A null text has no blocks.
     """
@@ -51,8 +53,12 @@ def parse_invariants(df: DataFrame, source: str, text: str) -> DataFrame:
     )
     rows = rows.where("f.id <> ''").select("source", F.col("f.id").alias("id"), F.trim("body").alias("body"), F.col("f.bare").alias("bare"), (F.col("f.at") + 1).alias("line"))
     title = _title(F.col("body"), F.col("id"), F.col("bare"))
+    known = F.when(F.col("bare"), F.col("body").rlike(rf"(?s)\*\*{ID}\s*:\s*(.+?)\*\*")).otherwise(
+        F.col("body").rlike(rf"(?s)\*\*{ID}\.\s+(.+?)\*\*") | F.col("body").rlike(rf"\*\*{ID}\*\*\s*(\([^)]*\))?\s*:\s*.+") | F.col("body").rlike(rf"\*\*{ID}\s*:\*\*\s*.+")
+    )
+    warning = F.when(~known, F.concat(F.lit("line "), "line", F.lit(": the title of "), "id", F.when(F.col("bare"), " is not closed").otherwise(" follows no form")))
     title = F.when(F.length(title) > MAX_TITLE, F.concat(F.left(title, F.lit(MAX_TITLE - 1)), F.lit("…"))).otherwise(title)
-    return rows.select("source", "id", F.regexp_extract("id", r"^INV-(.+)-\d+$", 1).alias("category"), title.alias("title"), "body", "line")
+    return rows.select("source", "id", F.regexp_extract("id", r"^INV-(.+)-\d+$", 1).alias("category"), title.alias("title"), "body", "line", warning.alias("warning"))
 
 
 def audit(rows: DataFrame) -> DataFrame:

@@ -233,12 +233,27 @@ def json_edges(spark: SparkSession, d: str) -> DataFrame:
     return J.edges_of(docs).select("document_id", "pos", "source_id", "target_id", "kind", (F.col("evidence.adapter_name") != "unknown").alias("has_evidence"))
 
 
-@query(None)
-def json_export(spark: SparkSession, d: str) -> DataFrame:
-    """The graph as one document per file that symbols lie in; a symbol without a file has its own."""
+def _export(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
     owner = g.symbols.select(F.col("id").alias("source_id"), F.coalesce("file_path", "id").alias("document"))
-    return J.to_documents(g.symbols, g.edges.join(owner, "source_id"), F.coalesce("file_path", "id"), F.col("document"))
+    symbols, edges = J.in_parts(g.symbols.withColumn("document", F.coalesce("file_path", "id")), g.edges.join(owner, "source_id"), "document")
+    return J.to_documents(symbols, edges, F.col("part"), F.col("part"))
+
+
+@query("select coalesce(file_path, id) document_id, count(*) n_symbols from s group by 1")
+def json_export(spark: SparkSession, d: str) -> DataFrame:
+    """The graph as one document per file that symbols lie in, large ones in parts; a symbol without a file has its own."""
+    docs = J.parse(_export(spark, d), "document_id", "payload")
+    return docs.groupBy(F.regexp_replace("document_id", r"#\d+$", "").alias("document_id")).agg(F.coalesce(F.sum(F.size("d.symbols")), F.lit(0)).alias("n_symbols"))
+
+
+@query("select 'symbol' what, id a, coalesce(name, '') b, kind c, coalesce(parent_id, '') d from s union all select 'edge', s, t, k, coalesce(profiles, '') from e")
+def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The graph exported and read again."""
+    docs = J.parse(_export(spark, d), "document_id", "payload")
+    s = J.symbols_of(docs).select(F.lit("symbol").alias("what"), F.col("id").alias("a"), F.col("name").alias("b"), F.col("kind").alias("c"), F.coalesce("parent_id", F.lit("")).alias("d"))
+    e = J.edges_of(docs).select(F.lit("edge").alias("what"), F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("kind").alias("c"), F.coalesce(F.array_join("profiles", ","), F.lit("")).alias("d"))
+    return s.unionByName(e)
 
 
 # --- change handling

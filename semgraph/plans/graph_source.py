@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from semgraph.functions.ids import clean_id, table
 from semgraph.operators.analysis import cycles
-from semgraph.operators.build import Graph, build
+from semgraph.operators.build import Graph, build, written
 from semgraph.operators.deliveries import newest
 from semgraph.session import materialize, new_folder
 
@@ -84,9 +84,7 @@ def graph(spark: SparkSession, d: str) -> Graph:
     """The built graph, written once per application and state of the data folder."""
     key = _key(spark, d)
     if key not in _built:
-        g = build(raw_symbols(spark, d), raw_edges(spark, d))
-        base = new_folder(spark, "graph")
-        _built[key] = Graph(materialize(g.symbols, f"{base}/symbols"), materialize(g.edges, f"{base}/edges"))
+        _built[key] = written(build(raw_symbols(spark, d), raw_edges(spark, d)))
     return _built[key]
 
 

@@ -23,14 +23,59 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("rule_ord", "r.id", "r.description", "r.source", F.col("r.mustNotReference").alias("must_not_reference"), F.col("r.mayOnlyReference").alias("may_only_reference"))
 
 
+# The built-in rule packs, (id, source, must not reference) each.
+BUILT_IN = {
+    "hexagonal": (
+        ("HEX-001", "*.Domain", "*.Infrastructure"), ("HEX-002", "*.Domain", "*.Adapters"), ("HEX-003", "*.Domain", "*.Presentation"),
+        ("HEX-004", "*.App", "*.Infrastructure"), ("HEX-005", "*.Domain", "UnityEngine"), ("HEX-006", "*.Domain", "System.Net.*"),
+    ),
+    "clean-architecture": (
+        ("CLEAN-001", "*.Entities", "*.UseCases"), ("CLEAN-002", "*.Entities", "*.Adapters"), ("CLEAN-003", "*.Entities", "*.Frameworks"),
+        ("CLEAN-004", "*.UseCases", "*.Adapters"), ("CLEAN-005", "*.UseCases", "*.Frameworks"),
+    ),
+}
+
+
+def built_in_rules(spark: SparkSession, pack: str) -> DataFrame:
+    """A built-in rule pack by its name."""
+    rows = [(i, rule, source, must, None) for i, (rule, source, must) in enumerate(BUILT_IN[pack])]
+    return spark.createDataFrame(rows, "rule_ord int, id string, source string, must_not_reference string, may_only_reference string")
+
+
+def _stem(p):
+    return F.regexp_replace(F.substring_index(F.translate(p, "\\", "/"), "/", -1), r"\.csproj$", "")
+
+
 def modules_of_projects(files: DataFrame) -> DataFrame:
-    """``files(path, content)`` of project XML -> ``module, path, depends_on, packages, defines``."""
+    """``files(path, content)`` of project XML -> ``module, path, depends_on, packages, dlls, defines, is_pure, closure``.
+
+    A module is pure if it names no package and no assembly.  Projects of the
+    old schema without an Sdk see only what they name themselves.
+    """
     rows = files.where(F.col("path").endswith(".csproj"))
-    refs = F.expr("xpath(content, '//*[local-name()=\"ProjectReference\"]/@Include')")
-    pkgs = F.expr("xpath(content, '//*[local-name()=\"PackageReference\"]/@Include')")
+    many = lambda what: F.expr(f"xpath(content, '{what}')")
+    refs, pkgs = many('//*[local-name()="ProjectReference"]/@Include'), many('//*[local-name()="PackageReference"]/@Include')
+    assemblies, dlls = many('//*[local-name()="Reference"]/@Include'), many('//*[local-name()="Reference"]/*[local-name()="HintPath"]/text()')
     defs = F.expr("xpath_string(content, '//*[local-name()=\"DefineConstants\"][1]')")
-    stem = lambda p: F.regexp_replace(F.substring_index(F.translate(p, "\\", "/"), "/", -1), r"\.csproj$", "")
-    return rows.select(stem(F.col("path")).alias("module"), "path", F.array_sort(F.transform(refs, stem)).alias("depends_on"), F.array_sort(pkgs).alias("packages"), F.filter(F.split(defs, ";"), lambda x: F.trim(x) != "").alias("defines"))
+    name = F.expr("xpath_string(content, '//*[local-name()=\"AssemblyName\"][1]')")
+    old = F.col("content").contains("http://schemas.microsoft.com/developer/msbuild/2003") & (F.size(many('/*[local-name()="Project"]/@Sdk')) == 0)
+    return rows.select(
+        F.coalesce(F.nullif(F.trim(name), F.lit("")), _stem(F.col("path"))).alias("module"), "path", F.array_sort(F.transform(refs, _stem)).alias("depends_on"), F.array_sort(pkgs).alias("packages"),
+        F.array_sort(F.transform(dlls, lambda x: F.translate(x, "\\", "/"))).alias("dlls"), F.filter(F.split(defs, ";"), lambda x: F.trim(x) != "").alias("defines"),
+        ((F.size(pkgs) == 0) & (F.size(assemblies) == 0)).alias("is_pure"), F.when(old, "DirectOnly").otherwise("Transitive").alias("closure"),
+    )
+
+
+def modules_of_solutions(files: DataFrame) -> DataFrame:
+    """The modules of the projects that the solutions among ``files(path, content)`` name; of all projects where there is no solution."""
+    slns = files.where(F.col("path").endswith(".sln"))
+    line = F.regexp_extract_all("content", F.lit(r'(?m)^Project\("[^"]*"\)\s*=\s*"[^"]*",\s*"([^"]+\.csproj)"'), F.lit(1))
+    folder = F.regexp_extract("path", r"^(.*/)?", 1)
+    named = slns.select(F.explode(line).alias("p"), folder.alias("at")).select(F.concat("at", F.translate("p", "\\", "/")).alias("path")).distinct()
+    modules = modules_of_projects(files)
+    known = modules.join(named.withColumn("told", F.lit(True)), "path", "left")
+    any_ = slns.agg(F.count("*").alias("n_solutions"))
+    return known.crossJoin(F.broadcast(any_)).where("n_solutions = 0 or told").drop("told", "n_solutions")  # one row
 
 
 def asset_calls(files: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def symbols_of(docs: DataFrame) -> DataFrame:
     return rows.select(
         "document_id", "pos", F.coalesce("x.id", F.lit("")).alias("id"), F.coalesce("x.name", F.lit("")).alias("name"), F.coalesce("x.qualifiedName", F.lit("")).alias("qualified_name"),
         F.lower(F.coalesce("x.kind", F.lit("module"))).alias("kind"), F.coalesce("x.filePath", F.lit("")).alias("file_path"), F.coalesce("x.line", F.lit(0)).alias("line"),
-        F.nullif("x.parentId", F.lit("")).alias("parent_id"), F.lower(F.coalesce("x.visibility", F.lit("public"))).alias("visibility"), F.coalesce("x.isAbstract", F.lit(False)).alias("is_abstract"),
+        F.when(F.col("x.parentId") != "", F.col("x.parentId")).alias("parent_id"), F.lower(F.coalesce("x.visibility", F.lit("public"))).alias("visibility"), F.coalesce("x.isAbstract", F.lit(False)).alias("is_abstract"),
         F.coalesce("x.isStatic", F.lit(False)).alias("is_static"), F.coalesce("x.properties", F.create_map().cast("map<string,string>")).alias("properties"),
         F.struct("document_id", "pos").alias("ord"),
     )
@@ -77,6 +77,13 @@ def _map(c: str) -> Column:
     return F.when(F.size(c) > 0, F.col(c))
 
 
+def in_parts(symbols: DataFrame, edges: DataFrame, document: str, rows: int = 50_000) -> tuple[DataFrame, DataFrame]:
+    """Both tables with ``part``: documents of more than ``rows`` rows are cut into parts of about as many, so that none is too large for a task."""
+    sizes = symbols.select(document).unionByName(edges.select(document)).groupBy(document).agg(F.ceil(F.count("*") / rows).cast("int").alias("_n"))
+    cut = lambda df, *key: df.join(sizes, document).withColumn("part", F.concat(F.col(document), F.when(F.col("_n") > 1, F.concat(F.lit("#"), F.pmod(F.xxhash64(*key), F.col("_n")).cast("string"))).otherwise(""))).drop("_n")
+    return cut(symbols, "id"), cut(edges, "source_id", "target_id", "kind", "role")
+
+
 def to_documents(symbols: DataFrame, edges: DataFrame, document_of: Column, edge_document_of: Column, version: str = "1.0", language: str = "") -> DataFrame:
     """``document_id, payload``: one JSON document per value of ``document_of``; nulls and empty properties are left out.
 

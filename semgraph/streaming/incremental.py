@@ -30,6 +30,22 @@ def manifest_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", F.coalesce("m1", "m0").alias("module"), status.alias("status"))
 
 
+def with_modules_forced(diff: DataFrame, authoritative: DataFrame | None = None) -> DataFrame:
+    """A diff in which a changed, added or removed project file makes every file of its module changed.
+
+    ``authoritative(path)``, where it is given, are the only files that may have
+    changed by content; removed files and forced modules count all the same.
+    """
+    rows = diff
+    if authoritative is not None:
+        known = authoritative.select("path").distinct().withColumn("_told", F.lit(True))
+        status = F.when(F.col("_told").isNull() & F.col("status").isin("changed", "added"), "same").otherwise(F.col("status"))
+        rows = rows.join(known, "path", "left").select("path", "module", status.alias("status"))
+    forced = diff.where("path like '%.csproj' and status in ('changed', 'added', 'removed')").select("module").distinct().withColumn("_forced", F.lit(True))
+    status = F.when(F.col("_forced") & F.col("status").isin("same", "touched"), "changed").otherwise(F.col("status"))
+    return rows.join(forced, "module", "left").select("path", "module", status.alias("status"))
+
+
 def choose_mode(before: DataFrame | None, after: DataFrame, scope_before: str | None = None, scope_after: str | None = None, allow_full: bool = True) -> tuple[str, str | None]:
     """``("Incremental" | "FullFallback" | "Rejected", reason)`` from the manifests; modules are compared by set, descriptors by hash."""
     reason = None
@@ -93,12 +109,39 @@ def upsert_stream(changes: DataFrame, table: str, key: list[str], order: list[st
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def newest_of(spark: SparkSession, table: str, key: list[str], order: list[str]) -> DataFrame:
-    rows = spark.read.parquet(table)
+def _newest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     keep = [c for c in rows.columns if c not in (*key, "batch")]
     return rows.groupBy(*key).agg(F.max_by(F.struct(*keep), F.struct(*order)).alias("r")).select(*key, "r.*")
 
 
+def newest_of(spark: SparkSession, table: str, key: list[str], order: list[str]) -> DataFrame:
+    """The newest row of each key over all batches of a table kept by ``upsert_stream``, compacted ones included."""
+    return _newest(spark.read.parquet(table), key, order)
+
+
+def compact(spark: SparkSession, table: str, key: list[str], order: list[str]) -> int | None:
+    """Merges the batches of a table into one, so that readers do not aggregate all history; the number of the batch that holds them now.
+
+    The merged rows take the place of the last batch; they are written beside
+    the table first.  A run that is lost before the end leaves rows told
+    twice, which readers take once.
+    """
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(table).getFileSystem(spark._jsc.hadoopConfiguration())
+    batches = sorted(int(s.getPath().getName().removeprefix("batch=")) for s in fs.listStatus(fs_path(table)) if s.getPath().getName().startswith("batch="))
+    if len(batches) < 2:
+        return batches[0] if batches else None
+    last = batches[-1]
+    newest_of(spark, table, key, order).write.mode("overwrite").parquet(f"{table}-compact")
+    for n in batches[:-1]:
+        fs.delete(fs_path(f"{table}/batch={n}/_SUCCESS"), False)
+    fs.delete(fs_path(f"{table}/batch={last}"), True)
+    fs.rename(fs_path(f"{table}-compact"), fs_path(f"{table}/batch={last}"))
+    for n in batches[:-1]:
+        fs.delete(fs_path(f"{table}/batch={n}"), True)
+    return last
+
+
 def windowed_counts(changes: DataFrame, time: str, by: str, late: str = "30 days", window: str = "7 days") -> DataFrame:
     """An extension: counts per event-time window; rows later than ``late`` behind the newest are past their window."""
     return changes.withWatermark(time, late).groupBy(F.window(time, window), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), by, "n")
