@@ -157,11 +157,13 @@ def member_count(members: DataFrame) -> DataFrame:
 
 
 def struct_layout(fields: DataFrame, pack: int = 8) -> DataFrame:
-    """``fields(type_id, ordinal, name, size, alignment, is_exact, explicit_offset)`` -> ``type_id, size, alignment, offsets, exactness``.
+    """``fields(type_id, ordinal, name, size, alignment, is_exact, explicit_offset[, declared_size])`` -> ``type_id, size, alignment, offsets, exactness``.
 
     Fields lie one after another at multiples of the smaller of their
-    alignment and ``pack``; explicit offsets hold as given.
+    alignment and ``pack``; explicit offsets hold as given.  A size that is
+    declared for the type is the least that it has.
     """
+    declared = F.max("declared_size") if "declared_size" in fields.columns else F.lit(0)
     f = F.array_sort(F.collect_list(F.struct("ordinal", "size", F.least("alignment", F.lit(pack)).alias("al"), "explicit_offset")))
     up = lambda n, a: ((n + a - 1) / a).cast("int") * a
     zero = F.struct(F.lit(0).alias("end"), F.lit(1).alias("al"), F.array().cast("array<int>").alias("at"))
@@ -170,9 +172,9 @@ def struct_layout(fields: DataFrame, pack: int = 8) -> DataFrame:
         start = F.coalesce(x["explicit_offset"], up(acc["end"], x["al"]))
         return F.struct(F.greatest(acc["end"], start + x["size"]).alias("end"), F.greatest(acc["al"], x["al"]).alias("al"), F.concat(acc["at"], F.array(start)).alias("at"))
 
-    rows = fields.groupBy("type_id").agg(f.alias("f"), F.bool_and("is_exact").alias("exact"))
-    rows = rows.select("type_id", "exact", F.aggregate("f", zero, add).alias("r"))
-    return rows.select("type_id", up(F.col("r.end"), F.col("r.al")).alias("size"), F.col("r.al").alias("alignment"), F.array_join(F.transform("r.at", lambda x: x.cast("string")), ",").alias("offsets"), F.when(F.col("exact"), "Exact").otherwise("Advisory").alias("exactness"))
+    rows = fields.groupBy("type_id").agg(f.alias("f"), F.bool_and("is_exact").alias("exact"), declared.alias("declared"))
+    rows = rows.select("type_id", "exact", "declared", F.aggregate("f", zero, add).alias("r"))
+    return rows.select("type_id", up(F.greatest("r.end", "declared"), F.col("r.al")).alias("size"), F.col("r.al").alias("alignment"), F.array_join(F.transform("r.at", lambda x: x.cast("string")), ",").alias("offsets"), F.when(F.col("exact"), "Exact").otherwise("Advisory").alias("exactness"))
 
 
 def symbol_at_position(spans: DataFrame, positions: DataFrame) -> DataFrame:

@@ -63,9 +63,12 @@ def test_struct_layout(spark):
 
 
 def test_symbol_at_position_and_classes(spark):
-    s = spark.createDataFrame([("T", "f", 1, 50), ("m", "f", 10, 20), ("n", "f", 12, 14)], "symbol_id string, file_path string, start_line int, end_line int")
-    p = spark.createDataFrame([("f", 13), ("f", 18), ("f", 40), ("f", 99), ("g", 1)], "file_path string, line int")
-    assert [r.symbol_id for r in A.symbol_at_position(s, p).orderBy("file_path", "line").collect()] == ["n", "m", "T", None, None]
+    s = spark.createDataFrame([("T", "f", 1, 50), ("m", "f", 10, 20), ("n", "f", 12, 14)], "symbol_id string, file_path string, start_line int, end_line int").withColumn("start_col", F.lit(5)).withColumn("end_col", F.lit(9))
+    p = spark.createDataFrame([("f", 13, 1), ("f", 12, 4), ("f", 14, 9), ("f", 14, 10), ("f", 12, None), ("f", 18, 1), ("f", 40, 99), ("f", 1, 2), ("f", 99, 1), ("g", 1, None)], "file_path string, line int, col int")
+    got = {(r.file_path, r.line, r.col): r.symbol_id for r in A.symbol_at_position(s, p).collect()}
+    assert got == {("f", 13, 1): "n", ("f", 12, 4): "m", ("f", 14, 9): "n", ("f", 14, 10): "m", ("f", 12, None): "n", ("f", 18, 1): "m", ("f", 40, 99): "T", ("f", 1, 2): None, ("f", 99, 1): None, ("g", 1, None): None}
+    wide = spark.createDataFrame([("T", "f", 1, 100_000, 0, 9), ("m", "f", 70_000, 70_010, 0, 9)], "symbol_id string, file_path string, start_line int, end_line int, start_col int, end_col int")
+    assert {r.line: r.symbol_id for r in A.symbol_at_position(wide, spark.createDataFrame([("f", 70_005, 1), ("f", 69_999, 1)], p.schema)).collect()} == {70_005: "m", 69_999: "T"}
     c = spark.createDataFrame([("a", 1, 1, True), ("b", 5, 1, False), ("c", 6, 1, False), ("d", 2, 2, False)], "method_id string, n_statements int, n_calls int, only_forwards boolean")
     assert rows(A.method_classes(c)) == [("a", "PureForwarder"), ("b", "ThinWrapper"), ("c", "RealLogic"), ("d", "RealLogic")]
 
