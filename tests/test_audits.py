@@ -26,7 +26,8 @@ def test_enum_coverage(spark):
 
 def test_static_tables(spark):
     c = spark.createDataFrame([("T", "x", 0, 1, "int", "2"), ("T", "x", 0, 0, "string", None), ("T", "x", 40, 0, "int", "9"), ("T", "y", 0, 0, "null", None)], "type_id string, table_id string, row_no int, col_no int, kind string, text string")
-    assert rows(A.static_tables(c, max_tables=1), "table_id", "row_no", "cells", "n_rows") == [("x", 0, ["string:", "int:2"], 2)]
+    assert rows(A.static_tables(c, max_tables=1, max_rows=32), "table_id", "row_no", "cells", "n_rows") == [("x", 0, ["string:", "int:2"], 2)]
+    assert rows(A.static_tables(c), "table_id", "row_no", "cells") == [("x", 0, ["string:", "int:2"]), ("x", 40, ["int:9"]), ("y", 0, ["null:"])]
 
 
 def test_assignment_coverage(spark):

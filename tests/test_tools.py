@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from semgraph import tools
+from semgraph.operators.build import written
 from semgraph.operators.reads import runtime_reachable
 from semgraph.plans.graph_queries import rules
 from test_graph import edge, make, rows, sym
@@ -13,7 +14,7 @@ def session(spark):
         sym("file:tests/t.cs", "file", "mod:B", "tests/t.cs"), sym("type:N.TTests", "type", "file:tests/t.cs", "tests/t.cs", "TTests"), sym("method:N.TTests.Check()", "method", "type:N.TTests", "tests/t.cs", "Check", props={"attributes": "Test"}),
         sym("type:N.Other", "type", "file:tests/t.cs", "tests/t.cs", "Other"), sym("method:N.Other.Look()", "method", "type:N.Other", "tests/t.cs", "Look", props={"attributes": "Test"}),
     ]
-    g = make(spark, s, [edge("method:N.TTests.Check()", "method:N.T.Go()"), edge("mod:B", "mod:A", "dependsOn")])
+    g = written(make(spark, s, [edge("method:N.TTests.Check()", "method:N.T.Go()"), edge("mod:B", "mod:A", "dependsOn")]))
     files = spark.createDataFrame([("a.cs", "class T {}"), ("tests/t.cs", "// T by name"), ("n.md", "- **INV-A-1. One.** x")], "path string, content string")
     return tools.Session(g, rules(spark), files)
 
