@@ -63,13 +63,40 @@ def tiers(g: Graph) -> DataFrame:
 RULE_BLOCK = 10_000
 
 
+def _pattern_parts(pattern: F.Column) -> tuple[F.Column, F.Column]:
+    """``kind, stem`` of a pattern: all names, names with a part (``w``), or names that are or begin with a stem (``p``)."""
+    p = F.lower(pattern)
+    kind = F.when(p == "*", "a").when(p.startswith("*."), "w").otherwise("p")
+    stem = F.when(kind == "w", p.substr(F.lit(3), F.length(p))).when(p.endswith(".*"), F.left(p, F.length(p) - 2)).otherwise(p)
+    return kind, stem
+
+
+def _matching(named: DataFrame, rules: DataFrame, widths: list[int]) -> DataFrame:
+    """``named(source_id, s)`` with each rule whose ``pattern`` fits ``s``; ``rules`` are few.
+
+    What a pattern fits is a run of the dotted parts of a name, from its start
+    or anywhere, so names meet patterns by equality: every run from the start
+    and those of the ``widths`` that patterns of parts have.
+    """
+    kind, stem = _pattern_parts(F.col("pattern"))
+    r = F.broadcast(rules.withColumn("_kind", kind).withColumn("_stem", stem))
+    parts = named.select("source_id", "s", F.split(F.lower("s"), r"\.").alias("_p"))
+    run = lambda k, at, n: F.struct(F.lit(k).alias("_kind"), F.array_join(F.slice("_p", at, n), ".").alias("_stem"))
+    runs = [F.transform(F.sequence(F.lit(1), F.size("_p")), lambda n: run("p", F.lit(1), n))]
+    # a function of one argument: a second one would get the position
+    wide = lambda w: lambda at: run("w", at, F.lit(w))
+    runs += [F.when(F.size("_p") >= w, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_p") - w + 1)), wide(w))).otherwise(F.array()) for w in widths]
+    met = parts.select("source_id", "s", F.explode(F.array_distinct(F.concat(*runs, F.array(F.struct(F.lit("a").alias("_kind"), F.lit("*").alias("_stem")))))).alias("_x"))
+    return met.select("source_id", "s", "_x.*").join(r, ["_kind", "_stem"]).drop("_kind", "_stem")
+
+
 def violations(g: Graph, rules: DataFrame, block: int = RULE_BLOCK) -> DataFrame:
     """The first rule that each link breaks: ``source_id, target_id, kind, role, rule_id, message``.
 
     ``rules(rule_ord, id, source, must_not_reference, may_only_reference)``,
     Rules of a null ordinal come last, those of one ordinal by their id. Rules
-    are matched with the distinct names that occur, in blocks of bounded size,
-    not with the edges.
+    are matched with the distinct names that occur, by equality of parts of the
+    names and in blocks of bounded size, not with the edges.
     """
     names = g.symbols.select("id", F.coalesce(F.nullif("qualified_name", F.lit("")), "id").alias("name"))
     pairs = g.links.select("source_id", "target_id").distinct()
@@ -77,17 +104,18 @@ def violations(g: Graph, rules: DataFrame, block: int = RULE_BLOCK) -> DataFrame
     # rules are few, so one task numbers them
     at = F.row_number().over(Window.orderBy(F.col("rule_ord").asc_nulls_last(), "id")) - 1
     r = rules.select(at.alias("rule_ord"), F.col("id").alias("rule_id"), F.col("source").alias("pattern"), "must_not_reference", "may_only_reference")
-    hit = matches_pattern(F.col("s"), F.col("pattern"))
     must = F.col("must_not_reference").isNotNull() & matches_pattern(F.col("t"), F.col("must_not_reference"))
     only = F.col("may_only_reference").isNotNull() & ~matches_pattern(F.col("t"), F.col("may_only_reference")) & ~matches_pattern(F.col("t"), F.col("pattern"))
     words = F.when(must, F.concat(F.lit(" must_not_reference "), F.col("must_not_reference"))).otherwise(F.concat(F.lit(" may_only_reference "), F.col("may_only_reference")))
     message = F.concat("rule_id", F.lit(": "), "s", words)
     named = pairs.select("source_id", "s").distinct()
-    last = r.agg(F.max("rule_ord")).first()[0]
+    kind, stem = _pattern_parts(F.col("pattern"))
+    facts = r.agg(F.max("rule_ord"), F.collect_set(F.when(kind == "w", F.size(F.split(stem, r"\.")))).alias("w")).first()
+    last, widths = facts[0], sorted(facts["w"])
     found = None
     for low in range(0, (last if last is not None else 0) + 1, block):
-        part = F.broadcast(r.where((F.col("rule_ord") >= low) & (F.col("rule_ord") < low + block)))
-        hits = pairs.drop("s").join(named.join(part, hit), "source_id").where(must | only).select("source_id", "target_id", "rule_ord", "rule_id", message.alias("message"))
+        part = r.where((F.col("rule_ord") >= low) & (F.col("rule_ord") < low + block))
+        hits = pairs.drop("s").join(_matching(named, part, widths), "source_id").where(must | only).select("source_id", "target_id", "rule_ord", "rule_id", message.alias("message"))
         found = hits if found is None else found.unionByName(hits)
     broken = found.groupBy("source_id", "target_id").agg(F.min_by(F.struct("rule_id", "message"), "rule_ord").alias("v"))
     return g.links.select("source_id", "target_id", "kind", "role").join(broken, ["source_id", "target_id"]).select("source_id", "target_id", "kind", "role", "v.rule_id", "v.message")

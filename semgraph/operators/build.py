@@ -56,9 +56,16 @@ def upsert_symbols(symbols: DataFrame) -> DataFrame:
 
 
 def drop_dangling(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Edges whose ends both exist."""
-    s, t = ids.select(F.col("id").alias("source_id")), ids.select(F.col("id").alias("target_id"))
-    return edges.join(s, "source_id", "left_semi").join(t, "target_id", "left_semi")
+    """Edges whose ends both exist.
+
+    The ends that do not exist are found first and written, so that their size
+    is known: where they are few, edges are not shuffled for the test, and a
+    target of very many edges is no key of a join.
+    """
+    edges = edges.where("source_id is not null and target_id is not null")
+    ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
+    gone = materialize(ends.join(ids, "id", "left_anti"), new_folder(edges.sparkSession, "gone"))
+    return edges.join(gone.select(F.col("id").alias("source_id")), "source_id", "left_anti").join(gone.select(F.col("id").alias("target_id")), "target_id", "left_anti")
 
 
 #: the ordinal of inferred edges, after all that are told
@@ -133,7 +140,8 @@ def build(symbols: DataFrame, edges: DataFrame) -> Graph:
     syms = upsert_symbols(symbols).withColumn("bucket", path_bucket(F.col("file_path")))
     ids = syms.select("id")
     cols = ["source_id", "target_id", "kind", "role", "evidence", "properties", "call_site", "profiles", "ord"]
-    told = drop_dangling(edges.withColumn("kind", edge_kind(F.col("kind"))).withColumn("role", edge_role(F.col("properties"))).select(*cols), ids)
+    told = edges.withColumn("kind", edge_kind(F.col("kind"))).withColumn("role", edge_role(F.col("properties"))).select(*cols)
+    told = drop_dangling(materialize(told, new_folder(edges.sparkSession, "told")), ids)
     made = synthesize_contains(symbols.select("id", "parent_id"), told, last)
     whole = dedup_edges(told.unionByName(made))
     whole = whole.unionByName(derive_file_edges(syms, whole, last))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: dict[str, str] = {}
+_made: list[tuple[SparkSession, str]] = []
 
 
 def session_of(df: DataFrame) -> SparkSession:
@@ -36,7 +37,24 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
-    return f"{work_dir(spark)}/semgraph-{uuid.uuid4().hex[:12]}-{tag}"
+    """A path below the work folder; ``release`` and the end of the driver delete what is written there."""
+    path = f"{work_dir(spark)}/semgraph-{uuid.uuid4().hex[:12]}-{tag}"
+    if not _made:
+        atexit.register(release)
+    _made.append((spark, path))
+    return path
+
+
+def release() -> int:
+    """Deletes all intermediate tables made so far, when no result is read any more; how many there were."""
+    n = len(_made)
+    while _made:
+        spark, path = _made.pop()
+        try:
+            discard(spark, path)
+        except Exception:  # noqa: S110 - the session may be gone; what it left is deleted with its folder
+            pass
+    return n
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:

@@ -232,3 +232,16 @@ def test_empty_graph(spark):
     g = make(spark, [], [])
     for df in (A.coupling(g), A.tiers(g), A.cycles(g), R.dead_code(g), R.port_health(g), A.module_boundary(g), g.edges):
         assert df.count() == 0
+
+
+def test_rules_meet_names_as_the_grammar_says(spark):
+    """Matching by parts of names against the grammar itself, odd patterns and names included."""
+    names = ["a", "a.b", "a.b.c", "x.a.b", "A.B", "ab.c", "a..b", ".a", "a.", "x.y.z.a.b.c.d", "*", "b.*", "n.t.m(system.int32,a.b)"]
+    patterns = ["*", "*.a", "*.A.B", "a.*", "a", "a.b", "*.b.c", "*.", "*..b", ".*", "*.*", "b.*", "*.int32,a", "", "x.y.*", "*.d", "nothing"]
+    named = spark.createDataFrame([(str(i), n) for i, n in enumerate(names)], "source_id string, s string")
+    rules = spark.createDataFrame([(i, p) for i, p in enumerate(patterns)], "rule_ord int, pattern string")
+    widths = sorted({len(p[2:].split(".")) for p in patterns if p.startswith("*.") and p != "*"})
+    got = {(r.s, r.pattern) for r in A._matching(named, rules, widths).collect()}
+    both = named.crossJoin(rules)
+    want = {(r.s, r.pattern) for r in both.where(matches_pattern(F.col("s"), F.col("pattern"))).collect()}
+    assert got == want and ("a.b.c", "*.b.c") in got
