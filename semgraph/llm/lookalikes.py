@@ -35,6 +35,7 @@ SHAPES = (
 _OPTIONS = {c: s for s in SHAPES for c in s}
 #: letters that tokens are made of: Latin, Greek, Cyrillic, Armenian and kana, with their marks
 _TOKEN = re.compile("[A-Za-zªºµ-ʯ\u0300-\u036fͰ-֏ぁ-\u309aァ-ヺ]+")
+_CUT = re.compile(f"({_TOKEN.pattern})")
 #: a bigram table has at most the square of this many letters, whatever the texts
 LETTERS = 26 * 2 + 0x058F - 0x00AA + 1 + 0x30FA - 0x3041 + 3
 UNSEEN, FOREIGN = -14.0, -20.0
@@ -58,6 +59,11 @@ def _script(c: str) -> str:
     return "Hiragana" if o < 0x30A0 else "Katakana"
 
 
+def _last_script(token: str) -> str:
+    """The script of a token's last letter; marks have none."""
+    return _script(token[-1]) or next((s for c in reversed(token) if (s := _script(c))), "")
+
+
 #: decompositions that leave a character's look: the others (raised, circled, fractions ...) change it
 _SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
 
@@ -101,13 +107,20 @@ class _Plain(dict):
 
 
 _TABLE = _Plain()
+#: characters that are the same in the consistent form or only taken apart by it; all others are looked up one by one
+_SAFE = (
+    "\n -~\u00a1-\u00ac\u00ae-\u00b4\u00b6-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u01c3\u01cd-\u01f0\u01f4-\u034e\u0350-\u0377\u037a-\u037f\u0384-\u038a\u038e-\u03a1\u03a3-\u052f\u0531-\u0556"
+    "\u0561-\u0586\u2010\u2012-\u2015\u2018-\u2023\u2030-\u203a\u2190-\u21ff\u2200-\u22ff\u3001-\u3035\u3041-\u3096\u3099-\u30fe\u4e00-\u9fff\uac00-\ud7a3"
+)
+_OTHER = re.compile(f"[^{_SAFE}]")
 
 
 def plain(text: str) -> str:
     """Without ignorable characters and taken apart, line breaks as ``\\n``."""
-    if text.isascii():
-        return text.translate(_TABLE).replace("\r\n", "\n").replace("\r", "\n")
-    return unicodedata.normalize("NFD", text.translate(_TABLE).replace("\r\n", "\n").replace("\r", "\n"))
+    text = _OTHER.sub(lambda m: _TABLE[ord(m[0])], text)
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    return text if text.isascii() else unicodedata.normalize("NFD", text)
 
 
 def shapes(text: str) -> str:
@@ -139,9 +152,9 @@ class Model:
             if pair[1] == "$" or _script(pair[1]):
                 total[pair[0]] += n
         self.score = {p: math.log(n / total[p[0]]) for p, n in counts.items()}
-        self.tokens: dict[str, tuple] = {}
+        self.single: dict[str, str] = {}
+        self.several: dict[str, tuple] = {}
         self.shapes: dict[str, tuple] = {}
-        self.script = ""
 
     def step(self, a: str, b: str) -> float:
         s = self.score.get(a + b)
@@ -191,26 +204,48 @@ class Model:
                 found = tuple((s, r[1], r[0]) for s in scripts if (r := self.search(shape, s)))
             else:
                 score, path = self.search(shape)
-                found = ((next((s for c in reversed(path) if (s := _script(c))), ""), path, score),)
+                found = ((_last_script(path), path, score),)
             if len(self.shapes) >= _MEMO:
                 self.shapes.clear()
             self.shapes[shape] = found
         return found
 
-    def read(self, token: str) -> str:
-        """The reading of the next token of a text, given the script of the one before."""
-        found = self.tokens.get(token)
-        if found is None:
-            if len(self.tokens) >= _MEMO:
-                self.tokens.clear()
-            found = self.tokens[token] = self._readings(token)
-        pick = found[0] if len(found) == 1 else max(found, key=lambda x: x[2] + (STAY if x[0] == self.script else 0.0))
-        self.script = pick[0]
-        return pick[1]
+    def read(self, tokens: list[str]) -> list[str]:
+        """The readings of the tokens of one text; one of several scripts goes with the script of the token before."""
+        out = list(map(self.single.get, tokens))
+        at = -1
+        while True:
+            try:
+                at = out.index(None, at + 1)
+            except ValueError:
+                return out
+            token = tokens[at]
+            found = self.several.get(token) or self._readings(token)
+            if len(found) == 1:
+                if len(self.single) >= _MEMO:
+                    self.single.clear()
+                self.single[token] = out[at] = found[0][1]
+                continue
+            if len(self.several) >= _MEMO:
+                self.several.clear()
+            self.several[token] = found
+            before = _last_script(out[at - 1]) if at else ""
+            best = None
+            for script, reading, score in found:
+                score += STAY if script == before else 0.0
+                if best is None or score > best:
+                    best, out[at] = score, reading
 
     def form(self, text: str) -> str:
-        self.script = ""
-        return unicodedata.normalize("NFC", _TOKEN.sub(lambda m: self.read(m[0]), plain(text)))
+        text = plain(text)
+        tokens = _TOKEN.findall(text)
+        read = self.read(tokens)
+        if read != tokens:
+            # what stands between two tokens, and the tokens at odd places
+            cut = _CUT.split(text)
+            cut[1::2] = read
+            text = "".join(cut)
+        return text if text.isascii() else unicodedata.normalize("NFC", text)
 
 
 def train(df: DataFrame, text: str) -> dict[str, int]:
@@ -248,9 +283,8 @@ def recovery(df: DataFrame, doc_id: str, text: str, parts: int = 10) -> DataFram
         model, out = Model(counts.value), Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                model.script = ""
-                for token in _TOKEN.findall(plain(t)) if t else ():
-                    read = model.read(token)
+                tokens = _TOKEN.findall(plain(t)) if t else []
+                for token, read in zip(tokens, model.read(tokens)):
                     scripts = {_script(c) for c in token} - {""}
                     if len(scripts) == 1:
                         script = scripts.pop()

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -112,3 +113,15 @@ def test_token_counts(spark):
     for r in df.collect():
         ids = enc.encode_ordinary(r.text or "")
         assert enc.decode(ids) == (r.text or "") and got[r.doc_id] == len(ids)
+
+
+def test_characters_held_to_be_safe_are():
+    """Every character that is not looked up is the same as if it were, and texts of all others are, too."""
+    from semgraph.llm import lookalikes as L
+
+    every = [chr(o) for o in range(0x110000) if not 0xD800 <= o <= 0xDFFF]
+    safe = [c for c in every if not L._OTHER.match(c)]
+    assert len(safe) > 30_000 and all(L._plain(c) == unicodedata.normalize("NFD", c) for c in safe)
+    for c in every[::7]:
+        want = unicodedata.normalize("NFD", f"a{c}b".translate(L._TABLE).replace("\r\n", "\n").replace("\r", "\n"))
+        assert plain(f"a{c}b") == want
