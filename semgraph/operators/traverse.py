@@ -1,16 +1,22 @@
 """Bounded and unbounded breadth-first traversals from many seeds at once.
 
-One job per level for all seeds together. A level's new pairs are written
-once; what is known is the union of the levels, so nothing is recomputed.
+One job per level for all seeds together, or for several levels while few
+pairs are new. A job's new pairs are written once; what is known is the union
+of what was written, so nothing is recomputed.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from semgraph.session import materialize, new_folder
 
+#: levels that one job takes where no more than ``FEW`` pairs are new
+STRIDE, FEW = 6, 50_000
+
 
 def reach(steps: DataFrame, seeds: DataFrame, max_depth: int | None) -> DataFrame:
     """``steps(src, dst)``, ``seeds(root, node)`` -> ``root, node, dist`` with the least distance, seeds at 0.
@@ -21,19 +27,27 @@ def reach(steps: DataFrame, seeds: DataFrame, max_depth: int | None) -> DataFram
     base = new_folder(steps.sparkSession, "reach")
     spark = steps.sparkSession
     steps = materialize(steps.where("src is not null and dst is not null").select("src", "dst").distinct(), f"{base}/steps")
-    front = materialize(seeds.select("root", "node").distinct().withColumn("dist", F.lit(0)), f"{base}/level0")
-    paths, depth = [f"{base}/level0"], 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        known = spark.read.schema(front.schema).parquet(*paths)
+    seen = Observation()
+    front = materialize(seeds.select("root", "node").distinct().withColumn("dist", F.lit(0)).observe(seen, F.count(F.lit(1)).alias("n")), f"{base}/level0")
+    schema, paths, depth, n = front.schema, [f"{base}/level0"], 0, seen.get["n"]
+    while n and (max_depth is None or depth < max_depth):
+        stride = 1 if n > FEW else STRIDE
+        if max_depth is not None:
+            stride = min(stride, max_depth - depth)
+        walked, parts = front.select("root", "node"), []
+        for k in range(1, stride + 1):
+            walked = walked.join(steps, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+            parts.append(walked.withColumn("dist", F.lit(depth + k)))
+        # what is met on the way is not looked up until the end, so the least of its distances holds
+        after = parts[0] if stride == 1 else reduce(DataFrame.unionByName, parts).groupBy("root", "node").agg(F.min("dist").alias("dist"))
+        known = spark.read.schema(schema).parquet(*paths)
+        after = after.join(known.select("root", "node"), ["root", "node"], "left_anti")
+        depth += stride
         seen = Observation()
-        after = front.join(steps, front["node"] == steps["src"]).select("root", F.col("dst").alias("node")).distinct()
-        after = after.join(known, ["root", "node"], "left_anti").withColumn("dist", F.lit(depth))
-        front = materialize(after.observe(seen, F.count(F.lit(1)).alias("n")), f"{base}/level{depth}")
-        if not seen.get["n"]:
-            break
+        new = materialize(after.observe(seen, F.count_if(F.col("dist") == depth).alias("n")), f"{base}/level{depth}")
+        front, n = new.where(F.col("dist") == depth), seen.get["n"]
         paths.append(f"{base}/level{depth}")
-    return spark.read.schema(front.schema).parquet(*paths)
+    return spark.read.schema(schema).parquet(*paths)
 
 
 def reach_paths(steps: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
