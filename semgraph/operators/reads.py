@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from semgraph.functions.paths import matches_glob
 from semgraph.operators.analysis import attributes, module_of
 from semgraph.operators.build import Graph
-from semgraph.operators.traverse import nearest_ancestor, reach, reach_paths
+from semgraph.operators.traverse import nearest_ancestor, reach
 from semgraph.schema import ENTRYPOINT_ATTRIBUTES, MESSAGE_BASES, MESSAGES
+from semgraph.session import materialize, new_folder
 
 # --- runtime reachability and dead code ----------------------------------------------------------------------------
 
@@ -178,6 +180,32 @@ def interface_usage(g: Graph) -> DataFrame:
     return rows.select("id", "contract", "direct_members", "inherited_members", (F.col("direct_members") + F.col("inherited_members")).alias("all_members"), "consumers")
 
 
+def _way_to(g: Graph, parts: DataFrame, max_depth: int) -> list[DataFrame]:
+    """``alt, node, dist, end, authority, next, via`` by distance: how far each node is from the nearest part of required and allowed authorities, and the first step there.
+
+    Of parts equally near the least holds, of ways to it the first one: each
+    step is the least by target, kind and role, as a walk from the node would
+    meet it. A walk from the parts has two rows a node, however many seeds ask.
+    """
+    base = new_folder(parts.sparkSession, "way")
+    none = F.lit(None).cast("string")
+    first = parts.groupBy("alt", F.col("part").alias("node")).agg(F.min("authority").alias("authority"))
+    front = materialize(first.select("alt", "node", F.lit(0).alias("dist"), F.col("node").alias("end"), "authority", none.alias("next"), none.alias("via")), f"{base}/0")
+    levels = [front]
+    steps = g.links.select("source_id", "target_id", "kind_ord", "role", "kind")
+    for depth in range(1, max_depth + 1):
+        seen = Observation()
+        hop = F.min(F.struct("end", "target_id", "kind_ord", "role", "kind", "authority")).alias("h")
+        after = steps.join(front.select("alt", F.col("node").alias("target_id"), "end", "authority"), "target_id").groupBy("alt", F.col("source_id").alias("node")).agg(hop)
+        after = after.join(reduce(DataFrame.unionByName, [x.select("alt", "node") for x in levels]), ["alt", "node"], "left_anti")
+        after = after.select("alt", "node", F.lit(depth).alias("dist"), "h.end", "h.authority", F.col("h.target_id").alias("next"), F.col("h.kind").alias("via"))
+        front = materialize(after.observe(seen, F.count(F.lit(1)).alias("n")), f"{base}/{depth}")
+        if not seen.get["n"]:
+            break
+        levels.append(front)
+    return levels
+
+
 def authority_coverage(g: Graph, subjects: DataFrame, required: DataFrame, alternatives: DataFrame, max_depth: int = 6, buckets: tuple[str, ...] = ()) -> DataFrame:
     """Whether what lies in each subject reaches a required authority or an allowed alternative, and by which path.
 
@@ -192,15 +220,23 @@ def authority_coverage(g: Graph, subjects: DataFrame, required: DataFrame, alter
     seeds = wide.join(methods, "node", "left_semi").select("root", "node").unionByName(s.where("kind not in ('type', 'namespace', 'file')").select(F.col("id").alias("root"), F.col("id").alias("node")))
     if buckets:
         seeds = seeds.join(g.symbols.where(F.col("bucket").isin(*buckets)).select(F.col("id").alias("node")), "node", "left_semi")
-    seeds = seeds.distinct()
+    seeds = materialize(seeds.distinct(), new_folder(seeds.sparkSession, "seeds"))
     ends = required.select("id", F.lit(0).alias("alt")).unionByName(alternatives.select("id", F.lit(1).alias("alt")))
     parts = reach(down, ends.select(F.col("id").alias("root"), F.col("id").alias("node")), None).select(F.col("root").alias("authority"), F.col("node").alias("part")).join(ends, F.col("authority") == F.col("id")).select("authority", "part", "alt")
-    w = Window.partitionBy("source_id").orderBy("target_id", "kind_ord", "role")
-    steps = g.links.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), F.row_number().over(w).cast("bigint").alias("ord"), F.col("kind").alias("via"))
-    single = seeds.select(F.col("node").alias("root"), "node").distinct()
-    paths = reach_paths(steps, single, max_depth).withColumnRenamed("root", "seed")
-    hits = paths.join(parts, F.col("node") == F.col("part"))
-    best = seeds.select("root", F.col("node").alias("seed")).join(hits, "seed").groupBy("root").agg(F.min(F.struct("alt", "dist", "seed", "node", "authority", "nodes", "vias")).alias("b"))
+    levels = _way_to(g, parts, max_depth)
+    near = reduce(DataFrame.unionByName, [x.select("alt", "node", "dist", "end", "authority") for x in levels])
+    best = seeds.join(near, "node").groupBy("root").agg(F.min(F.struct("alt", "dist", F.col("node").alias("seed"), "end", "authority")).alias("b"))
+    best = best.select("root", "b.*").withColumns({"at": F.col("seed"), "left": F.col("dist"), "nodes": F.array("seed"), "vias": F.array().cast("array<string>")})
+    # a way is followed level by level, each level looked at once
+    for level in reversed(levels[1:]):
+        hop = level.select(F.col("alt").alias("_alt"), F.col("node").alias("_node"), F.col("dist").alias("_dist"), "next", "via")
+        best = best.join(hop, (F.col("alt") == F.col("_alt")) & (F.col("at") == F.col("_node")) & (F.col("left") == F.col("_dist")), "left")
+        went = F.col("next").isNotNull()
+        best = best.select(
+            "root", "alt", "dist", "seed", "authority", F.coalesce("next", "at").alias("at"), F.when(went, F.col("left") - 1).otherwise(F.col("left")).alias("left"),
+            F.when(went, F.concat("nodes", F.array("next"))).otherwise(F.col("nodes")).alias("nodes"), F.when(went, F.concat("vias", F.array("via"))).otherwise(F.col("vias")).alias("vias"),
+        )
+    best = best.select("root", F.struct("alt", "dist", "seed", "authority", "nodes", "vias").alias("b"))
     has = seeds.select("root").distinct().withColumn("has", F.lit(True))
     rows = s.select(F.col("id").alias("root")).join(has, "root", "left").join(best, "root", "left")
     status = F.when(F.col("has").isNull(), "NoSubjectSeeds").when(F.col("b").isNull(), "MissingRequired").when(F.col("b.alt") == 0, "RequiredReached").otherwise("AllowedAlternativeReached")
