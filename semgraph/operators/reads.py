@@ -348,7 +348,7 @@ def canonical_ids(text: Column) -> Column:
     out = text
     for long, short in PRIMITIVES.items():
         out = F.regexp_replace(out, rf"(?<![\w.]){re.escape(long)}(?![\w.])", short)
-    return out
+    return F.when(text.contains("System."), out).otherwise(text)
 
 
 def resolve(g: Graph, inputs: DataFrame) -> DataFrame:
@@ -358,7 +358,10 @@ def resolve(g: Graph, inputs: DataFrame) -> DataFrame:
     kind with that name, a bare short name, the last name in the text with the
     given kind; several candidates on a rung are ambiguous.
     """
-    q = inputs.select("input", canonical_ids(F.trim("input")).alias("q")).distinct()
+    base = new_folder(inputs.sparkSession, "asked")
+    # inputs are spelt once, when they are distinct: every rung reads them
+    asked = materialize(inputs.select("input").distinct(), f"{base}/inputs")
+    q = materialize(asked.select("input", canonical_ids(F.trim("input")).alias("q")), f"{base}/spelt")
     q = q.withColumn("stem", F.regexp_replace("q", r"^[a-z]+:", "")).withColumn("kind", F.regexp_extract("q", r"^([a-z]+):", 1)).withColumn("bare", ~F.col("q").rlike("[:.(]"))
     q = q.withColumn("last", F.substring_index(F.regexp_replace("stem", r"\(.*$", ""), ".", -1))
     full = F.create_map(*[F.lit(x) for x in ("mod", "module", "file", "file", "ns", "namespace", "type", "type", "method", "method", "field", "field", "property", "property")])
@@ -367,11 +370,18 @@ def resolve(g: Graph, inputs: DataFrame) -> DataFrame:
     found = rung(1, q.join(s, q["q"] == s["id"]))
     found = found.unionByName(rung(2, q.where("kind = 'method' and instr(q, '(') = 0").join(s.where("skind = 'method'"), F.col("q") == F.col("no_args"))))
     found = found.unionByName(rung(3, q.where("kind in ('method', 'field', 'property', 'type')").join(s.where("skind <> 'method'"), F.regexp_replace("stem", r"\(.*$", "") == F.col("sstem"))))
-    found = found.unionByName(rung(4, q.where("bare").join(s, F.lower("q") == F.lower("name"))))
-    found = found.unionByName(rung(5, q.where("not bare and last <> ''").join(s, F.lower("last") == F.lower("name")).where((F.col("kind") == "") | (F.col("skind") == full[F.col("kind")]))))
-    best = found.distinct().groupBy("input", "rung").agg(F.min("id").alias("id"), F.count("*").alias("n")).groupBy("input").agg(F.min(F.struct("rung", "n", "id")).alias("b"))
+    best = found.distinct().groupBy("input", "rung").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    # symbols are counted per name and kind before they are joined: many inputs may ask for a name that many symbols have
+    names = s.groupBy(F.lower("name").alias("lname"), "skind").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    all_ = names.groupBy("lname").agg(F.min("id").alias("id"), F.sum("n").alias("n"))
+    of = lambda n, df: df.select("input", F.lit(n).alias("rung"), "id", "n")
+    best = best.unionByName(of(4, q.where("bare").join(all_, F.lower("q") == F.col("lname"))))
+    last = q.where("not bare and last <> ''")
+    best = best.unionByName(of(5, last.where("kind = ''").join(all_, F.lower("last") == F.col("lname"))))
+    best = best.unionByName(of(5, last.where("kind <> ''").join(names, (F.lower("last") == F.col("lname")) & (F.col("skind") == full[F.col("kind")]))))
+    best = best.groupBy("input").agg(F.min(F.struct("rung", "n", "id")).alias("b"))
     outcome = F.when(F.col("b").isNull(), "NotFound").when(F.col("b.n") > 1, "Ambiguous").when(F.col("b.rung") == 1, "Exact").otherwise("Lenient")
-    rows = inputs.select("input").distinct().join(best, "input", "left")
+    rows = asked.join(best, "input", "left")
     return rows.select("input", outcome.alias("outcome"), F.when(F.col("b.n") == 1, F.col("b.id")).alias("id"), F.coalesce("b.n", F.lit(0).cast("long")).alias("n_candidates"))
 
 
