@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from semgraph.functions.paths import matches_glob
 from semgraph.operators.analysis import attributes, module_of
-from semgraph.operators.build import Graph
+from semgraph.operators.build import Graph, drop_dangling, file_of
 from semgraph.operators.traverse import nearest_ancestor, reach
 from semgraph.schema import ENTRYPOINT_ATTRIBUTES, MESSAGE_BASES, MESSAGES
 from semgraph.session import materialize, new_folder
@@ -111,7 +112,12 @@ def interface_closure(g: Graph) -> DataFrame:
 def direct_contracts(g: Graph) -> DataFrame:
     """``id, contract``: what an interface inherits and what any other type implements."""
     face = g.symbols.where("kind = 'type'").select("id", (F.coalesce(F.col("properties")["typeKind"], F.lit("")) == "interface").alias("face"))
-    e = g.edges.where("kind in ('inherits', 'implements')").join(face, F.col("source_id") == F.col("id"))
+    return _contracts(face, g.edges)
+
+
+def _contracts(types: DataFrame, edges: DataFrame) -> DataFrame:
+    """``direct_contracts`` of ``types(id, face)``."""
+    e = edges.where("kind in ('inherits', 'implements')").join(types, F.col("source_id") == F.col("id"))
     return e.where("(face and kind = 'inherits') or (not face and kind = 'implements')").select("id", F.col("target_id").alias("contract")).distinct()
 
 
@@ -166,20 +172,78 @@ def authority_report(g: Graph) -> DataFrame:
 
 def interface_usage(g: Graph) -> DataFrame:
     """Per type and direct contract: own, inherited and all members, and distinct users of it, its members and its ancestors."""
-    members, closure = direct_members(g), interface_closure(g)
-    sizes = members.groupBy(F.col("type").alias("contract")).agg(F.count("*").alias("direct_members"))
-    pairs = direct_contracts(g)
-    faces = pairs.select("contract").distinct()
-    ups = closure.join(faces.select(F.col("contract").alias("root")), "root", "left_semi")
-    inherited = ups.join(sizes, F.col("node") == F.col("contract")).groupBy("root").agg(F.sum("direct_members").alias("inherited_members"))
-    nodes = faces.select(F.col("contract").alias("root"), F.col("contract").alias("node")).unionByName(ups).distinct()
-    parts = nodes.select("root", F.col("node").alias("part")).unionByName(nodes.join(members, F.col("node") == F.col("type")).select("root", F.col("member").alias("part"))).distinct()
-    uses = g.edges.where("kind in ('calls', 'references')").select("source_id", F.col("target_id").alias("part")).distinct()
-    users = parts.join(uses, "part").select("root", "source_id").distinct().groupBy("root").agg(F.count("*").alias("consumers"))
-    rows = pairs.join(sizes, "contract", "left").join(inherited, F.col("contract") == F.col("root"), "left").drop("root").join(users, F.col("contract") == F.col("root"), "left").drop("root").fillna(0)
+    up = g.edges.where("kind = 'inherits'").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
+    uses = g.edges.where("kind in ('calls', 'references')").select("source_id", F.col("target_id").alias("part"))
+    return _usage(direct_contracts(g), up, direct_members(g), lambda parts: parts.join(uses, "part").withColumnRenamed("source_id", "user"))
+
+
+def _usage(contracts: DataFrame, up: DataFrame, members: DataFrame, used: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``interface_usage`` of ``contracts(id, contract)``, ``up(src, dst)`` and ``members(type, member)``.
+
+    ``used`` makes ``at, user`` of ``parts(at, part)``, the numbers of types with
+    them and their members. Only contracts are walked from, and members looked up
+    of what they reach. Users are joined once for each distinct set of ancestors,
+    and a contract's own ones added where they are not among them, so that a much
+    used ancestor is not multiplied by what inherits it.
+    """
+    base = new_folder(contracts.sparkSession, "usage")
+    pairs = materialize(contracts, f"{base}/pairs")
+    faces = materialize(pairs.select(F.col("contract").alias("root")).distinct(), f"{base}/faces")
+    # from the parents on, so that a contract is among its own ancestors only if it lies on a cycle
+    ups = reach(up, faces.join(up, F.col("root") == F.col("src")).select("root", F.col("dst").alias("node")), None).select("root", "node")
+    nodes = faces.select(F.col("root").alias("node")).unionByName(ups.select("node")).distinct()
+    nodes = materialize(nodes.withColumn("at", F.monotonically_increasing_id()), f"{base}/nodes")
+    members = materialize(members.join(nodes.select(F.col("node").alias("type")), "type", "left_semi").select("type", "member").distinct(), f"{base}/members")
+    sizes = members.groupBy(F.col("type").alias("node")).agg(F.count("*").alias("direct_members"))
+    inherited = ups.join(sizes, "node").groupBy(F.col("root").alias("contract")).agg(F.sum("direct_members").alias("inherited_members"))
+    parts = nodes.select("at", F.col("node").alias("part")).unionByName(nodes.join(members, F.col("node") == F.col("type")).select("at", F.col("member").alias("part")))
+    users = materialize(used(materialize(parts.distinct(), f"{base}/parts")).select("at", "user").distinct(), f"{base}/users")
+
+    of = materialize(ups.join(nodes, "node").groupBy("root").agg(F.sort_array(F.collect_set("at")).alias("above")), f"{base}/above")
+    sets = materialize(of.select("above").distinct().withColumn("set", F.monotonically_increasing_id()), f"{base}/sets")
+    of = materialize(faces.join(of.join(sets, "above").select("root", "set"), "root", "left").join(nodes.withColumnRenamed("node", "root"), "root"), f"{base}/of")
+    above = materialize(sets.select("set", F.explode("above").alias("at")).join(users, "at").select("set", "user").distinct(), f"{base}/users_above")
+    own = of.select("at", "set").join(users, "at").join(above, ["set", "user"], "left_anti").groupBy("at").agg(F.count("*").alias("own"))
+    users = of.join(own, "at", "left").join(above.groupBy("set").agg(F.count("*").alias("n")), "set", "left").fillna(0, ["own", "n"]).select(F.col("root").alias("contract"), (F.col("own") + F.col("n")).alias("consumers"))
+    rows = pairs.join(sizes.withColumnRenamed("node", "contract"), "contract", "left").join(inherited, "contract", "left").join(users, "contract", "left").fillna(0)
     return rows.select("id", "contract", "direct_members", "inherited_members", (F.col("direct_members") + F.col("inherited_members")).alias("all_members"), "consumers")
 
 
+def interface_usage_of(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """``interface_usage`` of rows of which no graph was built.
+
+    ``symbols(id, no, kind, face, file_path, parent_id)`` with numbers ``no``, one row an id;
+    ``edges(source_id, target_id, kind)`` as told. Ends are looked up for
+    inheritance and containment, and for what uses a contract. References
+    between files, which are derived in a graph, are asked for only where a
+    file is part of a contract.
+    """
+    base = new_folder(symbols.sparkSession, "faces")
+    edges = edges.where("source_id is not null and target_id is not null").select("source_id", "target_id", "kind")
+    few = materialize(edges.where("kind in ('contains', 'inherits', 'implements')").distinct(), f"{base}/few")
+    few = materialize(drop_dangling(few, symbols.select("id")), f"{base}/living")
+    kids = symbols.where("kind <> 'type'")
+    told = few.where("kind = 'contains'").select(F.col("source_id").alias("type"), F.col("target_id").alias("member")).join(kids.select(F.col("id").alias("member")), "member", "left_semi")
+    made = kids.where("parent_id is not null and parent_id <> id").select(F.col("parent_id").alias("type"), F.col("id").alias("member"))
+    up = few.where("kind = 'inherits'").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
+    contracts = _contracts(symbols.where("kind = 'type'").select("id", "face"), few)
+
+    def used(parts: DataFrame) -> DataFrame:
+        found = parts.join(edges.where("kind in ('calls', 'references')").select("source_id", F.col("target_id").alias("part")), "part")
+        found = found.join(symbols.select(F.col("id").alias("source_id"), F.col("no").alias("user")), "source_id").select("at", "user")
+        files = materialize(parts.join(symbols.where("kind = 'file' or id like 'file:%'").select(F.col("id").alias("part")), "part", "left_semi").select("at", "part"), f"{base}/files")
+        if files.isEmpty():
+            return found
+        filed = file_of(symbols)
+        there = filed.join(files.select(F.col("part").alias("file_id")).distinct(), "file_id", "left_semi").select(F.col("id").alias("target_id"), F.col("file_id").alias("part"))
+        ends = edges.where("kind <> 'contains'").join(there, "target_id").select("source_id", "part").distinct()
+        ends = ends.join(filed.select(F.col("id").alias("source_id"), "file_id"), "source_id").where("file_id <> part").select("file_id", "part").distinct()
+        ends = ends.join(symbols.select(F.col("id").alias("file_id"), F.col("no").alias("user")), "file_id")
+        return found.unionByName(files.join(ends, "part").select("at", "user"))
+
+    return _usage(contracts, up, told.select("type", "member").unionByName(made), used)
+
+
 def _way_to(g: Graph, parts: DataFrame, max_depth: int) -> list[DataFrame]:
     """``alt, node, dist, end, authority, next, via`` by distance: how far each node is from the nearest part of required and allowed authorities, and the first step there.
 
